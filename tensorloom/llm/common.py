@@ -47,3 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def text_or_empty(column: str = "text"):
     """The text column with null read as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+NO_ID = -(2**63)
+
+
+def id_or_none(column: str = "doc_id"):
+    """The id as a long, with the smallest long standing for null: null-free longs pass through pandas exactly."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID).cast("long"))
+
+
+def none_again(column: str = "doc_id"):
+    """Undoes id_or_none."""
+    return F.nullif(F.col(column), F.lit(NO_ID).cast("long"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tensorloom.llm.common import table
 from tensorloom.llm.packing import pack_documents
 from tensorloom.llm.simhash import near_duplicates
+from tensorloom.llm.suffix_dedup import digest, remove_repeats
+from tensorloom.llm.toxicity import fit, score
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +21,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_suffix_dedup, op5_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

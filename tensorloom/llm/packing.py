@@ -20,9 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tensorloom.llm.common import text_or_empty
+from tensorloom.llm.common import id_or_none, none_again, text_or_empty
 
 WINDOW = 2048
 ITEM = 256
@@ -39,11 +38,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer file whose pre-tokenizer never crosses white space: every run between spaces is encoded once by the
-    library and then remembered, up to CACHE_WORDS runs."""
+    """Ids of texts by a tokenizer file whose pre-tokenizer never crosses white space and marks word ends: every run between spaces is
+    encoded once by the library and then remembered, up to CACHE_WORDS runs.
+
+    Runs of plain letters, lower-cased and without the full stops or commas that follow them, go to the library many in a line, to be
+    parted at the tokens that end a word; all others go one by one.
+    """
 
     # str.split() also splits at these, which are not white space to the tokenizer
     ODD = re.compile("[\x1c-\x1f]")
+    # below U+0130 lower-casing maps letters one to one
+    PLAIN = re.compile("[^\\W\\d_\u0130-\U0010ffff]+")
+    LINE = 1000
     _loaded: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str):
@@ -51,6 +57,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        words = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(words.values(), default=0) + 1, dtype=bool)
+        self.word_end[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -62,15 +71,43 @@ class WordTokenizer:
     def _runs(self, text: str) -> list[str]:
         return re.split("[ \n\t]+", text) if self.ODD.search(text) else text.split()
 
+    def _encode(self, lines: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+
+    def _learn(self, runs: list[str]) -> None:
+        plain: dict[str, list[tuple[str, str]]] = {}
+        single = {".", ","}
+        for run in runs:
+            core = run.rstrip(".,")
+            if self.PLAIN.fullmatch(core):
+                tail = run[len(core) :]
+                plain.setdefault(core.lower(), []).append((run, tail))
+                single.add(tail)
+            else:
+                single.add(run)
+        lone = [w for w in single if w and w not in self.known]
+        self.known.update(zip(lone, (a.tobytes() for a in self._encode(lone)), strict=True))
+        self.known[""] = b""
+        cores = list(plain)
+        for lo in range(0, len(cores), self.LINE):
+            line = cores[lo : lo + self.LINE]
+            ids = self._encode([" ".join(line)])[0]
+            cuts = np.flatnonzero(self.word_end[ids]) + 1
+            if len(cuts) == len(line):
+                parts = [a.tobytes() for a in np.split(ids, cuts[:-1])]
+            else:
+                parts = [a.tobytes() for a in self._encode(line)]
+            for core, part in zip(line, parts, strict=True):
+                for run, tail in plain[core]:
+                    self.known[run] = part + self.known[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         runs = [self._runs(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = [w for w in set().union(*runs) if w not in self.known]
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
         known = self.known
+        self._learn([w for w in set().union(*runs) if w not in known])
         return [b"".join([known[w] for w in r]) for r in runs]
 
 
@@ -161,9 +198,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         held = 0
 
         def frame() -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            return out
+            return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
         def close() -> None:
             nonlocal sequence, held
@@ -183,7 +218,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     ids += end
                     n = len(ids) // 4
                     for start, length in _pieces(n):
-                        piece = (None if pd.isna(doc_id) else int(doc_id), start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n)
+                        piece = (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n)
                         if length == WINDOW:
                             rows.append((*piece, sequence, 0))
                             sequence += 1
@@ -199,5 +234,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if rows:
             yield frame()
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return source.mapInPandas(pack, SCHEMA)
+    source = docs.select(id_or_none(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return source.mapInPandas(pack, SCHEMA).withColumn("doc_id", none_again())

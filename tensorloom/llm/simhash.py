@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import materialize, text_or_empty
+from tensorloom.llm.common import id_or_none, materialize, none_again, text_or_empty
 from tensorloom.llm.connected import connected_components
 
 SEED = 42
@@ -59,8 +59,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, ngram) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"id": pdf["id"], "fp": fp})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInPandas(score, "id long, fp long")
+    rows = docs.select(id_or_none(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    return rows.mapInPandas(score, "id long, fp long").withColumn("id", none_again("id"))
 
 
 def _postings(fps: DataFrame) -> DataFrame:
