@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorloom.llm.common import table
+from tensorloom.llm.chat import format_conversations, read_formatted, with_probe
+from tensorloom.llm.common import scratch_path, table
+from tensorloom.llm.fingerprints import fingerprint_edits
+from tensorloom.llm.html_extract import extract
+from tensorloom.llm.media import media_digests
 from tensorloom.llm.packing import pack_documents
 from tensorloom.llm.simhash import near_duplicates
 from tensorloom.llm.suffix_dedup import digest, remove_repeats
 from tensorloom.llm.toxicity import fit, score
+from tensorloom.llm.warc import page_digests, read_records, write_archives
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +26,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -30,8 +39,39 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return page_digests(read_records(spark, path))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_formatted(format_conversations(with_probe(table(spark, sf_dir, "conversations")))).drop("formatted")
+
+
+QUERIES = (
+    op1_simhash,
+    op2_packing,
+    op3_fingerprints,
+    op4_suffix_dedup,
+    op5_toxicity,
+    op6_warc,
+    op7_media,
+    op8_html_extraction,
+    op10_chat_formatting,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op4_suffix_dedup, op5_toxicity)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
