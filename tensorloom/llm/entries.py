@@ -11,6 +11,7 @@ from tensorloom.llm.common import scratch_path, table
 from tensorloom.llm.fingerprints import fingerprint_edits
 from tensorloom.llm.html_extract import extract
 from tensorloom.llm.media import media_digests
+from tensorloom.llm.mixing import MIXTURE_SQL, mixture
 from tensorloom.llm.packing import pack_documents
 from tensorloom.llm.simhash import near_duplicates
 from tensorloom.llm.suffix_dedup import digest, remove_repeats
@@ -53,6 +54,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_formatted(format_conversations(with_probe(table(spark, sf_dir, "conversations")))).drop("formatted")
 
@@ -66,6 +71,7 @@ QUERIES = (
     op6_warc,
     op7_media,
     op8_html_extraction,
+    op9_mixing,
     op10_chat_formatting,
 )
 
@@ -75,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": MIXTURE_SQL}

@@ -21,9 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tensorloom.llm.common import id_or_none, materialize, none_again, text_or_empty
 
@@ -164,13 +166,12 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     )
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts as compressed bytes, to move less when they are joined."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, to move less when they are joined; the other columns pass by."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    for pdf in batches:
-        yield pd.DataFrame(
-            {"doc_id": pdf["doc_id"], "mark": pdf["mark"], "body": [squeeze(t.encode("utf-8", "surrogatepass")) for t in pdf["text"]]}
-        )
+    for batch in batches:
+        body = pa.array([squeeze(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), batch.column("rest"), body], ["doc_id", "mark", "rest", "body"])
 
 
 def _unpack(body: bytes) -> bytes:
@@ -254,11 +255,11 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, runs) for docs(doc_id, mark, text): the compressed texts, and per text the array of runs of repeated window starts
+    """(texts, runs) for docs(doc_id, mark, rest, text): the compressed texts, and per text the array of runs of repeated window starts
     (first start * 2**20 + number of starts)."""
-    bodies = docs.mapInPandas(_pack, "doc_id long, mark int, body binary")
+    bodies = docs.mapInArrow(_pack, StructType([*docs.select("doc_id", "mark", "rest").schema.fields, StructField("body", BinaryType())]))
     found = materialize(
-        docs.mapInPandas(_entries, "kind byte, bucket long, cover long, doc_id long, mark int, run long, settled byte"), "entries"
+        docs.drop("rest").mapInPandas(_entries, "kind byte, bucket long, cover long, doc_id long, mark int, run long, settled byte"), "entries"
     )
     place = F.struct("settled", "doc_id", "mark", "run")
     entries = found.where("kind = 0").drop("kind")
@@ -277,7 +278,7 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     ask = F.array("bucket", "run", (F.col("hot").cast("long") * 2 + F.col("settled")))
     wanted = doubtful.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(ask)).alias("wanted"))
-    asked = bodies.join(wanted, ["doc_id", "mark"])
+    asked = bodies.drop("rest").join(wanted, ["doc_id", "mark"])
     contexts = materialize(
         asked.mapInPandas(_contexts, "bucket long, hot boolean, run long, settled byte, body binary, doc_id long, mark int"), "contexts"
     )
@@ -305,32 +306,54 @@ def _keep(data: bytes, runs) -> tuple[bytes, int]:
     return np.frombuffer(data, dtype=np.uint8)[~gone].tobytes(), spans
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: (doc_id, n_bytes, n_removed, n_spans, kept) with kept the bytes that are left, as binary.
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bodies, runs = batch.column("body"), batch.column("runs")
+        for lo in range(0, len(batch), 512):
+            rows = []
+            for body, found in zip(bodies.slice(lo, 512), runs.slice(lo, 512), strict=True):
+                data = _unpack(body.as_py())
+                kept, spans = _keep(data, found.as_py())
+                rows.append((len(data), len(data) - len(kept), spans, kept))
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            part = batch.slice(lo, 512)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("rest"), *columns], ["doc_id", "rest", "n_bytes", "n_removed", "n_spans", "kept"]
+            )
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per row of `docs`: (doc_id, n_bytes, n_removed, n_spans, kept, rest) with kept the bytes that are left, as binary, and rest a struct of the
+    columns to `carry` along (null without).
 
     Null texts count as empty; texts under LENGTH bytes are left whole. Repeated rows are texts like any other, so both lose what they
-    share. Rows with a null id keep it. Other columns are ignored; an empty table gives no rows.
+    share. Rows with a null id keep it. Columns that aren't carried are ignored, whatever their names; an empty table gives no rows.
     """
     text = text_or_empty(text_col)
-    source = docs.select(id_or_none(id_col).alias("doc_id"), F.hash(text).alias("mark"), text.alias("text"))
+    rest = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    source = docs.select(id_or_none(id_col).alias("doc_id"), F.hash(text).alias("mark"), rest.alias("rest"), text.alias("text"))
     bodies, runs = repeated_runs(source)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for body, found in zip(pdf["body"], pdf["runs"], strict=True):
-                data = _unpack(body)
-                kept, spans = _keep(data, found)
-                rows.append((len(data), len(data) - len(kept), spans, kept))
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
-
     joined = bodies.join(runs, ["doc_id", "mark"], "left")
-    left = joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return left.withColumn("doc_id", none_again("doc_id"))
+    counts = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    fields = [*joined.select("doc_id", "rest").schema.fields, *counts, StructField("kept", BinaryType())]
+    return joined.mapInArrow(_cut, StructType(fields)).withColumn("doc_id", none_again())
 
 
 def digest(removed: DataFrame) -> DataFrame:
     """The result of remove_repeats with the SHA-256 of what is left in place of the bytes."""
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """`docs` with the repeated passages cut out of its texts, and n_chars, if there, counted anew. Bytes of a character that was cut in part go too.
+    A null text becomes empty."""
+    removed = remove_repeats(docs, carry=[c for c in docs.columns if c != "text"])
+    whole = docs.schema.names
+
+    @F.pandas_udf("string")
+    def readable(bodies: pd.Series) -> pd.Series:
+        return pd.Series([b.decode("utf-8", "ignore") for b in bodies], dtype="object")
+
+    text = removed.select("rest", readable("kept").alias("_text"))
+    changed = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    return text.select(*((changed[c] if c in changed else F.col("rest")[c]).alias(c) for c in whole))
