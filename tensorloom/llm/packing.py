@@ -17,16 +17,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tensorloom.llm.common import id_or_none, none_again, text_or_empty
+from tensorloom.llm.common import text_or_empty
 
 WINDOW = 2048
 ITEM = 256
 CHUNK_WINDOWS = 256
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_500_000
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -45,8 +47,6 @@ class WordTokenizer:
     parted at the tokens that end a word; all others go one by one.
     """
 
-    # str.split() also splits at these, which are not white space to the tokenizer
-    ODD = re.compile("[\x1c-\x1f]")
     # below U+0130 lower-casing maps letters one to one
     PLAIN = re.compile("[^\\W\\d_\u0130-\U0010ffff]+")
     LINE = 1000
@@ -68,47 +68,54 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _runs(self, text: str) -> list[str]:
-        return re.split("[ \n\t]+", text) if self.ODD.search(text) else text.split()
-
     def _encode(self, lines: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
 
     def _learn(self, runs: list[str]) -> None:
-        plain: dict[str, list[tuple[str, str]]] = {}
-        single = {".", ","}
+        known, plain = self.known, self.PLAIN.fullmatch
+        known[""] = b""
+        cores, single = [], [w for w in (".", ",") if w not in known]
         for run in runs:
             core = run.rstrip(".,")
-            if self.PLAIN.fullmatch(core):
-                tail = run[len(core) :]
-                plain.setdefault(core.lower(), []).append((run, tail))
-                single.add(tail)
+            if plain(core):
+                cores.append((run, core.lower(), run[len(core) :]))
             else:
-                single.add(run)
-        lone = [w for w in single if w and w not in self.known]
-        self.known.update(zip(lone, (a.tobytes() for a in self._encode(lone)), strict=True))
-        self.known[""] = b""
-        cores = list(plain)
-        for lo in range(0, len(cores), self.LINE):
-            line = cores[lo : lo + self.LINE]
+                single.append(run)
+        single += {t for _, _, t in cores} - known.keys()
+        known.update(zip(single, (a.tobytes() for a in self._encode(single)), strict=True))
+        new = list({low for _, low, _ in cores} - known.keys())
+        for lo in range(0, len(new), self.LINE):
+            line = new[lo : lo + self.LINE]
             ids = self._encode([" ".join(line)])[0]
-            cuts = np.flatnonzero(self.word_end[ids]) + 1
+            cuts = (np.flatnonzero(self.word_end[ids]) + 1).tolist()
             if len(cuts) == len(line):
-                parts = [a.tobytes() for a in np.split(ids, cuts[:-1])]
+                raw, begins = ids.tobytes(), [0, *cuts[:-1]]
+                known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(line, begins, cuts, strict=True))
             else:
-                parts = [a.tobytes() for a in self._encode(line)]
-            for core, part in zip(line, parts, strict=True):
-                for run, tail in plain[core]:
-                    self.known[run] = part + self.known[tail]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        runs = [self._runs(t) for t in texts]
+                known.update(zip(line, (a.tobytes() for a in self._encode(line)), strict=True))
+        known.update((run, known[low] + known[tail]) for run, low, tail in cores)
+
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text begins and the last ends). Runs between ASCII white space are numbered by Arrow; each distinct run is
+        looked up once and its ids are gathered by number."""
+        runs = pc.ascii_split_whitespace(texts)
+        numbered = runs.flatten().dictionary_encode()
+        words = numbered.dictionary.to_pylist()
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        self._learn([w for w in set().union(*runs) if w not in known])
-        return [b"".join([known[w] for w in r]) for r in runs]
+        self._learn([w for w in words if w not in known])
+        parts = [known[w] for w in words]
+        pool = np.frombuffer(b"".join(parts), dtype="<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begins = np.cumsum(sizes) - sizes
+        codes = numbered.indices.to_numpy()
+        own = sizes[codes]
+        ends = np.cumsum(own)
+        at = np.repeat(begins[codes] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)
+        cuts = np.concatenate(([0], ends))[runs.offsets.to_numpy() - runs.offsets[0].as_py()]
+        return pool[at], cuts
 
 
 def difference(sizes: list[int], ways: int) -> list[list[int]]:
@@ -188,17 +195,15 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Sequence ids are unique: the task's number and a count within it. Extra columns are ignored; an empty table gives no rows.
     """
     path = tokenizer or tokenizer_path()
-    end = np.array([END_ID], dtype="<u4").tobytes()
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer.load(path)
         sequence = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         items: list[tuple] = []
         held = 0
-
-        def frame() -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        end = np.array([END_ID], dtype="<u4")
 
         def close() -> None:
             nonlocal sequence, held
@@ -211,14 +216,19 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             items.clear()
             held = 0
 
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
-                for doc_id, ids in zip(part["doc_id"], words.encode(list(part["text"])), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start, length in _pieces(n):
-                        piece = (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n)
+        def take() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
+            rows.clear()
+            return out
+
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                ids, cuts = words.encode(part.column("text"))
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    own = np.concatenate((ids[a:b], end))
+                    for start, length in _pieces(len(own)):
+                        piece = (doc_id, start, length, zlib.crc32(own[start : start + length]), len(own))
                         if length == WINDOW:
                             rows.append((*piece, sequence, 0))
                             sequence += 1
@@ -228,11 +238,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if held >= CHUNK_WINDOWS * WINDOW:
                         close()
                 if len(rows) >= 20_000:
-                    yield frame()
-                    rows.clear()
+                    yield take()
         close()
         if rows:
-            yield frame()
+            yield take()
 
-    source = docs.select(id_or_none(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return source.mapInPandas(pack, SCHEMA).withColumn("doc_id", none_again())
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return source.mapInArrow(pack, SCHEMA)
