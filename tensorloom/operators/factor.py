@@ -82,14 +82,15 @@ def loss(t: DataFrame, group: list[str], modes: list[tuple[str, str]], factors:
     return j.select(*group, F.greatest((F.col("_t") - 2 * F.col("_i") + F.col("_m")) / F.col("_t"), F.lit(0.0)).alias("loss"))
 
 
-def factorise(t: DataFrame, group: list[str], modes: list[tuple[str, str]], rank: int, steps: int, seed: int = 0, tolerance: float = 0.0, cut_every: int = 2) -> dict[str, DataFrame]:
+def factorise(t: DataFrame, group: list[str], modes: list[tuple[str, str]], rank: int, steps: int, seed: int = 0, tolerance: float = 0.0, cut_every: int = 1) -> dict[str, DataFrame]:
     """Factors after at most `steps` rounds of updates of every factor; the lineage is cut with reliable checkpoints every `cut_every` rounds, when the mean
     loss is looked at: rounds end early if it changes by less than `tolerance`, relatively."""
-    factors, seen = start_factors(t, group, modes, rank, seed), None
+    t = checkpoint(t)
+    factors, seen = {n: checkpoint(f) for n, f in start_factors(t, group, modes, rank, seed).items()}, None
     for k in range(steps):
         for name in list(factors):
             factors[name] = update(t, group, modes, factors, name)
-        if (k + 1) % cut_every == 0 and k + 1 < steps:
+        if (k + 1) % cut_every == 0:
             factors = {n: checkpoint(f) for n, f in factors.items()}
             if tolerance:
                 now = loss(t, group, modes, factors).agg(F.avg("loss")).first()[0]

@@ -49,7 +49,7 @@ def sparse_pearson(m: DataFrame, n: int, group=GROUP, floor: float = 0.0) -> Dat
     z = m.join(stats, [*group, "i"]).where(sd > 0).select(*group, "i", "j", ((F.col("value") - F.col("mu")) / sd).alias("z"))
     other = z.select(*group, F.col("i").alias("i2"), "j", F.col("z").alias("z2"))
     dots = z.join(other, [*group, "j"]).where("i <= i2").groupBy(*group, "i", "i2").agg(F.sum(F.col("z") * F.col("z2")).alias("dot"))
-    norms = dots.where("i = i2").select(*group, F.col("i").alias("_k"), F.sqrt("dot").alias("_n"))
+    norms = z.groupBy(*group, F.col("i").alias("_k")).agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("_n"))
     a = norms.select(*group, F.col("_k").alias("i"), F.col("_n").alias("na"))
     b = norms.select(*group, F.col("_k").alias("i2"), F.col("_n").alias("nb"))
     c = F.coalesce(F.try_divide("dot", F.col("na") * F.col("nb")), F.lit(0.0))

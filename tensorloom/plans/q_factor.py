@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tensorloom.functions.numeric import checkpoint
 from tensorloom.operators import factor as X
 from tensorloom.operators import matrix as M
 from tensorloom.plans import demo_data as D
@@ -38,7 +39,7 @@ PAIR = f"t as (select sample, chrom, i, j, value, modality from (select *, 0 as
 def _two(spark, d):
     m = M.symmetrize(D.contacts(spark, d))
     second = m.withColumn("value", F.col("value") * (1 + (F.col("i") + F.col("j")) % 3)).withColumn("modality", F.lit(1))
-    return m.withColumn("modality", F.lit(0)).unionByName(second)
+    return checkpoint(m.withColumn("modality", F.lit(0)).unionByName(second))
 
 
 @query("ncp_sym3_step1", sql(f"+{SYM}, {PAIR} select v.sample, v.chrom, v.idx, v.r, round(v.v * sqrt(n.num / (d.den + 1e-12)), 8) as value from v join dn d using (sample, chrom, idx, r) join nm n using (sample, chrom, idx, r)", "contacts"))
@@ -52,7 +53,7 @@ def _cum(spark, d):
     from tensorloom.plans.q_tensor import NV, _small
 
     full = T.expand3(M.shift_min(T.third_cumulant(_small(spark, d), NV, ["chrom"]), ["chrom"]), ["chrom"])
-    return full
+    return checkpoint(full)
 
 
 @query("ncp_full_sym_loss")
