@@ -37,69 +37,75 @@ def lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return seen.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= low) & (F.col("df") <= high)).select("term")
 
 
+def _bound(value: Column, body) -> Column:
+    """body(value) with the value computed once: a lambda over an array of one element names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _subsets(found: Column, seed: int, rate: int, count: int) -> Column:
-    """Four hex digits for each of `count` subsets of one in `rate` lexicon terms, from the sorted terms."""
+    """A number from 1 to 65535 for each of `count` subsets of one in `rate` lexicon terms, from the sorted terms; 0 for an empty one."""
+    celled = F.transform(found, lambda t: F.struct(F.pmod(F.xxhash64(t, F.lit(seed)), F.lit(rate)).alias("cell"), t.alias("term")))
+
+    def number(own: Column) -> Column:
+        hashed = F.pmod(F.xxhash64(F.transform(own, lambda x: x["term"])), F.lit(65535)) + 1
+        return F.when(F.size(own) == 0, F.lit(0)).otherwise(hashed.cast("int"))
 
-    def cell(t: Column) -> Column:
-        return F.pmod(F.xxhash64(t, F.lit(seed)), F.lit(rate))
+    def split(taken: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: number(F.filter(taken, lambda x: x["cell"] == j)))
 
-    taken = F.transform(F.filter(found, lambda t: cell(t) < count), lambda t: F.struct(cell(t).alias("cell"), t.alias("term")))
-    owned = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.filter(taken, lambda x: x["cell"] == j))
+    return _bound(F.filter(celled, lambda x: x["cell"] < count), split)
 
-    def digits(own: Column) -> Column:
-        named = F.lower(F.right(F.lpad(F.hex(F.xxhash64(F.transform(own, lambda x: x["term"]))), 16, "0"), F.lit(4)))
-        return F.when(F.size(own) == 0, F.lit(NONE)).otherwise(named)
 
-    return F.transform(owned, digits)
+def subset_numbers(found: Column) -> Column:
+    return F.concat(*(_subsets(found, seed, rate, count) for seed, (rate, count) in enumerate(SUBSETS)))
 
 
-def compose(found: Column, all_terms: Column) -> Column:
-    """The fingerprint from the sorted lexicon terms; a text without any is told by all its terms."""
-    subsets = [_subsets(found, seed, rate, count) for seed, (rate, count) in enumerate(SUBSETS)]
-    first = F.when(F.size(found) == 0, all_terms).otherwise(F.xxhash64(found))
-    return F.concat(F.lower(F.lpad(F.hex(first), 16, "0")), F.lit("."), F.array_join(F.concat(*subsets), ""))
+def compose(first: Column, parts: Column) -> Column:
+    """The fingerprint as text: 16 hex digits, a dot, and four for each subset, dashes for an empty one."""
+    digits = F.transform(parts, lambda n: F.when(n == 0, F.lit(NONE)).otherwise(F.lower(F.lpad(F.hex(n), 4, "0"))))
+    return F.concat(F.lower(F.lpad(F.hex(first), 16, "0")), F.lit("."), F.array_join(digits, ""))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(first_a: Column, parts_a: Column, first_b: Column, parts_b: Column) -> Column:
     """0 to 1 for two fingerprints."""
-    n = sum(count for _, count in SUBSETS)
-    cut = F.sequence(F.lit(0), F.lit(n - 1))
-    pairs = F.transform(cut, lambda i: F.struct(F.substr(a, i * 4 + 18, F.lit(4)).alias("a"), F.substr(b, i * 4 + 18, F.lit(4)).alias("b")))
-    used = F.filter(pairs, lambda p: (p["a"] != NONE) | (p["b"] != NONE))
-    equal = F.filter(used, lambda p: p["a"] == p["b"])
-    share = F.when(F.size(used) == 0, F.lit(0.0)).otherwise(F.size(equal) / F.size(used))
-    return F.when(F.left(a, F.lit(16)) == F.left(b, F.lit(16)), F.lit(1.0)).otherwise(share)
+    both = F.zip_with(parts_a, parts_b, lambda x, y: F.when((x == y) & (x != 0), 1001).when((x != 0) | (y != 0), 1000).otherwise(0))
+    tally = F.aggregate(both, F.lit(0), lambda s, v: s + v)
+    share = _bound(tally, lambda t: F.when(t == 0, F.lit(0.0)).otherwise((t % 1000) / F.floor(t / 1000)))
+    return F.when(first_a == first_b, F.lit(1.0)).otherwise(share)
 
 
-def fingerprint_rows(rows: DataFrame, words: DataFrame, keys: list[str], versions: dict[str, str], once: list[str]) -> DataFrame:
-    """Fingerprints of several text columns of a table, one row per row.
+def fingerprint_rows(rows: DataFrame, words: DataFrame, key: str, versions: list[str], once: list[str]) -> DataFrame:
+    """Fingerprints of several text columns of a table, one row per row: (key, once.., <version>_first, <version>_parts).
 
-    versions: text column -> name of its fingerprint. The terms of all versions are laid out as rows, kept by a broadcast join with the lexicon and
-    gathered again under `keys` and a row number, with no shuffle if the table is already partitioned by one of the keys. Term 0 stands in for texts
-    without lexicon terms; `once` columns ride on its row alone.
+    The terms of all versions are laid out as rows, kept by a broadcast join with the lexicon and gathered again under the key and a row number,
+    without a shuffle if the table is already partitioned by the key. Term 0 stands in for texts without lexicon terms; `once` columns ride on its
+    row alone. A text without lexicon terms is told by all its terms.
     """
 
     def tagged(version: int):
         return lambda t: F.struct(F.lit(version).alias("v"), t.alias("term"))
 
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    names = list(versions)
+    numbered, names = rows.withColumn("_row", F.monotonically_increasing_id()), versions
     for i, v in enumerate(names):
         numbered = numbered.withColumn(f"_t{i}", terms(F.col(v)))
     laid = numbered.select(
-        *keys, "_row", *once,
+        key, "_row", *once,
         *(F.xxhash64(F.array_sort(f"_t{i}")).alias(f"_all{i}") for i in range(len(names))),
         F.explode(F.concat(F.array(tagged(-1)(F.lit(0).cast("long"))), *(F.transform(f"_t{i}", tagged(i)) for i in range(len(names))))).alias("_x"),
     )
     lead = F.col("_x.v") == -1
     alls = [f"_all{i}" for i in range(len(names))]
-    slim = laid.select(*keys, "_row", *(F.when(lead, F.col(c)).alias(c) for c in [*once, *alls]), F.col("_x.v").alias("_v"), F.col("_x.term").alias("term"))
+    slim = laid.select(key, "_row", *(F.when(lead, F.col(c)).alias(c) for c in [*once, *alls]), F.col("_x.v").alias("_v"), F.col("_x.term").alias("term"))
     kept = slim.join(F.broadcast(words.unionByName(words.sparkSession.range(1).select(F.lit(0).cast("long").alias("term"))).distinct()), "term")
-    gathered = kept.groupBy(*keys, "_row").agg(
+    gathered = kept.groupBy(key, "_row").agg(
         *(F.max(c).alias(c) for c in [*once, *alls]),
         *(F.array_sort(F.collect_list(F.when(F.col("_v") == i, F.col("term")))).alias(f"_f{i}") for i in range(len(names))),
     )
-    return gathered.select(*keys, *once, *(compose(F.col(f"_f{i}"), F.col(f"_all{i}")).alias(versions[v]) for i, v in enumerate(names)))
+    out = []
+    for i, v in enumerate(names):
+        found = F.col(f"_f{i}")
+        out += [F.when(F.size(found) == 0, F.col(f"_all{i}")).otherwise(F.xxhash64(found)).alias(f"{v}_first"), subset_numbers(found).alias(f"{v}_parts")]
+    return gathered.select(key, *once, *out)
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -125,22 +131,25 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     Null texts count as empty. A repeated id takes part as often as it comes; as "next document" it stands once, with its smallest text. A null id is
     the lowest and comes back as null. Other columns are ignored; an empty table gives no rows.
     """
-    base = docs.select(id_or_none().alias("doc_id"), text_or_empty().alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    # one shuffle of the texts, shared by the documents as such and as givers of their first half
+    base = docs.select(id_or_none().alias("doc_id"), text_or_empty().alias("text")).repartition("doc_id")
+    slim = docs.select(id_or_none().alias("doc_id"), F.char_length(text_or_empty()).cast("long").alias("n_chars"))
     words = materialize(lexicon(docs), "lexicon")
-    order = following(base)
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    wants = base.groupBy("doc_id").agg(F.max(half).alias("want")).join(order, "doc_id")
-    gifts = base.select(F.col("doc_id").alias("next_id"), "text").join(wants, "next_id").select(
-        "doc_id", "next_id", F.substr("text", F.lit(1), F.col("want")).alias("gift")
-    )
-    gifts = gifts.groupBy("doc_id", "next_id").agg(F.min("gift").alias("gift"))
-    edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr("gift", F.lit(1), half))
-    rows = base.join(gifts, "doc_id").withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    done = materialize(
-        fingerprint_rows(rows, words, ["doc_id"], {"text": "fingerprint", "edited": "edited_fingerprint"}, ["next_id", "n_chars", "edited_sha256"]), "fingerprints"
+    wants = slim.groupBy("doc_id").agg(F.max(half).alias("want")).join(following(slim), "doc_id")
+    asked = wants.select(F.col("doc_id").alias("to"), F.col("next_id").alias("doc_id"), "want")
+    giving = base.join(asked, "doc_id").withColumn("gift", F.substr("text", F.lit(1), F.col("want")))
+    gifts = fingerprint_rows(giving, words, "doc_id", ["text"], ["to", "gift"]).select(
+        F.col("to").alias("doc_id"), F.struct("gift", F.col("text_first").alias("first"), F.col("text_parts").alias("parts")).alias("next")
     )
-    others = done.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
-    return done.join(others, "next_id").select(
-        none_again().alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    gifts = gifts.groupBy("doc_id").agg(F.min("next").alias("next"))
+    rows = base.join(gifts, "doc_id").withColumn("n_chars", F.char_length("text").cast("long"))
+    edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr(F.col("next.gift"), F.lit(1), half))
+    rows = rows.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    rows = rows.withColumn("next_first", F.col("next.first")).withColumn("next_parts", F.col("next.parts")).drop("next")
+    done = fingerprint_rows(rows, words, "doc_id", ["text", "edited"], ["n_chars", "edited_sha256", "next_first", "next_parts"])
+    own, other, after = ((F.col(f"{v}_first"), F.col(f"{v}_parts")) for v in ("text", "edited", "next"))
+    return done.select(
+        none_again().alias("doc_id"), "n_chars", "edited_sha256", compose(*own).alias("fingerprint"), compose(*other).alias("edited_fingerprint"),
+        likeness(*own, *other).alias("near_edited"), likeness(*own, *after).alias("near_next"),
     )

@@ -29,6 +29,7 @@ WINDOW = 2048
 ITEM = 256
 CHUNK_WINDOWS = 256
 CACHE_WORDS = 1_500_000
+SLICE_BYTES = 10_000_000
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -188,6 +189,16 @@ def _pieces(n: int) -> Iterator[tuple[int, int]]:
         start += ITEM
 
 
+def _by_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about SLICE_BYTES of text; a longer text is a slice of its own."""
+    upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, with the CRC-32 of its ids.
 
@@ -222,8 +233,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return out
 
         for batch in batches:
-            for lo in range(0, len(batch), 1024):
-                part = batch.slice(lo, 1024)
+            for part in _by_bytes(batch):
                 ids, cuts = words.encode(part.column("text"))
                 for doc_id, a, b in zip(part.column("doc_id").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     own = np.concatenate((ids[a:b], end))
