@@ -13,7 +13,7 @@ Scoring reads every text whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,8 @@ from tensorloom.llm.common import id_or_none, none_again, text_or_empty
 BUCKETS = 1 << 18
 DIM = 12
 SIZES = (3, 4, 5)
-STEPS = 40_000
-MAX_TRAIN = 12_000
+STEPS = 64_000
+MAX_TRAIN = 8_000
 PAD_WORDS = 10
 THRESHOLD = 0.7
 _LETTER = np.random.default_rng(77).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -72,7 +72,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return bucket, (1.0 / parts[own]).astype(np.float32), len(words)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 13) -> tuple[np.ndarray, float]:
+def train(texts: Iterable[str], labels: list[int], seed: int = 13) -> tuple[np.ndarray, float]:
     """(number per bucket, bias): the trained table and layer, folded. Needs texts of both labels; else the bias alone carries the label share."""
     y = np.asarray(labels, dtype=np.int64)
     share = float(y.mean()) if len(y) else 0.0
@@ -132,9 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple
     marks = marks.where("id is not null and label in (0, 1) and crc32(cast(id as string)) % 3 != 1")
     chosen = marks.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").toPandas()
-    rows = rows.sort_values(["id", "text"], kind="stable").drop_duplicates("id")
-    return train(rows["text"].tolist(), rows["label"].tolist())
+    rows = texts.join(F.broadcast(chosen), "id").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    ids = rows.column("id").to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else ids
+    rows = rows.take(first)
+    # texts are turned to features one by one, so they are not held twice
+    return train((t.as_py() for t in rows.column("text")), rows.column("label").to_pylist())
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
