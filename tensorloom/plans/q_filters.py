@@ -78,7 +78,7 @@ def drop_iqr_outliers(spark, d):
     return P.drop_iqr_outliers(D.read(spark, d, "events").select("event_id", "value"), ["value"])
 
 
-@query("tri_level", "select event_id, case when value - 50 > 20 then 20.0 when value - 50 < 0 and abs(value - 50) > 30 then -1.0 else 0.0 end as level from events")
+@query("tri_level", "select event_id, case when value - 50 > 20 then 20.0::double when value - 50 < 0 and abs(value - 50) > 30 then -1.0::double else 0.0::double end as level from events")
 def tri_level(spark, d):
     return D.read(spark, d, "events").select("event_id", N.tri_level(F.col("value") - 50, 20.0, 30.0).alias("level"))
 

@@ -123,9 +123,9 @@ def normalize_rows_sum1(spark, d):
 CENTRE = "c as (select sample, chrom, bin, value - avg(value) over (partition by sample, chrom) as v from vector)"
 
 
-@query("outer_product", sql(f"+{CENTRE} select a.sample, a.chrom, a.bin as i, b.bin as j, round(a.v * b.v, 4) as value from c a join c b on a.sample = b.sample and a.chrom = b.chrom and a.bin <= b.bin", "vector"))
+@query("outer_product", sql(f"+{CENTRE} select a.sample, a.chrom, a.bin as i, b.bin as j, round(a.v * b.v, 9) as value from c a join c b on a.sample = b.sample and a.chrom = b.chrom and a.bin <= b.bin", "vector"))
 def outer_product(spark, d):
-    return rounded(M.outer_product(D.vector(spark, d), limit=10_000), 4)
+    return rounded(M.outer_product(D.vector(spark, d), limit=10_000), 9)
 
 
 @query("observed_over_expected", sql("select sample, chrom, i, j, round(value / (sum(value) over (partition by sample, chrom, j - i) / (40 - (j - i))), 6) as value from contacts", "contacts"))
