@@ -28,7 +28,7 @@ from tensorloom.llm.common import text_or_empty
 WINDOW = 2048
 ITEM = 256
 CHUNK_WINDOWS = 256
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 SLICE_BYTES = 10_000_000
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -42,7 +42,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 class WordTokenizer:
     """Ids of texts by a tokenizer file whose pre-tokenizer never crosses white space and marks word ends: every run between spaces is
-    encoded once by the library and then remembered, up to CACHE_WORDS runs.
+    encoded once by the library and then remembered, up to about CACHE_WORDS runs.
 
     Runs of plain letters, lower-cased and without the full stops or commas that follow them, go to the library many in a line, to be
     parted at the tokens that end a word; all others go one by one.
@@ -61,7 +61,9 @@ class WordTokenizer:
         words = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(words.values(), default=0) + 1, dtype=bool)
         self.word_end[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        # two generations: when the newer has half of CACHE_WORDS it becomes the older, and what is met again moves over
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
@@ -103,10 +105,14 @@ class WordTokenizer:
         runs = pc.ascii_split_whitespace(texts)
         numbered = runs.flatten().dictionary_encode()
         words = numbered.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        self._learn([w for w in words if w not in known])
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = [w for w in words if w not in known]
+        if older:
+            known.update((w, older[w]) for w in missing if w in older)
+            missing = [w for w in missing if w not in known]
+        self._learn(missing)
         parts = [known[w] for w in words]
         pool = np.frombuffer(b"".join(parts), dtype="<u4")
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4

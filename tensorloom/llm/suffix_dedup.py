@@ -33,7 +33,7 @@ LENGTH = 200
 Q = 64
 BLOCK = 1 << 19
 HOT_CLASSES = 20_000
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 _BYTE = np.random.default_rng(20250101).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEP2 = 0xD6E8FEB86659FD93
