@@ -13,6 +13,8 @@ import heapq
 import math
 import os
 import re
+import threading
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +30,8 @@ from tensorloom.llm.common import text_or_empty
 WINDOW = 2048
 ITEM = 256
 CHUNK_WINDOWS = 256
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
+IDLE_SECONDS = 10
 SLICE_BYTES = 10_000_000
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -64,6 +67,7 @@ class WordTokenizer:
         # two generations: when the newer has half of CACHE_WORDS it becomes the older, and what is met again moves over
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.lock, self.used = threading.Lock(), 0.0
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
@@ -71,6 +75,20 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def forget_later(self) -> None:
+        """Frees the remembered runs once IDLE_SECONDS pass without use, so a Python worker that is kept for other tasks does not hold them."""
+
+        def forget() -> None:
+            with self.lock:
+                if time.monotonic() - self.used >= IDLE_SECONDS:
+                    self.known, self.older = {}, {}
+
+        with self.lock:
+            self.used = time.monotonic()
+        timer = threading.Timer(IDLE_SECONDS + 1, forget)
+        timer.daemon = True
+        timer.start()
+
     def _encode(self, lines: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
 
@@ -102,6 +120,11 @@ class WordTokenizer:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text begins and the last ends). Runs between ASCII white space are numbered by Arrow; each distinct run is
         looked up once and its ids are gathered by number."""
+        with self.lock:
+            return self._gather(texts)
+
+    def _gather(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        self.used = time.monotonic()
         runs = pc.ascii_split_whitespace(texts)
         numbered = runs.flatten().dictionary_encode()
         words = numbered.dictionary.to_pylist()
@@ -256,6 +279,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if len(rows) >= 20_000:
                     yield take()
         close()
+        words.forget_later()
         if rows:
             yield take()
 
