@@ -32,7 +32,7 @@ ITEM = 256
 CHUNK_WINDOWS = 256
 CACHE_WORDS = 1_500_000
 IDLE_SECONDS = 10
-SLICE_BYTES = 10_000_000
+SLICE_BYTES = 5_000_000
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
