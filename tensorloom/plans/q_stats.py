@@ -97,16 +97,16 @@ RS = "cl as (select cell, grp from (select doc_id as cell, lang as grp from docu
 
 @query("rank_genes", sql(f"+{RS} select us.gene, grp, n1, n - n1 as n2, rs - n1 * (n1 + 1) / 2 as u, round((rs - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) / nullif(sqrt(n1 * (n - n1) / 12.0::double * ((n + 1) - ties / (n::double * (n - 1)))), 0), 6) as z, round(log2(own / n1 + 1e-9) - log2(oth / (n - n1) + 1e-9), 6) as log_fold_change from us join ti using (gene)", "counts"))
 def rank_genes(spark, d):
-    return rounded(_ranked(spark, d), 6, "z", "log_fold_change")
+    some = D.counts(spark, d).where(F.col("gene").isin("the", "of", "and", "in", "th", "er", "la", "de", "les"))
+    return rounded(_ranked(spark, d, some), 6, "z", "log_fold_change")
 
 
-def _ranked(spark, d):
-    some = D.counts(spark, d).where(F.col("gene").isin("the", "of", "and", "in", "th", "er", "la", "de", "les")).groupBy("cell", "gene").agg(F.sum("value").alias("value"))
+def _ranked(spark, d, counts):
     cells = D.read(spark, d, "documents").select(F.col("doc_id").alias("cell"), F.col("lang").alias("grp"))
-    return S.rank_sum(some, cells)
+    return S.rank_sum(counts.groupBy("cell", "gene").agg(F.sum("value").alias("value")), cells)
 
 
 @query("rank_genes_adjusted")
 def rank_genes_adjusted(spark, d):
-    p = _ranked(spark, d).withColumn("p", S.normal_tail(F.col("z")))
+    p = _ranked(spark, d, D.counts(spark, d)).withColumn("p", S.normal_tail(F.col("z"))).where("p is not null")
     return S.benjamini_hochberg(p, "p", ["grp"], ["gene"]).where("p_adjusted < 0.05").withColumn("up", F.col("log_fold_change") > 0)
