@@ -40,6 +40,7 @@ UNLIKELY = re.compile(
     re.I,
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|articles?-?body|post|post-?body|entry|entry-?content|content|main|main-?content|story|story-?body|body|text|blog|page|hentry)(?:$|[\s_-])", re.I)
+HEADER = re.compile(r"(?<![a-z0-9])header(?![a-z0-9])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|$))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>", re.S)
@@ -49,12 +50,13 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "about", "role", "hidden", "score", "links", "length")
+    __slots__ = ("tag", "parent", "children", "about", "role", "hidden", "score", "links", "length", "doubtful")
 
     def __init__(self, tag: str, parent: Node | None, about: str = "", role: str = "", hidden: bool = False):
         self.tag, self.parent, self.about, self.role, self.hidden = tag, parent, about, role, hidden
         self.children: list[Node | tuple[str, bool]] = []  # nodes, and (text, in a link)
         self.score, self.links, self.length = 0.0, 0, 0
+        self.doubtful = False  # kept below a name of boilerplate
 
 
 def parse(page: str) -> Node:
@@ -128,23 +130,55 @@ def parse(page: str) -> Node:
     return root
 
 
-def _boilerplate(node: Node, in_article: bool) -> bool:
-    if node.tag in DROP or node.hidden or node.role in ROLES:
+def _unlikely(node: Node, in_article: bool) -> bool:
+    """A class or id names boilerplate and no other one names content; in an article a header by class is like the header tag."""
+    about = HEADER.sub(" ", node.about) if in_article else node.about
+    names = about.split()
+    return any(UNLIKELY.search(x) for x in names) and not any(LIKELY.search(x) and not UNLIKELY.search(x) for x in names)
+
+
+def _boilerplate(node: Node, in_article: bool, most: bool) -> bool:
+    """Whether a node goes with all it holds; `most` says that it holds over half of the page's paragraph points."""
+    if node.hidden or node.tag in DROP and node.tag != "form" or node.role in ROLES and not (most and node.tag == node.role == "form"):
+        return True
+    if node.tag == "form" and not most:
         return True
     if node.tag == "header":
         return not in_article
-    return bool(node.about) and bool(UNLIKELY.search(node.about)) and node.tag not in ("article", "main")
+    return not most and node.tag not in ("article", "main") and _unlikely(node, in_article)
+
+
+def _points(node: Node) -> int:
+    """Points of a paragraph-like block for its own text."""
+    text = _own(node).strip()
+    if node.tag not in PARAGRAPH and node.parent is not None or len(text) < 25 or node.parent is None:
+        return 0
+    return 1 + text.count(",") + text.count("，") + min(len(text) // 100, 3)
 
 
 def _prune(root: Node) -> None:
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and not (c.hidden or c.tag in DROP and c.tag != "form" or c.role in ROLES - {"form"})]
+    below = {id(x): _points(x) for x in order}
+    named = {id(x): int(x.tag in ("article", "main")) for x in order}
+    for node in reversed(order):
+        if node.parent is not None:
+            below[id(node.parent)] += below[id(node)]
+            named[id(node.parent)] += named[id(node)]
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         kept = []
         for child in node.children:
             if isinstance(child, Node):
-                if _boilerplate(child, inside):
+                # a long advertisement beside a short article is not the article
+                most = 2 * below.get(id(child), 0) > below[id(root)] and (inside or named[id(child)] == named[id(root)])
+                if _boilerplate(child, inside, most):
                     continue
+                child.doubtful = node.doubtful or child.tag not in ("article", "main") and _unlikely(child, inside)
                 stack.append((child, inside or child.tag in ("article", "main")))
             kept.append(child)
         node.children = kept
@@ -181,19 +215,16 @@ def _score(order: list[Node]) -> list[Node]:
     """Points per container, link density taken off; the candidates."""
     found: dict[int, Node] = {}
     for node in order:
-        if node.tag not in PARAGRAPH and node.parent is not None:
-            continue
-        text = _own(node).strip()
-        if len(text) < 25 or node.parent is None:
+        points = _points(node)
+        if not points:
             continue
-        points = 1 + text.count(",") + text.count("，") + min(len(text) // 100, 3)
         for up, share in ((node.parent, 1.0), (node.parent.parent, 0.5)):
             if up is not None:
                 found[id(up)] = up
                 up.score += points * share
     for node in found.values():
         base = {"article": 30, "main": 20, "section": 3, "div": 3, "blockquote": 3, "td": 3, "pre": 3}.get(node.tag, -3 if node.tag in ("ul", "ol", "dl", "li", "th") else 0)
-        node.score += base + (15 if node.about and LIKELY.search(node.about) else 0)
+        node.score += base + (15 if node.about and LIKELY.search(node.about) else 0) - (25 if node.doubtful else 0)
         node.score *= 1 - _density(node)
     return list(found.values())
 
