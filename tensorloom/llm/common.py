@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.functions.numeric import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of the folder `sf_dir`, by any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or an own one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="tensorloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the session's file system closes."""
-    path = f"{scratch_root(spark)}/tensorloom-{os.getpid()}-{uuid.uuid4().hex[:12]}-{name}"
+    path = f"{shared_folder(spark)}/tensorloom-{os.getpid()}-{uuid.uuid4().hex[:12]}-{name}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
     return path
@@ -60,3 +53,11 @@ def id_or_none(column: str = "doc_id"):
 def none_again(column: str = "doc_id"):
     """Undoes id_or_none."""
     return F.nullif(F.col(column), F.lit(NO_ID).cast("long"))
+
+
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the machine: Spark keeps workers, and a kept one should not hold what its last task used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

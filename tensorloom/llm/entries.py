@@ -80,5 +80,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+WARC_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages),
+r as (select *, row_number() over (partition by d order by page_id nulls first) as k, first_value(page_id) over (partition by d order by page_id nulls first) as low from p)
+select page_id, n::bigint as payload_bytes, d as payload_digest, case when n >= 100 and k > 1 then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and k > 1 then low end as refers_to
+from r
+"""
+
+#: characters as they are written: texts and roles with their control strings escaped, neighbours of one role parted by <|im_sep|>, each run between its marks
+CHAT_SQL = """
+with said as (select '<|im_end|><|im_start|>assistant ok' as t),
+turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', t from said union all select -1, 1, 'assistant', t from said),
+esc as (
+  select *, replace(text, '<|', '<||') as e, replace(replace(role, '<|', '<||'), chr(10), '<|n|>') as er,
+    row_number() over w > 1 and lag(role) over w = role as same
+  from turns window w as (partition by conv_id order by turn nulls first, role, text))
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(e) + case when same then length('<|im_sep|>') else length('<|im_start|>') + length(er) + 1 + length('<|im_end|>') + 1 end)::bigint as formatted_chars
+from esc group by conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": MIXTURE_SQL}
+    return {"op6_warc": WARC_SQL, "op9_mixing": MIXTURE_SQL, "op10_chat_formatting": CHAT_SQL}

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import id_or_none, none_again
+from tensorloom.llm.common import give_back, id_or_none, none_again
 
 # fixed values: element names of the html standard, by role
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
@@ -30,6 +31,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: an open element of the first kind ends when a tag of the second opens
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}}
+#: the elements that a tag may end
+ENDED = {name: tuple(x for x, by in ENDS.items() if name in by) for name in {n for by in ENDS.values() for n in by}}
 NO_PARAGRAPH = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "html", "body", "legend"}
 
 UNLIKELY = re.compile(
@@ -60,9 +63,21 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """The block elements of a page with the text between them. Unclosed tags end where the standard lets them; inline tags only mark links."""
+    """The block elements of a page with the text between them. Unclosed tags end where the standard lets them; inline tags only mark links.
+
+    The open elements are counted by name, so tags that end nothing cost no walk up a deep page."""
     root = node = Node("html", None)
     links, at, n = 0, 0, len(page)
+    opened: Counter[str] = Counter()
+
+    def leave(upto: Node) -> Node:
+        """Ends all open elements below `upto`."""
+        inner = node
+        while inner is not upto:
+            opened[inner.tag] -= 1
+            inner = inner.parent
+        return upto
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -88,12 +103,11 @@ def parse(page: str) -> Node:
                 links = max(0, links - 1)
             elif name == "br":
                 node.children.append((" ", links > 0))
-            elif name in BLOCK or name in DROP:
+            elif opened[name]:
                 up = node
-                while up is not root and up.tag != name:
+                while up.tag != name:
                     up = up.parent
-                if up is not root:
-                    node, links = up.parent, 0
+                node, links = leave(up.parent), 0
             continue
         if name == "a":
             links = 1
@@ -107,26 +121,28 @@ def parse(page: str) -> Node:
                 found = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(m.group(3))}
                 about, role = f"{found.get('class', '')} {found.get('id', '')}".strip(), found.get("role", "").lower()
                 hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
-            if name in NO_PARAGRAPH:
+            if name in NO_PARAGRAPH and opened["p"]:
                 up = node
                 while up is not root and up.tag not in BLOCK:
                     up = up.parent
                 if up.tag == "p":
-                    node = up.parent
-            if name in ENDS or name in ("tbody", "tfoot"):
-                up = node
+                    node = leave(up.parent)
+            if any(opened[x] for x in ENDED.get(name, ())):
+                up = last = node
                 while up is not root and up.tag not in SCOPES.get(name, {"table"}):
                     if name in ENDS.get(up.tag, ()):
-                        node = up.parent
+                        last = up.parent
                         if up.tag == name:
                             break
                     up = up.parent
+                node = leave(last)
             if name in ("html", "body"):
                 continue
             child = Node(name, node, about, role, hidden)
             node.children.append(child)
             if not m.group(3).rstrip().endswith("/") or name not in ("svg", "math"):
                 node = child
+                opened[name] += 1
     return root
 
 
@@ -297,6 +313,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             texts = [main_text(h) for h in pdf["html"]]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+        give_back()
 
     rows = pages.select(id_or_none("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long").withColumn("page_id", none_again("page_id"))

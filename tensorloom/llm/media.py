@@ -2,7 +2,8 @@
 
 A file holds two logical streams: `audio`, the samples in packets of PACKET bytes behind one header packet, and `notes`, a small packet of
 text. Pages of both are interleaved. Reading verifies each page's checksum and sequence number, joins packets from their lacing values across
-pages, parts the streams by serial number and derives times from granule positions (samples so far, at RATE a second).
+pages, parts the streams by serial number and derives the time of each packet from granule positions (samples so far, at the header's rate): a page
+tells the samples up to the end of its last packet, and the packets that end on it are counted back from there.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import id_or_none, none_again, text_or_empty
+from tensorloom.llm.common import give_back, id_or_none, none_again, text_or_empty
 
 RATE = 8000
 PACKET = 4000
@@ -77,8 +78,9 @@ def encode(samples: bytes, notes: bytes = b"") -> bytes:
     return b"".join(pages)
 
 
-def decode(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
-    """Packets with the granule of the page they end on, by serial number. Raises ValueError for a damaged file."""
+def decode(data: bytes) -> dict[int, list[tuple[bytes, int, int]]]:
+    """Packets by serial number, each with the granule of the page it ends on and the number of packets that end behind it on that page.
+    Raises ValueError for a damaged file."""
     streams: dict[int, dict] = {}
     at = 0
     while at < len(data):
@@ -96,6 +98,9 @@ def decode(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
             raise ValueError(f"page {number} of stream {serial:#x} does not follow")
         s["next"] += 1
         s["over"] = bool(flags & LAST)
+        behind = sum(value < 255 for value in lacing)
+        if (granule == NO_GRANULE) != (behind == 0):
+            raise ValueError(f"page {number} of stream {serial:#x} has no granule for its packets, or one without")
         cursor = 27 + count
         parts = [s["open"]]
         for value in lacing:
@@ -103,7 +108,8 @@ def decode(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
             cursor += value
             s["inside"] = value == 255
             if not s["inside"]:
-                s["packets"].append((b"".join(parts), granule))
+                behind -= 1
+                s["packets"].append((b"".join(parts), granule, behind))
                 parts = []
         s["open"] = b"".join(parts)
         at += size
@@ -112,18 +118,34 @@ def decode(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
     return {serial: s["packets"] for serial, s in streams.items()}
 
 
-def samples_of(data: bytes) -> tuple[bytes, float, bytes]:
-    """(samples, seconds, notes) of an Ogg file; the times of the packets must rise and the last must agree with the sample count."""
+def packet_ends(packets: list[tuple[bytes, int, int]]) -> list[int]:
+    """Where each packet of a sample stream ends, in samples: its page's granule less the samples of the packets that end behind it on the page."""
+    ends = [0] * len(packets)
+    for i in range(len(packets) - 1, -1, -1):
+        data, granule, behind = packets[i]
+        ends[i] = ends[i + 1] - len(packets[i + 1][0]) if behind else granule
+    return ends
+
+
+def timed_packets(data: bytes) -> tuple[list[tuple[bytes, float, float]], bytes]:
+    """(packets with start and end in seconds, notes) of an Ogg file. Times come from the granules; they must agree with the running sum of the samples
+    and with the total of the header, else ValueError."""
     streams = decode(data)
     header, *packets = streams[AUDIO]
     if not header[0].startswith(MAGIC):
         raise ValueError("no sample stream")
     rate, total = struct.unpack_from("<IQ", header[0], len(MAGIC))
-    samples = b"".join(p for p, _ in packets)
-    granules = [g for _, g in packets]
-    if len(samples) != total or granules != sorted(granules) or (granules and granules[-1] != total):
+    ends = packet_ends(packets)
+    sums = np.cumsum([len(p) for p, _, _ in packets]).tolist()
+    if ends != sums or (sums[-1] if sums else 0) != total:
         raise ValueError("granule positions and samples disagree")
-    return samples, (granules[-1] if granules else 0) / rate, streams[NOTES][1][0]
+    return [(p, (end - len(p)) / rate, end / rate) for (p, _, _), end in zip(packets, ends, strict=True)], streams[NOTES][1][0]
+
+
+def samples_of(data: bytes) -> tuple[bytes, float, bytes]:
+    """(samples, seconds, notes) of an Ogg file."""
+    packets, notes = timed_packets(data)
+    return b"".join(p for p, _, _ in packets), packets[-1][2] if packets else 0.0, notes
 
 
 def features(samples: bytes, seconds: float, notes: bytes) -> str:
@@ -154,6 +176,7 @@ def to_ogg(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pd.DataFrame(
                     {"doc_id": part["doc_id"], "n_bytes": [n for _, n in filled], "media": [encode(p, b"bytes=%d" % n) for p, n in filled]}
                 )
+        give_back()
 
     rows = docs.select(id_or_none(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInPandas(write, "doc_id long, n_bytes long, media binary").withColumn("doc_id", none_again())
@@ -177,6 +200,7 @@ def from_ogg(media: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")][1:])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
+        give_back()
 
     return media.withColumn("doc_id", id_or_none()).mapInPandas(read, schema).withColumn("doc_id", none_again())
 

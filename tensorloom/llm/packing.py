@@ -11,10 +11,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import os
-import re
-import threading
-import time
 import zlib
 from collections.abc import Iterator
 
@@ -25,14 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import text_or_empty
+from tensorloom.llm.common import give_back, text_or_empty
+from tensorloom.llm.word_ids import WordTokenizer
 
 WINDOW = 2048
 ITEM = 256
 CHUNK_WINDOWS = 256
-CACHE_WORDS = 1_500_000
-IDLE_SECONDS = 10
-SLICE_BYTES = 5_000_000
+SLICE_BYTES = 2_000_000
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -43,111 +38,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokenizer:
-    """Ids of texts by a tokenizer file whose pre-tokenizer never crosses white space and marks word ends: every run between spaces is
-    encoded once by the library and then remembered, up to about CACHE_WORDS runs.
-
-    Runs of plain letters, lower-cased and without the full stops or commas that follow them, go to the library many in a line, to be
-    parted at the tokens that end a word; all others go one by one.
-    """
-
-    # below U+0130 lower-casing maps letters one to one
-    PLAIN = re.compile("[^\\W\\d_\u0130-\U0010ffff]+")
-    LINE = 1000
-    _loaded: dict[str, WordTokenizer] = {}
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        words = self.tokenizer.get_vocab()
-        self.word_end = np.zeros(max(words.values(), default=0) + 1, dtype=bool)
-        self.word_end[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        # two generations: when the newer has half of CACHE_WORDS it becomes the older, and what is met again moves over
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.lock, self.used = threading.Lock(), 0.0
-
-    @classmethod
-    def load(cls, path: str) -> WordTokenizer:
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
-
-    def forget_later(self) -> None:
-        """Frees the remembered runs once IDLE_SECONDS pass without use, so a Python worker that is kept for other tasks does not hold them."""
-
-        def forget() -> None:
-            with self.lock:
-                if time.monotonic() - self.used >= IDLE_SECONDS:
-                    self.known, self.older = {}, {}
-
-        with self.lock:
-            self.used = time.monotonic()
-        timer = threading.Timer(IDLE_SECONDS + 1, forget)
-        timer.daemon = True
-        timer.start()
-
-    def _encode(self, lines: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
-
-    def _learn(self, runs: list[str]) -> None:
-        known, plain = self.known, self.PLAIN.fullmatch
-        known[""] = b""
-        cores, single = [], [w for w in (".", ",") if w not in known]
-        for run in runs:
-            core = run.rstrip(".,")
-            if plain(core):
-                cores.append((run, core.lower(), run[len(core) :]))
-            else:
-                single.append(run)
-        single += {t for _, _, t in cores} - known.keys()
-        known.update(zip(single, (a.tobytes() for a in self._encode(single)), strict=True))
-        new = list({low for _, low, _ in cores} - known.keys())
-        for lo in range(0, len(new), self.LINE):
-            line = new[lo : lo + self.LINE]
-            ids = self._encode([" ".join(line)])[0]
-            cuts = (np.flatnonzero(self.word_end[ids]) + 1).tolist()
-            if len(cuts) == len(line):
-                raw, begins = ids.tobytes(), [0, *cuts[:-1]]
-                known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(line, begins, cuts, strict=True))
-            else:
-                known.update(zip(line, (a.tobytes() for a in self._encode(line)), strict=True))
-        known.update((run, known[low] + known[tail]) for run, low, tail in cores)
-
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text begins and the last ends). Runs between ASCII white space are numbered by Arrow; each distinct run is
-        looked up once and its ids are gathered by number."""
-        with self.lock:
-            return self._gather(texts)
-
-    def _gather(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        self.used = time.monotonic()
-        runs = pc.ascii_split_whitespace(texts)
-        numbered = runs.flatten().dictionary_encode()
-        words = numbered.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS // 2:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        missing = [w for w in words if w not in known]
-        if older:
-            known.update((w, older[w]) for w in missing if w in older)
-            missing = [w for w in missing if w not in known]
-        self._learn(missing)
-        parts = [known[w] for w in words]
-        pool = np.frombuffer(b"".join(parts), dtype="<u4")
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        begins = np.cumsum(sizes) - sizes
-        codes = numbered.indices.to_numpy()
-        own = sizes[codes]
-        ends = np.cumsum(own)
-        at = np.repeat(begins[codes] - (ends - own), own) + np.arange(int(ends[-1]) if len(ends) else 0)
-        cuts = np.concatenate(([0], ends))[runs.offsets.to_numpy() - runs.offsets[0].as_py()]
-        return pool[at], cuts
-
-
 def difference(sizes: list[int], ways: int) -> list[list[int]]:
     """Karmarkar-Karp multiway differencing: indexes of `sizes` in `ways` groups of near-equal sums.
 
@@ -279,9 +169,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if len(rows) >= 20_000:
                     yield take()
         close()
-        words.forget_later()
         if rows:
             yield take()
+        give_back()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return source.mapInArrow(pack, SCHEMA)

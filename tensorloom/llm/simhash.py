@@ -2,14 +2,16 @@
 
 Fingerprints are indexed by position and byte. Two 64-bit fingerprints that differ in at most three bits differ
 in at most three of their eight bytes, so they share at least five positional bytes: the guaranteed minimum of
-the count filter. The postings that can reach that tally are those met under one choice of five positions, so the
-index holds each distinct fingerprint under its 56 choices of five positional bytes. Within a posting list the tally of
-equal positional bytes is taken for each pair of neighbours, pairs below the minimum fall out, pairs already seen
-under an earlier choice are skipped, and the rest are verified by their number of differing bits.
-
-A posting list fixes 40 of 64 bits, so it has at most 2**24 distinct members whatever the input (128 MB); lists over
-`PAIR_LIMIT` are linked by looking up the 2,324 neighbours within three bits in a bitmap of the free 24 bits instead of by
-pairs. Each list gives one link per member, to the smallest member it reaches, never all pairs.
+the count filter. A selective prefix of the index is enough to meet every such pair: a posting is a block of four positions
+with its bytes, and the 14 blocks whose positions cancel out under exclusive or hold every choice of three positions exactly once, so any five
+equal positions contain one block. Within a posting list the equal positional bytes of each pair are tallied over all eight positions; pairs
+below the minimum (those that share the block and nothing else) fall out, pairs met before under an earlier block are skipped, and the rest
+are verified by their number of differing bits.
+
+A posting list of over `PAIR_LIMIT` members is never held or paired: it goes on under one more positional byte, for each of the four that are
+left, as a pair that reaches the minimum shares one of them. These lists fix 40 of 64 bits, so they have at most 2**24 distinct members whatever
+the input; the long ones among them are linked by looking up the 2,324 neighbours within three bits in a table of the free 24 bits instead of by
+pairs (some 500 MB if all 2**24 were there). Each list gives one link per member, to the smallest member it reaches, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import id_or_none, materialize, none_again, text_or_empty
+from tensorloom.llm.common import give_back, id_or_none, materialize, none_again, text_or_empty
 from tensorloom.llm.connected import connected_components
 
 SEED = 42
 MAX_BITS = 3
 SHARED_BYTES = 8 - MAX_BITS
-CHOICES = list(combinations(range(8), SHARED_BYTES))
+BLOCKS = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 PAIR_LIMIT = 512
 BATCH_ROWS = 200_000
 
@@ -58,20 +60,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for pdf in batches:
             fp = np.array([fingerprint(t, ngram) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"id": pdf["id"], "fp": fp})
+        give_back()
 
     rows = docs.select(id_or_none(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return rows.mapInPandas(score, "id long, fp long").withColumn("id", none_again("id"))
 
 
+def _slot(number: Column, places: tuple[int, ...]) -> Column:
+    """A posting: the number of the places and the bytes of fp at them, in one long."""
+    for place in places:
+        number = F.shiftleft(number, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * place).bitwiseAND(F.lit(255)))
+    return number
+
+
 def _postings(fps: DataFrame) -> DataFrame:
-    """(slot, fp): each fingerprint under every choice of positional bytes; slot packs the choice and its bytes into a long."""
-    entries = []
-    for number, places in enumerate(CHOICES):
-        slot = F.lit(number).cast("long")
-        for place in places:
-            slot = F.shiftleft(slot, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * place).bitwiseAND(F.lit(255)))
-        entries.append(slot)
-    return fps.select(F.explode(F.array(*entries)).alias("slot"), "fp")
+    """(slot, fp): each fingerprint under every block."""
+    return fps.select(F.explode(F.array(*(_slot(F.lit(n).cast("long"), b) for n, b in enumerate(BLOCKS)))).alias("slot"), "fp")
+
+
+def _longer_postings(crowded: DataFrame) -> DataFrame:
+    """(slot, fp) for crowded(fp, block): each fingerprint under its block and one more place. The number of a slot is 8 * block + place."""
+    entries = F.array()
+    for n, block in enumerate(BLOCKS):
+        own = [_slot(F.lit(8 * n + p).cast("long"), (*block, p)) for p in range(8) if p not in block]
+        entries = F.when(F.col("block") == n, F.array(*own)).otherwise(entries.cast("array<bigint>"))
+    return crowded.select(F.explode(entries).alias("slot"), "fp")
 
 
 def _near_masks(width: int) -> np.ndarray:
@@ -93,10 +106,11 @@ def _settle(labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> n
             return labels
 
 
-def _link_large(fp: np.ndarray, choice: int) -> np.ndarray:
-    """Labels within one long posting list: the 24 free bits of each member address a bitmap, and every value within three bits of
+def _link_large(fp: np.ndarray, number: int) -> np.ndarray:
+    """Labels within one long list of five places: the 24 free bits of each member address a table, and every value within three bits of
     a member is looked up there."""
-    free = [p for p in range(8) if p not in CHOICES[choice]]
+    fixed = (*BLOCKS[number >> 3], number & 7)
+    free = [p for p in range(8) if p not in fixed]
     value = np.zeros(len(fp), dtype=np.int64)
     for place in free:
         value = (value << 8) | ((fp >> np.uint64(8 * place)) & np.uint64(255)).astype(np.int64)
@@ -115,56 +129,101 @@ def _link_large(fp: np.ndarray, choice: int) -> np.ndarray:
             return labels
 
 
-def _link_small(slot: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """Labels for many short lists at once: compares each row with the d-th after it while any list is that long."""
-    choice_order = {frozenset(c): i for i, c in enumerate(CHOICES)}
-    first = np.full(256, -1, dtype=np.int64)  # bitmap of equal places -> the earliest choice they contain
-    for same in range(256):
-        places = [p for p in range(8) if same >> p & 1]
-        if len(places) >= SHARED_BYTES:
-            first[same] = choice_order[frozenset(places[:SHARED_BYTES])]
-    pairs, at = [], np.arange(len(slot))
-    distance = 1
+def _equal_places(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The places at which two fingerprints have the same byte, as eight bits."""
+    return ((a ^ b).view(np.uint8).reshape(-1, 8) == 0) @ (1 << np.arange(8))
+
+
+def _first_blocks() -> np.ndarray:
+    """The earliest block within each set of equal places, or -1."""
+    sets = [sum(1 << p for p in b) for b in BLOCKS]
+    return np.array([next((n for n, b in enumerate(sets) if b & same == b), -1) for same in range(256)])
+
+
+def reaching_pairs(slot: np.ndarray, fp: np.ndarray, blocks: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions of one list whose tally of equal positional bytes reaches the minimum, from rows sorted by slot: compares each row with the
+    d-th after it while any list is that long. In lists of blocks a pair counts only under its first block."""
+    first, at, distance = _first_blocks(), np.arange(len(slot)), 1
     while len(at := at[at + distance < len(slot)]) and len(at := at[slot[at] == slot[at + distance]]):
-        differ = fp[at] ^ fp[at + distance]
-        equal = (differ.view(np.uint8).reshape(-1, 8) == 0) @ (1 << np.arange(8))
-        tally = np.bitwise_count(equal.astype(np.uint8))
-        new = first[equal] == (slot[at] >> 40)
-        keep = (tally >= SHARED_BYTES) & new & (np.bitwise_count(differ) <= MAX_BITS)
+        equal = _equal_places(fp[at], fp[at + distance])
+        keep = np.bitwise_count(equal.astype(np.uint8)) >= SHARED_BYTES
+        if blocks:
+            keep &= first[equal] == (slot[at] >> 32)
         if keep.any():
-            pairs.append((at[keep], at[keep] + distance))
+            yield at[keep], at[keep] + distance
         distance += 1
-    return _settle(np.arange(len(slot)), pairs)
 
 
-def _link_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Reads postings sorted by slot and fp; holds whole lists of at least BATCH_ROWS rows in all before linking them."""
-    slots, fps, held = [], [], 0
+def _link_small(slot: np.ndarray, fp: np.ndarray, blocks: bool) -> np.ndarray:
+    """Labels for many short lists at once: pairs that pass the count filter, verified by their differing bits."""
+    pairs = []
+    for a, b in reaching_pairs(slot, fp, blocks):
+        near = np.bitwise_count(fp[a] ^ fp[b]) <= MAX_BITS
+        pairs.append((a[near], b[near]))
+    return _settle(np.arange(len(slot)), pairs)
+
 
-    def flush(slot: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-        starts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-        sizes = np.diff(np.append(starts, len(slot)))
-        labels = np.arange(len(slot))
-        small = np.repeat((sizes > 1) & (sizes <= PAIR_LIMIT), sizes)
-        at = np.flatnonzero(small)
-        if len(at):
-            labels[at] = at[_link_small(slot[at], fp[at])]
+def _linked(slot: np.ndarray, fp: np.ndarray, blocks: bool) -> pd.DataFrame:
+    """Links (kind 0) of whole lists sorted by slot; lists of blocks that are too long go on as (fp, block) of kind 1."""
+    starts = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(slot)))
+    labels = np.arange(len(slot))
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= PAIR_LIMIT), sizes))
+    if len(at):
+        labels[at] = at[_link_small(slot[at], fp[at], blocks)]
+    long = np.flatnonzero(np.repeat(sizes > PAIR_LIMIT, sizes)) if blocks else np.empty(0, np.int64)
+    if not blocks:
         for s, n in zip(starts[sizes > PAIR_LIMIT], sizes[sizes > PAIR_LIMIT], strict=True):
             labels[s : s + n] = s + _link_large(fp[s : s + n], int(slot[s] >> 40))
-        moved = np.flatnonzero(labels != np.arange(len(slot)))
-        return pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[labels[moved]].view(np.int64)})
+    moved = np.flatnonzero(labels != np.arange(len(slot)))
+    return pd.DataFrame(
+        {
+            "kind": np.repeat(np.array([0, 1], np.int8), [len(moved), len(long)]),
+            "a": np.concatenate((fp[moved], fp[long])).view(np.int64),
+            "b": np.concatenate((fp[labels[moved]].view(np.int64), slot[long] >> 32)),
+        }
+    )
 
+
+def _link_lists(batches: Iterator[pd.DataFrame], blocks: bool) -> Iterator[pd.DataFrame]:
+    """Reads postings sorted by slot and fp, and links whole lists once BATCH_ROWS rows are held. Of a list of blocks no more than that is held: the
+    rest of it goes on as it comes."""
+    slots, fps, held = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    over = None  # the slot of a list that is going on
     for pdf in batches:
-        slots.append(pdf["slot"].to_numpy(np.int64))
-        fps.append(pdf["fp"].to_numpy(np.int64).view(np.uint64))
-        held += len(pdf)
-        if held >= BATCH_ROWS and slots[-1][0] != slots[-1][-1]:
-            slot, fp = np.concatenate(slots), np.concatenate(fps)
-            cut = int(np.searchsorted(slot, slot[-1], "left"))
-            yield flush(slot[:cut], fp[:cut])
-            slots, fps, held = [slot[cut:]], [fp[cut:]], len(slot) - cut
-    if held:
-        yield flush(np.concatenate(slots), np.concatenate(fps))
+        slot, fp = pdf["slot"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        if over is not None:
+            cut = int(np.searchsorted(slot, over, "right"))
+            yield pd.DataFrame({"kind": np.int8(1), "a": fp[:cut].view(np.int64), "b": np.full(cut, over >> 32)})
+            slot, fp = slot[cut:], fp[cut:]
+        slots.append(slot)
+        fps.append(fp)
+        held += len(slot)
+        if held < BATCH_ROWS:
+            continue
+        slot, fp = np.concatenate(slots), np.concatenate(fps)
+        cut = int(np.searchsorted(slot, slot[-1], "left"))
+        if cut or blocks:
+            over = int(slot[-1]) if blocks and len(slot) - cut > PAIR_LIMIT else None
+            cut = len(slot) if over is not None else cut
+            yield _linked(slot[:cut], fp[:cut], blocks)
+        slots, fps, held = [slot[cut:]], [fp[cut:]], len(slot) - cut
+    yield _linked(np.concatenate(slots), np.concatenate(fps), blocks)
+    give_back()
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b): links that join all of fps(fp), distinct fingerprints, which differ in MAX_BITS bits or fewer, and no others."""
+    schema, n = "kind byte, a long, b long", int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def through(postings: DataFrame, blocks: bool) -> DataFrame:
+        lists = postings.repartition("slot").sortWithinPartitions("slot", "fp")
+        return lists.mapInPandas(lambda batches: _link_lists(batches, blocks), schema)
+
+    # a number of partitions keeps the few bytes of fps from being laid out 14-fold in one task
+    found = materialize(through(_postings(fps.repartition(n, "fp")), True), "pairs")
+    crowded = found.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("block"))
+    return found.unionByName(through(_longer_postings(crowded), False)).where("kind = 0").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
@@ -177,22 +236,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialize(fingerprints(docs, id_col, text_col, ngram), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("id").alias("low"))
-    lists = _postings(nodes.select("fp")).repartition("slot").sortWithinPartitions("slot", "fp")
-    links = lists.mapInPandas(_link_lists, "a long, b long")
-    parts = connected_components(links, "a", "b")
+    parts = connected_components(links(nodes.select("fp")), "a", "b")
     labelled = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("part"))
     lowest = labelled.groupBy("part").agg(F.min("low").alias("component_id"))
     named = labelled.join(lowest, "part").select("fp", "component_id")
     return fps.join(named, "fp").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one_per_component(docs: DataFrame, ngram: int = 3) -> DataFrame:
-    """The rows of `docs` whose doc_id names their component: one document of each near-duplicate group, the smallest id.
-    Rows that repeat a doc_id count as one document; documents without an id are kept."""
-    parts = near_duplicates(docs, ngram=ngram)
-    keep = parts.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    numbered = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    kept = numbered.join(keep, numbered.doc_id == keep._keep, "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))

@@ -11,12 +11,13 @@ Suffixes of the corpus only need to be told apart by their first LENGTH bytes, s
 3. Refinement. One entry of each remaining class carries its text into a task of its bucket. There the bucket numbers of the window
    starts are refined by sorting on the pair (own bucket, bucket q bytes later), then again on the refined numbers of later offsets,
    until they stand for LENGTH bytes; only buckets with two or more members stay in the sort. Buckets with more than `HOT_CLASSES`
-   classes are refined through a shuffle by window instead of inside one task.
+   classes are refined through a shuffle on the same pair of bucket numbers, at the start and at a later offset, instead of inside one task.
+
+Texts are told apart by (id, 64-bit hash of the text); a text without an id has a second hash in the place of the id.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tensorloom.llm.common import id_or_none, materialize, none_again, text_or_empty
+from tensorloom.llm.common import give_back, materialize, text_or_empty
 
 LENGTH = 200
 Q = 64
 BLOCK = 1 << 19
-HOT_CLASSES = 20_000
+HOT_CLASSES = 4_000
 BATCH_BYTES = 1_500_000
 _BYTE = np.random.default_rng(20250101).integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -164,6 +165,7 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "run": (first[at] << 20) | count[at], "settled": settled[at],
                         }
                     )
+    give_back()
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +174,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body = pa.array([squeeze(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column("text")], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), batch.column("rest"), body], ["doc_id", "mark", "rest", "body"])
+    give_back()
 
 
 def _unpack(body: bytes) -> bytes:
@@ -196,6 +199,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "doc_id": np.repeat(part["doc_id"].to_numpy(), sizes), "mark": np.repeat(part["mark"].to_numpy(), sizes),
                 }
             )
+    give_back()
 
 
 def _refine_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +227,7 @@ def _refine_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 e = entry[group[0]]
                 rows.append((ids[e], marks[e], (((int(runs[e]) >> 20) + int(within[group[0]])) << 20) | len(group)))
         out = pd.DataFrame(rows, columns=["doc_id", "mark", "run"])
-        return out.astype({"doc_id": "int64", "mark": "int32", "run": "int64"})
+        return out.astype({"doc_id": "int64", "mark": "int64", "run": "int64"})
 
     for pdf in batches:
         held.append(pdf)
@@ -237,21 +241,26 @@ def _refine_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held, size = [whole], int(whole["body"].str.len().sum())
     if held:
         yield flush(pd.concat(held, ignore_index=True))
+    give_back()
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every window of the entries of a hot bucket, as a 128-bit hash."""
+    """Every window of the entries of a hot bucket as the pair its refinement sorts on: the numbers of its first and of its last 128 bytes."""
     for pdf in batches:
-        for doc_id, mark, run, settled, body in zip(*(pdf[c] for c in ("doc_id", "mark", "run", "settled", "body")), strict=True):
-            count = run & 0xFFFFF
-            rows = [hashlib.blake2b(body[i : i + LENGTH], digest_size=16).digest() for i in range(count)]
-            starts = (run >> 20) + np.arange(count)
+        for lo in range(0, len(pdf), 512):
+            part = pdf.iloc[lo : lo + 512]
+            counts = part["run"].to_numpy() & 0xFFFFF
+            numbers = [qgram_buckets(np.frombuffer(body, dtype=np.uint8), 128) for body in part["body"]]
+            own = lambda c: np.repeat(part[c].to_numpy(), counts)  # noqa: B023, E731
+            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             yield pd.DataFrame(
                 {
-                    "window": rows, "doc_id": np.int64(doc_id), "mark": np.int32(mark),
-                    "run": (starts << 20) | 1, "settled": np.int8(settled),
+                    "head": np.concatenate([x[:n] for x, n in zip(numbers, counts, strict=True)]).view(np.int64),
+                    "tail": np.concatenate([x[LENGTH - 128 : LENGTH - 128 + n] for x, n in zip(numbers, counts, strict=True)]).view(np.int64),
+                    "doc_id": own("doc_id"), "mark": own("mark"), "run": (((own("run") >> 20) + within) << 20) | 1, "settled": own("settled"),
                 }
             )
+    give_back()
 
 
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,7 +268,7 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     (first start * 2**20 + number of starts)."""
     bodies = docs.mapInArrow(_pack, StructType([*docs.select("doc_id", "mark", "rest").schema.fields, StructField("body", BinaryType())]))
     found = materialize(
-        docs.drop("rest").mapInPandas(_entries, "kind byte, bucket long, cover long, doc_id long, mark int, run long, settled byte"), "entries"
+        docs.drop("rest").mapInPandas(_entries, "kind byte, bucket long, cover long, doc_id long, mark long, run long, settled byte"), "entries"
     )
     place = F.struct("settled", "doc_id", "mark", "run")
     entries = found.where("kind = 0").drop("kind")
@@ -280,13 +289,13 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = doubtful.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list(ask)).alias("wanted"))
     asked = bodies.drop("rest").join(wanted, ["doc_id", "mark"])
     contexts = materialize(
-        asked.mapInPandas(_contexts, "bucket long, hot boolean, run long, settled byte, body binary, doc_id long, mark int"), "contexts"
+        asked.mapInPandas(_contexts, "bucket long, hot boolean, run long, settled byte, body binary, doc_id long, mark long"), "contexts"
     )
     cold = contexts.where("not hot").drop("hot").repartition("bucket").sortWithinPartitions("bucket")
-    refined = cold.mapInPandas(_refine_buckets, "doc_id long, mark int, run long")
-    windows = contexts.where("hot").mapInPandas(_windows, "window binary, doc_id long, mark int, run long, settled byte")
-    shared = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hot = windows.join(shared, "window").where("settled = 0").select("doc_id", "mark", "run")
+    refined = cold.mapInPandas(_refine_buckets, "doc_id long, mark long, run long")
+    windows = contexts.where("hot").mapInPandas(_windows, "head long, tail long, doc_id long, mark long, run long, settled byte")
+    shared = windows.groupBy("head", "tail").agg(F.count("*").alias("n")).where("n > 1").select("head", "tail")
+    hot = windows.join(shared, ["head", "tail"]).where("settled = 0").select("doc_id", "mark", "run")
     settled = found.where("kind = 1").select("doc_id", "mark", "run").unionByName(copies.select("doc_id", "mark", "run"))
     runs = settled.unionByName(refined).unionByName(hot).groupBy("doc_id", "mark").agg(F.collect_list("run").alias("runs"))
     return bodies, runs
@@ -306,7 +315,7 @@ def _keep(data: bytes, runs) -> tuple[bytes, int]:
     return np.frombuffer(data, dtype=np.uint8)[~gone].tobytes(), spans
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bodies, runs = batch.column("body"), batch.column("runs")
         for lo in range(0, len(batch), 512):
@@ -314,29 +323,31 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for body, found in zip(bodies.slice(lo, 512), runs.slice(lo, 512), strict=True):
                 data = _unpack(body.as_py())
                 kept, spans = _keep(data, found.as_py())
-                rows.append((len(data), len(data) - len(kept), spans, kept))
-            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            part = batch.slice(lo, 512)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("rest"), *columns], ["doc_id", "rest", "n_bytes", "n_removed", "n_spans", "kept"]
-            )
+                rows.append((len(data), len(data) - len(kept), spans, kept.decode("utf-8", "ignore") if as_text else kept))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+            columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("rest").slice(lo, 512), *columns], ["rest", "n_bytes", "n_removed", "n_spans", "kept"])
+    give_back()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per row of `docs`: (doc_id, n_bytes, n_removed, n_spans, kept, rest) with kept the bytes that are left, as binary, and rest a struct of the
-    columns to `carry` along (null without).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """One row per row of `docs`: (doc_id, n_bytes, n_removed, n_spans, kept, rest) with kept the bytes that are left, as binary or, without the
+    bytes of characters that were cut in part, as text, and rest a struct of the columns to `carry` along (null without).
 
     Null texts count as empty; texts under LENGTH bytes are left whole. Repeated rows are texts like any other, so both lose what they
-    share. Rows with a null id keep it. Columns that aren't carried are ignored, whatever their names; an empty table gives no rows.
+    share. Rows with a null id keep it, and are told apart by their texts. Columns that aren't carried are ignored, whatever their names; an
+    empty table gives no rows.
     """
     text = text_or_empty(text_col)
-    rest = F.struct(*carry) if carry else F.lit(None).cast("boolean")
-    source = docs.select(id_or_none(id_col).alias("doc_id"), F.hash(text).alias("mark"), rest.alias("rest"), text.alias("text"))
+    known = F.col(id_col).cast("long")
+    rest = F.struct(known.alias("id"), (F.struct(*carry) if carry else F.lit(None).cast("boolean")).alias("carried"))
+    source = docs.select(F.coalesce(known, F.xxhash64(F.lit(77), text)).alias("doc_id"), F.xxhash64(text).alias("mark"), rest.alias("rest"), text.alias("text"))
     bodies, runs = repeated_runs(source)
     joined = bodies.join(runs, ["doc_id", "mark"], "left")
     counts = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
-    fields = [*joined.select("doc_id", "rest").schema.fields, *counts, StructField("kept", BinaryType())]
-    return joined.mapInArrow(_cut, StructType(fields)).withColumn("doc_id", none_again())
+    fields = [joined.schema["rest"], *counts, StructField("kept", StringType() if as_text else BinaryType())]
+    done = joined.mapInArrow(lambda batches: _cut(batches, as_text), StructType(fields))
+    return done.select(F.col("rest.id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", F.col("rest.carried").alias("rest"))
 
 
 def digest(removed: DataFrame) -> DataFrame:
@@ -347,13 +358,6 @@ def digest(removed: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with the repeated passages cut out of its texts, and n_chars, if there, counted anew. Bytes of a character that was cut in part go too.
     A null text becomes empty."""
-    removed = remove_repeats(docs, carry=[c for c in docs.columns if c != "text"])
-    whole = docs.schema.names
-
-    @F.pandas_udf("string")
-    def readable(bodies: pd.Series) -> pd.Series:
-        return pd.Series([b.decode("utf-8", "ignore") for b in bodies], dtype="object")
-
-    text = removed.select("rest", readable("kept").alias("_text"))
-    changed = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
-    return text.select(*((changed[c] if c in changed else F.col("rest")[c]).alias(c) for c in whole))
+    removed = remove_repeats(docs, carry=[c for c in docs.columns if c != "text"], as_text=True)
+    changed = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return removed.select(*((changed[c] if c in changed else F.col("rest")[c]).alias(c) for c in docs.columns))

@@ -6,8 +6,8 @@ PAD_WORDS empty ones, which keeps a few words from deciding a short text; one li
 classes reads it, and table and layer are trained together by Adagrad on the labelled sample. The network is linear in the table, so for
 scoring the table and the layer fold into one number per bucket: a text's score is the sigmoid of a bias and the mean of its words' numbers.
 
-Training takes a bounded sample: at most `max_train` labelled texts (the smallest by hash of their id, all of them when fewer), whole texts.
-Scoring reads every text whole.
+Training takes a bounded sample: at most `max_train` labelled texts of at most `max_bytes` together (the smallest by hash of their id, all of them when
+fewer), whole texts. Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -17,16 +17,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import id_or_none, none_again, text_or_empty
+from tensorloom.llm.common import give_back, id_or_none, materialize, none_again, text_or_empty
 
 BUCKETS = 1 << 18
 DIM = 12
 SIZES = (3, 4, 5)
 STEPS = 64_000
 MAX_TRAIN = 8_000
+MAX_BYTES = 64_000_000
 PAD_WORDS = 10
 THRESHOLD = 0.7
 _LETTER = np.random.default_rng(77).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -123,21 +124,28 @@ def score_text(text: str | None, numbers: np.ndarray, bias: float) -> float:
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, float]:
     """Train on at most `max_train` labelled texts whose id is not held out (crc32 of the id as text, modulo 3, is 1).
 
-    Labels that are null or not 0 or 1, and ids without a text, are left out; of an id labelled twice the larger label counts.
+    Labels that are null or not 0 or 1, and ids without a text, are left out; of an id labelled twice the larger label counts, of an id with several
+    texts the smallest text; null texts are empty. The sample ends before the text that would take it over `max_bytes`; texts of over a
+    hundredth of that come last. Other columns are not read. Without labelled texts of both kinds every score is the share of label 1.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("label"))
     marks = marks.where("id is not null and label in (0, 1) and crc32(cast(id as string)) % 3 != 1")
     chosen = marks.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-    ids = rows.column("id").to_numpy()
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else ids
-    rows = rows.take(first)
+    rows = materialize(texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "labelled")
+    size = F.octet_length("text")
+    # at most max_train ids and lengths meet in the window
+    upto = F.sum("size").over(Window.orderBy(F.col("size") > max_bytes // 100, F.xxhash64("id"), "id"))
+    within = rows.select("id", size.alias("size")).withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("id")
+    sample = rows.join(F.broadcast(within), "id", "left_semi").toArrow().sort_by("id")
     # texts are turned to features one by one, so they are not held twice
-    return train((t.as_py() for t in rows.column("text")), rows.column("label").to_pylist())
+    model = train((t.as_py() for t in sample.column("text")), sample.column("label").to_pylist())
+    del sample
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,6 +160,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": [score_text(t, shared.value, bias) for t in pdf["text"]]})
+        give_back()
 
     rows = docs.select(id_or_none(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     scored = rows.mapInPandas(run, "doc_id long, score double").select(none_again().alias("doc_id"), "score")
@@ -160,12 +169,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """The rows of `docs` that score under the threshold, with their columns as they were. The test runs beside the row, without a join."""
+    """The rows of `docs` that score under the threshold, with their columns as they were. The test runs beside the row, without a join. Null and empty
+    texts have the score of the bias; repeated rows and null ids stay or go by their texts; an empty table gives no rows."""
     numbers, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(numbers)
 
     @F.pandas_udf("double")
-    def toxicity(texts: pd.Series) -> pd.Series:
-        return pd.Series([score_text(t, shared.value, bias) for t in texts], dtype="float64")
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([score_text(t, shared.value, bias) for t in texts], dtype="float64")
+        give_back()
 
     return docs.where(toxicity(text_or_empty()) < THRESHOLD)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import NO_ID, id_or_none, none_again
+from tensorloom.llm.common import NO_ID, give_back, id_or_none, materialize, none_again
 
 SEGMENT = 65_536
 CHUNK = 16_384
@@ -33,8 +34,13 @@ READ_SCHEMA = (
 )
 
 
-def record_id(*key) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, ':'.join(map(str, key)))}>"
+def new_id() -> str:
+    return f"<urn:uuid:{uuid.uuid4()}>"
+
+
+def payload_id(digest: str) -> str:
+    """The id of the one response with a payload of REVISIT_FROM bytes or more, known to its revisits without looking it up."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, digest)}>"
 
 
 def chunked(body: bytes, size: int = CHUNK) -> bytes:
@@ -81,16 +87,16 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> str:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n{block.decode('utf-8', 'surrogatepass')}"
 
 
-def response_records(key, url: str, payload: bytes, digest: str, segment: int = SEGMENT) -> list[str]:
+def response_records(page_id: int, url: str, payload: bytes, digest: str, segment: int = SEGMENT) -> list[str]:
     """A response whose HTTP block is cut into segments: the first record and its continuations."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     cuts = [0]
     while cuts[-1] < len(block):
         cuts.append(_character_end(block, cuts[-1] + segment))
     parts = [block[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-    origin, out = record_id("response", *key), []
+    origin, out = payload_id(digest) if len(payload) >= REVISIT_FROM else new_id(), []
     for n, part in enumerate(parts, 1):
-        headers = [("WARC-Type", "response" if n == 1 else "continuation"), ("WARC-Record-ID", origin if n == 1 else record_id("continuation", n, *key)), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("X-Page-ID", key[0])]
+        headers = [("WARC-Type", "response" if n == 1 else "continuation"), ("WARC-Record-ID", origin if n == 1 else new_id()), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("X-Page-ID", page_id)]
         if n == 1:
             headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
         else:
@@ -101,31 +107,28 @@ def response_records(key, url: str, payload: bytes, digest: str, segment: int =
     return out
 
 
-def revisit_record(key, url: str, digest: str, refers_to: str) -> str:
+def revisit_record(page_id: int, url: str, digest: str) -> str:
     headers = [
-        ("WARC-Type", "revisit"), ("WARC-Record-ID", record_id("revisit", *key)), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("X-Page-ID", key[0]), ("WARC-Profile", PROFILE),
-        ("WARC-Refers-To", refers_to), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"),
+        ("WARC-Type", "revisit"), ("WARC-Record-ID", new_id()), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("X-Page-ID", page_id), ("WARC-Profile", PROFILE),
+        ("WARC-Refers-To", payload_id(digest)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"),
     ]
     return _record(headers, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of an archive file (plain or gzip), by their content lengths."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "surrogatepass").split("\r\n")
-        if not version.startswith("WARC/1."):
-            raise ValueError(f"no record at byte {at}")
-        head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    """The records of an archive file (plain or gzip, one member or many), by their content lengths, unpacked as they are read."""
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while version := stream.readline():
+        if not version.startswith(b"WARC/1."):
+            raise ValueError(f"no record begins with {version[:20]!r}")
+        head = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", "surrogatepass").partition(":")
+            head[name.lower()] = value.strip()
         size = int(head["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        if len(block) != size or data[at : at + 4] != b"\r\n\r\n":
+        block = stream.read(size)
+        if len(block) != size or stream.read(4) != b"\r\n\r\n":
             raise ValueError("a record is cut off")
-        at += 4
         yield {"head": head, "block": block}
 
 
@@ -136,20 +139,40 @@ def http_payload(block: bytes) -> bytes:
 
 
 def decide(pages: DataFrame) -> DataFrame:
-    """pages with payload_digest, and `first` the smallest page_id with an equal payload where that is REVISIT_FROM bytes or more.
+    """pages(page_id, url, html) with payload_digest and `again`, whether the row is written as a revisit; html is empty on those.
 
-    Digests are counted with map-side combine, and the join back can be split where one payload is common."""
+    Of the rows with one payload of REVISIT_FROM bytes or more the one with the smallest page_id is the response. Digests are counted with map-side
+    combine, and the join back can be split where one payload is common. Rows that share that page_id too are gathered by address and count,
+    and one with the smallest address responds; that path is planned only where there are such rows.
+    """
     digest = F.sha2(F.col("html").cast("binary"), 256)
-    rows = pages.select("page_id", digest.alias("payload_digest"), (F.octet_length("html") >= REVISIT_FROM).alias("long"))
-    shared = rows.where("long").groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return pages.withColumn("payload_digest", digest).join(shared, "payload_digest", "left")
+    rows = pages.withColumn("payload_digest", digest)
+    slim = rows.where(F.octet_length("html") >= REVISIT_FROM).groupBy("payload_digest", "page_id").agg(F.count("*").alias("n"))
+    low = F.min(F.struct("page_id", "n"))
+    shared = slim.groupBy("payload_digest").agg(low["page_id"].alias("first"), low["n"].alias("ties"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    shared = materialize(shared, "payloads")
+    joined = rows.join(shared, "payload_digest", "left")
+    ties = shared.where("ties > 1")
+    columns = ["page_id", "url", "payload_digest", "again", "html"]
+
+    def marked(df: DataFrame, again) -> DataFrame:
+        return df.withColumn("again", again).withColumn("html", F.when(F.col("again"), "").otherwise(F.col("html"))).select(*columns)
+
+    if ties.isEmpty():
+        return marked(joined, F.coalesce(F.col("first") != F.col("page_id"), F.lit(False)))
+    tied = rows.join(ties.select("payload_digest", F.col("first").alias("page_id")), ["payload_digest", "page_id"])
+    tied = tied.groupBy("payload_digest", "page_id", "url").agg(F.count("*").alias("n"), F.min("html").alias("html"))
+    chosen = tied.groupBy("payload_digest").agg(F.min("url").alias("least"))
+    copies = tied.join(chosen, "payload_digest").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    plain = joined.where("ties is null or ties = 1 or page_id != first")
+    return marked(plain, F.coalesce(F.col("first") != F.col("page_id"), F.lit(False))).unionByName(marked(copies, (F.col("url") != F.col("least")) | (F.col("copy") > 1)))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id") -> None:
-    """Write one record set per row of pages(page_id, url, html) to gzip text files below `path`.
+    """Write one response or revisit per row of pages(page_id, url, html), in segments where it is long, to gzip text files below `path`.
 
-    Null html is an empty payload, a null url an empty address, a null id the smallest long. Rows equal in id and payload share a record id: they
-    are one page, read back once. Other columns are not stored."""
+    Null html is an empty payload, a null url an empty address, a null id the smallest long. Every row is a page of its own: rows that repeat an id, or
+    all columns, are written and read back as often as they come. Other columns are not stored; an empty table makes archives without records."""
     rows = pages.select(
         id_or_none(id_col).alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     )
@@ -159,16 +182,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id") -> None
             for lo in range(0, len(pdf), 256):
                 out = []
                 for x in pdf.iloc[lo : lo + 256].itertuples(index=False):
-                    if x.first != x.page_id:
-                        out.append(revisit_record((x.page_id, x.payload_digest), x.url, x.payload_digest, record_id("response", x.first, x.payload_digest)))
+                    if x.again:
+                        out.append(revisit_record(x.page_id, x.url, x.payload_digest))
                     else:
-                        payload = x.html.encode("utf-8", "surrogatepass")
-                        out += response_records((x.page_id, x.payload_digest), x.url, payload, x.payload_digest)
+                        out += response_records(x.page_id, x.url, x.html.encode("utf-8", "surrogatepass"), x.payload_digest)
                 yield pd.DataFrame({"value": out})
+        give_back()
 
-    first = F.coalesce("first", "page_id")
-    decided = decide(rows).select("page_id", "url", "payload_digest", first.alias("first"), F.when(first == F.col("page_id"), F.col("html")).otherwise("").alias("html"))
-    written = decided.mapInPandas(records, "value string")
+    written = decide(rows).mapInPandas(records, "value string")
     written.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
@@ -194,6 +215,7 @@ def read_records(spark, path: str) -> DataFrame:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []
                 yield pd.DataFrame(rows, columns=names)
+        give_back()
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
     return files.mapInPandas(run, READ_SCHEMA)
@@ -208,7 +230,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     pieces = records.where("type in ('response', 'continuation') and segment > 0")
     part = F.struct("segment", "total", "block")
     grouped = pieces.groupBy("origin").agg(
-        F.array_distinct(F.sort_array(F.collect_list(part))).alias("parts"), F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max(F.when(F.col("segment") == 1, F.col("target"))).alias("target"),
+        F.sort_array(F.collect_list(part)).alias("parts"), F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max(F.when(F.col("segment") == 1, F.col("target"))).alias("target"),
         F.max(F.when(F.col("segment") == 1, F.col("payload_digest"))).alias("payload_digest"),
     )
     n = F.size("parts")
@@ -233,6 +255,7 @@ def responses(records: DataFrame) -> DataFrame:
                     if hashlib.sha256(p).hexdigest() != d:
                         raise ValueError(f"wrong payload digest of {name}")
                 yield pd.DataFrame({"record_id": part["record_id"], "page_id": part["page_id"], "target": part["target"], "payload": payloads, "payload_digest": part["payload_digest"]})
+        give_back()
 
     return reassemble(records).mapInPandas(run, "record_id string, page_id long, target string, payload binary, payload_digest string")
 
@@ -241,9 +264,8 @@ def page_digests(records: DataFrame) -> DataFrame:
     """One row per page of an archive made by write_archives, from what the records say: payload size and digest of the full payload (a revisit takes them
     from the response it refers to), type, and the page referred to."""
     found = responses(records).select("record_id", "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    found = found.dropDuplicates(["record_id"])
     own = found.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    again = records.where("type = 'revisit'").select("page_id", F.col("refers_to").alias("record_id"), F.col("payload_digest").alias("told")).distinct()
+    again = records.where("type = 'revisit'").select("page_id", F.col("refers_to").alias("record_id"), F.col("payload_digest").alias("told"))
     origin = found.select("record_id", F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
     seen = again.join(origin, "record_id").where("told = payload_digest")
     revisits = seen.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")

@@ -1,5 +1,7 @@
 """Pages whose article is below a name that also marks boilerplate."""
 
+import time
+
 import pytest
 
 from tensorloom.llm.html_extract import main_text
@@ -25,3 +27,10 @@ def test_small_forms_and_boilerplate_go():
 
 def test_a_long_advertisement_beside_a_short_article_goes():
     assert main_text(f"<body><div class='ad'>{BODY}</div><article><h1>Headline</h1><p>Short.</p></article></body>") == "Headline Short."
+
+
+def test_deep_pages_with_many_closing_tags_take_seconds():
+    began = time.process_time()
+    assert main_text("<div>" * 100_000 + "x</p>" * 100_000).startswith("x")
+    assert main_text("<div>" * 50_000 + "</span></td>" * 50_000) == ""
+    assert time.process_time() - began < 30

@@ -1,18 +1,21 @@
 """The training-data operators against brute force, on the given documents and on hand-made edge cases."""
 
+import functools
 import hashlib
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tensorloom.llm import chat, fingerprints, html_extract, media, mixing, packing, simhash, suffix_dedup, toxicity, warc
+from tensorloom.llm import chat, fingerprints, html_extract, media, mixing, packing, simhash, suffix_dedup, toxicity, warc, word_ids
 from tensorloom.llm.entries import oracle_sql, queries
 from tests.conftest import DATA
 
@@ -71,14 +74,71 @@ def test_simhash_equals_brute_force(spark, docs):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {i: (f"{fps[i]:016x}", label[i]) for i in docs}
 
 
-def test_simhash_large_lists_link_like_pairs():
-    rng = np.random.default_rng(5)
-    free = np.unique(rng.integers(0, 1 << 24, 900, dtype=np.uint64) & np.uint64(0x00F0F3))
-    labels = simhash._link_large(free, 55)  # bytes 3 to 7 agree
-    assert simhash.CHOICES[55] == (3, 4, 5, 6, 7)
-    want = components({i: int(v) for i, v in enumerate(free)})
-    groups = lambda x: {frozenset(k for k in range(len(free)) if x[k] == v) for v in set(x[k] for k in range(len(free)))}
-    assert groups(labels) == groups(want)
+def clustered(rng, n=120):
+    """Distinct fingerprints with copies of one to five differing bits, and a crowd that shares five bytes."""
+    base = rng.integers(0, 1 << 63, n, dtype=np.uint64).tolist()
+    flip = lambda v: v ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False))
+    return sorted({*base, *(flip(v) for v in base for _ in range(5)), *(base[0] ^ (int(rng.integers(0, 1 << 24)) & 0x00F0F3) for _ in range(300))})
+
+
+def reached(nodes, pairs):
+    """The smallest node that each node reaches."""
+    label = {v: v for v in nodes}
+
+    def root(v):
+        while label[v] != v:
+            v = label[v]
+        return v
+
+    for a, b in pairs:
+        low, high = sorted((root(a), root(b)))
+        label[high] = low
+    return {v: root(v) for v in nodes}
+
+
+@pytest.mark.parametrize("pair_limit,batch_rows", [(512, 200_000), (40, 64)])
+def test_simhash_lists_join_what_brute_force_joins(monkeypatch, pair_limit, batch_rows):
+    monkeypatch.setattr(simhash, "PAIR_LIMIT", pair_limit)
+    monkeypatch.setattr(simhash, "BATCH_ROWS", batch_rows)
+    fps = clustered(np.random.default_rng(5))
+    slot = lambda n, fp, places: functools.reduce(lambda v, p: v << 8 | fp >> 8 * p & 255, places, n)
+
+    def linked(postings, blocks):
+        rows = sorted(postings)
+        s, f = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint64).view(np.int64)
+        return pd.concat(simhash._link_lists(iter([pd.DataFrame({"slot": s[i : i + 50], "fp": f[i : i + 50]}) for i in range(0, len(s), 50)]), blocks))
+
+    found = linked([(slot(n, v, b), v) for v in fps for n, b in enumerate(simhash.BLOCKS)], True)
+    pairs = found[found.kind == 0][["a", "b"]]
+    crowded = {(int(v) % (1 << 64), int(b)) for v, b in found[found.kind == 1][["a", "b"]].itertuples(index=False)}
+    assert bool(crowded) == (pair_limit == 40)
+    if crowded:
+        longer = [(slot(8 * b + p, v, (*simhash.BLOCKS[b], p)), v) for v, b in crowded for p in range(8) if p not in simhash.BLOCKS[b]]
+        pairs = pd.concat([pairs, linked(longer, False)[["a", "b"]]])
+    joined = {(int(a) % (1 << 64), int(b) % (1 << 64)) for a, b in pairs.itertuples(index=False)}
+    assert reached(fps, joined) == components(dict(zip(fps, fps, strict=True)))
+
+
+def test_simhash_crowded_lists_go_on_under_one_more_byte(spark):
+    fps = clustered(np.random.default_rng(6), 5)
+    signed = np.array(fps, dtype=np.uint64).view(np.int64).tolist()
+    crowded = spark.createDataFrame([(v, n % 14) for n, v in enumerate(signed)], "fp long, block long")
+    got = {(r.slot, r.fp % (1 << 64)) for r in simhash._longer_postings(crowded).collect()}
+    slot = lambda n, fp, places: functools.reduce(lambda v, p: v << 8 | fp >> 8 * p & 255, places, n)
+    blocks = [(v, n % 14) for n, v in enumerate(fps)]
+    assert got == {(slot(8 * b + p, v, (*simhash.BLOCKS[b], p)), v) for v, b in blocks for p in range(8) if p not in simhash.BLOCKS[b]}
+
+
+def test_the_count_filter_rejects_pairs_that_share_a_block_only():
+    block = simhash.BLOCKS[3]
+    same = sum(0x5A << 8 * p for p in block)
+    others = [p for p in range(8) if p not in block]
+    fps = np.array(sorted(same | sum(1 << 8 * p for p in others[:n]) for n in range(5)), dtype=np.uint64)
+    slot = np.zeros(len(fps), np.int64) + (3 << 32)
+    met = {(int(fps[a]), int(fps[b])) for i, j in simhash.reaching_pairs(slot, fps, False) for a, b in zip(i, j, strict=True)}
+    pairs = {(int(a), int(b)) for k, a in enumerate(fps) for b in fps[k + 1 :]}
+    assert met == {(a, b) for a, b in pairs if sum(a >> 8 * p & 255 == b >> 8 * p & 255 for p in range(8)) >= 5} and met < pairs
+    assert all(any(set(b) <= set(five) for b in simhash.BLOCKS) for five in combinations(range(8), 5)) and len(simhash.BLOCKS) == 14
 
 
 def test_simhash_edges(spark, edges):
@@ -86,10 +146,6 @@ def test_simhash_edges(spark, edges):
     assert len(got) == 10
     zero = {r.component_id for r in got if r.doc_id in (2, 3, 7)}
     assert zero == {2} and {r.fingerprint for r in got if r.doc_id == 3} == {"0" * 16}
-    kept = simhash.keep_one_per_component(edges)
-    assert kept.columns == edges.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert None in ids and ids.count(1) == 1 and 3 not in ids
     assert simhash.near_duplicates(edges.limit(0)).count() == 0
 
 
@@ -121,11 +177,32 @@ def test_pack_sizes_hold_all_within_capacity(sizes):
 def test_word_tokenizer_is_the_library():
     from tokenizers import Tokenizer
 
-    tok, own = Tokenizer.from_file(packing.tokenizer_path()), packing.WordTokenizer(packing.tokenizer_path())
     texts = ["", "Hello, World... it's 3.5!\x1cx y", "<|endoftext|>a b.", "ÉÀ İstanbul Σας ß., ..", "á é\n\tz,.,", "日本語 テスト", "x" * 5000]
-    ids, cuts = own.encode(pa.array(texts))
-    for k, t in enumerate(texts):
-        assert ids[cuts[k] : cuts[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    for name, by_runs in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = packing.tokenizer_path(name)
+        tok, own = Tokenizer.from_file(path), word_ids.WordTokenizer(path)
+        assert own.by_runs == by_runs
+        for _ in range(3):  # what is known gives the same ids, and so it does when half is forgotten
+            ids, cuts = own.encode(pa.array(texts))
+            for k, t in enumerate(texts):
+                assert ids[cuts[k] : cuts[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+            own.known._forget()
+
+
+def test_known_runs_with_one_hash_are_told_apart(monkeypatch):
+    known = word_ids.KnownRuns()
+    monkeypatch.setattr(word_ids, "hash", lambda s: len(s), raising=False)
+    known.add(["ab", "cd", "xyz"], [b"\1\0\0\0", b"\2\0\0\0", b""])
+    assert known.find(["cd", "ab", "xyz", "q"]).tolist() == [-1, 0, 1, -1]
+
+
+def test_packing_cuts_long_texts_and_slices(spark):
+    rows = [(1, "word " * 500_000, "en", "s"), (2, "short one", "en", "s"), (3, "other " * 2000, "en", "s")]
+    assert len(rows[0][1]) > packing.SLICE_BYTES
+    got = packing.pack_documents(frame(spark, rows)).toPandas()
+    for i, n in ((1, 500_001), (2, 3), (3, 2001)):
+        own = got[got.doc_id == i].sort_values("start")
+        assert (own.start == np.concatenate(([0], np.cumsum(own.length)[:-1]))).all() and own.length.sum() == own.doc_tokens.iloc[0] == n
 
 
 def test_packing_edges(spark, edges):
@@ -176,6 +253,33 @@ def test_suffix_dedup_equals_brute_force(spark, docs):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_suffix_dedup_tells_texts_without_an_id_apart(spark):
+    rows = [(None, f"{k:05d} " * 60, "en", "s") for k in range(6)] + [(None, "00003 " * 60, "en", "s"), (5, "x" * 300, "en", "s"), (5, "y" * 199 + "z" * 150, "en", "s")]
+    docs = frame(spark, rows)
+    got = suffix_dedup.digest(suffix_dedup.remove_repeats(docs)).collect()
+    want = sorted(brute_removed([r[1].encode() for r in rows]))
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want and [r.doc_id for r in got].count(None) == 7
+
+
+def test_suffix_dedup_of_texts_whose_hash_agrees(spark):
+    """Texts without an id whose 32-bit hashes are equal keep what is theirs."""
+    many = spark.range(300_000).select(F.concat_ws(" ", *(F.hex(F.xxhash64("id", F.lit(k))) for k in range(20))).alias("text"))
+    one, other = many.groupBy(F.hash("text")).agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").select("a", "b").first()
+    rows = [(None, one, "en", "s"), (None, other, "en", "s"), (3, one, "en", "s")]
+    got = {(r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect() if r.doc_id is None}
+    assert got == {(len(one), len(one)), (len(other), 0)}
+
+
+def test_suffix_dedup_of_a_text_over_one_block(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, n))
+    shared, text = word(40), word(60_000)
+    assert len(text) > suffix_dedup.BLOCK
+    rows = [(1, text + "|" + shared, "en", "s"), (2, "a " + shared + " b", "en", "s"), (3, text[suffix_dedup.BLOCK - 150 : suffix_dedup.BLOCK + 150], "en", "s")]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == {1: (len(shared) + 300, 2), 2: (len(shared), 1), 3: (300, 1)}
+
+
 def test_suffix_dedup_edges_and_hot_buckets(spark, edges, monkeypatch):
     rows = [*((k, f"{k:04d} " * 50 + "license text " * 12 + f"{k * 7:05d}" * 40, "en", "s") for k in range(30))]
     both = edges.unionByName(frame(spark, rows))
@@ -214,16 +318,37 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write_archives(pages, str(tmp_path / "w"))
     records = warc.read_records(spark, str(tmp_path / "w"))
     assert records.where("type = 'continuation'").count() >= 2
-    got = {r.page_id: r for r in warc.page_digests(records).collect()}
-    for i, _, h, _ in rows:
-        raw = (h or "").encode()
-        assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
-    assert {i: r.refers_to for i, r in got.items() if r.record_type == "revisit"} == {2: 1, 7: 6}
+    got = warc.page_digests(records).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == sorted((i, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h, _ in rows)
+    assert sorted((r.page_id, r.refers_to) for r in got if r.record_type == "revisit") == [(2, 1), (7, 6), (8, 8)]
     lost = records.where("not (type = 'continuation' and segment = 2)")
     with pytest.raises(Exception, match="segments do not make a record"):
         warc.reassemble(lost).collect()
 
 
+def test_warc_keeps_every_row(spark, tmp_path):
+    """Rows that repeat an id and a payload, rows without an id, and no rows at all."""
+    rows = [(1, "u", "y" * 150), (1, "u", "y" * 150), (1, "v", "y" * 150), (2, "u", "y" * 150), (None, "a", "z" * 150), (None, "b", "z" * 150), (3, "u", "tiny"), (3, "u", "tiny"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    records = warc.read_records(spark, str(tmp_path / "w"))
+    assert records.count() == records.select("record_id").distinct().count() == 9
+    got = warc.page_digests(records).collect()
+    assert Counter((r.page_id, r.payload_bytes) for r in got) == Counter((i, len(h or "")) for i, _, h in rows)
+    assert Counter((r.page_id, r.refers_to) for r in got if r.record_type == "revisit") == Counter({(1, 1): 2, (2, 1): 1, (None, None): 1})
+    warc.write_archives(pages.limit(0), str(tmp_path / "none"))
+    assert warc.page_digests(warc.read_records(spark, str(tmp_path / "none"))).count() == 0
+
+
+@pytest.mark.parametrize("name,table", [("op6_warc", "pages"), ("op9_mixing", "documents"), ("op10_chat_formatting", "conversations")])
+def test_query_equals_sql(spark, name, table):
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
+    df = queries()[name](spark, DATA)
+    want = con.execute(f"select {', '.join(df.columns)} from ({oracle_sql()[name]})").fetchall()
+    assert Counter(map(tuple, df.collect())) == Counter(want) and want
+
+
 def test_chunked_framing():
     data = "aé".encode() * 9000
     assert warc.unchunked(warc.chunked(data, 1000)) == data
@@ -237,6 +362,12 @@ def test_ogg_round_trip_and_damage(spark, edges):
         data = bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8))
         samples, seconds, notes = media.samples_of(media.encode(data, b"hi"))
         assert (samples, notes) == (data, b"hi") and seconds == n / media.RATE
+    for n in (0, 4000, 4001, 70_000, 1_500_000):  # over several pages of both streams
+        data = bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8))
+        packets, notes = media.timed_packets(media.encode(data, b"n" * n))
+        ends = [min(n, media.PACKET * (k + 1)) for k in range(-(-n // media.PACKET))]
+        assert [(round(a * media.RATE), round(b * media.RATE)) for _, a, b in packets] == (list(zip([0, *ends[:-1]], ends, strict=True)) if n else [])
+        assert b"".join(p for p, _, _ in packets) == data and notes == b"n" * n
     file = bytearray(media.encode(b"abc" * 100))
     file[-2] ^= 1
     with pytest.raises(ValueError, match="checksum"):
@@ -267,14 +398,6 @@ def test_html_extraction(spark):
     assert [r.text for r in got if r.page_id == 1] == [want, want] and sum(r.n_chars == 0 for r in got) >= 3
 
 
-def test_mixing_equals_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
-    df = queries()["op9_mixing"](spark, DATA)
-    want = con.execute(f"select {', '.join(df.columns)} from ({oracle_sql()['op9_mixing']})").fetchall()
-    assert sorted(map(tuple, df.collect())) == sorted(want)
-
-
 def test_mixing_shares_shortage_with_siblings_first(spark):
     leaves = spark.createDataFrame([("web", "en", "a", 10), ("web", "en", "b", 1000), ("books", "en", "c", 1000)], "domain string, lang string, source string, tokens long")
     got = {r.source: r.budget for r in mixing.budgets(leaves, 700, 1).collect()}
