@@ -4,15 +4,32 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the driver and all executors see: spark.checkpoint.dir, or the session's checkpoint folder.
+
+    With neither, a session on one machine gets a temporary folder, as in tests; elsewhere that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        current, master = spark.sparkContext._jsc.sc().getCheckpointDir(), spark.sparkContext.master
+        if current.isDefined():
+            root = current.get()
+        elif master == "local" or master.startswith("local["):
+            root = "file://" + tempfile.mkdtemp(prefix="tensorloom-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's folder; a folder of its own where none is set, as in tests."""
+    """A reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tensorloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
