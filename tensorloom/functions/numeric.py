@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,12 +27,48 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, removed when the session's file system closes."""
+    path = f"{shared_folder(spark)}/tensorloom-{os.getpid()}-{uuid.uuid4().hex[:12]}-{name}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
+    return path
+
+
+def checkpoint(df: DataFrame, name: str = "step") -> DataFrame:
+    """`df` written to the shared folder and read again: its lineage ends here, a lost executor costs no earlier step, later scans read the columns
+    they need, and joins know its size. For tables that an operator uses more than once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """`df` laid out by ranges of (group, order) and written, with the range's number as `_k`. Rows that are equal in both share a range, and ranges follow one
+    another, so a running sum of a large group needs its ranges one by one and a sum a range."""
+    laid = df.repartitionByRange(*group, *order).withColumn("_k", F.spark_partition_id())
+    return checkpoint(laid, "ranges")
+
+
+def _ahead(parts: DataFrame, group: list[str], value: Column) -> DataFrame:
+    """(group, _k, _before): the sum of `value` over the ranges before. One row a range meets for a group."""
+    sums = parts.groupBy(*group, "_k").agg(F.sum(value).alias("_n"))
+    w = Window.partitionBy(*group).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*group, "_k", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+
+
+def running_total(df: DataFrame, group: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Adds `out`, the sum of `value` over the rows of the group before and equal to this one in `order`."""
+    parts = ranged(df, group, order)
+    inside = F.sum(value).over(Window.partitionBy(*group, "_k").orderBy(*order))
+    return parts.withColumn("_in", inside).join(_ahead(parts, group, value), [*group, "_k"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_k")
+
+
+def row_numbers(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
+    """Adds `out`, the rows of the group numbered from 1 in `order`."""
+    parts = ranged(df, group, order)
+    inside = F.row_number().over(Window.partitionBy(*group, "_k").orderBy(*order))
+    return parts.withColumn("_in", inside).join(_ahead(parts, group, F.lit(1)), [*group, "_k"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_k")
 
 
 def pearson(a: str, b: str) -> Column:

@@ -69,9 +69,11 @@ def genome_vector(vectors: DataFrame, group: list[str]) -> DataFrame:
 
 
 def split_genome(values: DataFrame, sizes: DataFrame, resolution: int, mode: str = "floor") -> DataFrame:
-    """Genome-long values(place, value) cut back to (chrom, bin, value) by the bin counts of the chromosomes: a range join with one row a chromosome."""
+    """Genome-long values(.., place, value) cut back to (.., chrom, bin, value) by the bin counts of the chromosomes: a range join with one row a chromosome.
+    Other columns ride along."""
     n = sizes.select("chrom", bin_count(F.col("length"), resolution, mode).alias("n"))
     w = Window.orderBy(natural_order(F.col("chrom")), "chrom").rowsBetween(Window.unboundedPreceding, -1)
     at = n.select("chrom", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("at"))
     inside = (F.col("place") >= F.col("at")) & (F.col("place") < F.col("at") + F.col("n"))
-    return values.join(F.broadcast(at), inside).select("chrom", (F.col("place") - F.col("at")).alias("bin"), "value")
+    rest = [c for c in values.columns if c not in ("place", "value")]
+    return values.join(F.broadcast(at), inside).select(*rest, "chrom", (F.col("place") - F.col("at")).alias("bin"), "value")

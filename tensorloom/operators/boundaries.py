@@ -12,6 +12,11 @@ def _w(group: list[str]):
     return Window.partitionBy(*group).orderBy("bin")
 
 
+def _after(group: list[str]):
+    """The rows behind this one, nearest last: a frame that grows backwards costs one step a row."""
+    return Window.partitionBy(*group).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+
+
 def local_extrema(curve: DataFrame, group: list[str]) -> DataFrame:
     """Adds `extremum`: "min" or "max" where the value is strictly below or above both neighbours; the ends have none."""
     w = _w(group)
@@ -27,7 +32,7 @@ def neighbours_of_minima(curve: DataFrame, group: list[str]) -> DataFrame:
     e = local_extrema(curve, group)
     top, low = F.struct("bin", "value"), F.struct("bin", "value")
     left = F.last(F.when(F.col("extremum") == "max", top), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first(F.when(F.col("extremum") == "min", low), True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    right = F.last(F.when(F.col("extremum") == "min", low), True).over(_after(group))
     out = e.withColumn("_l", left).withColumn("_r", right).where("extremum = 'min'")
     return out.select(*group, "bin", "value", F.col("_l.bin").alias("left_max"), F.col("_r.bin").alias("right_min"), F.col("_l.value").alias("left_value"), F.col("_r.value").alias("right_value"))
 
@@ -61,7 +66,7 @@ def boundaries_delta(curve: DataFrame, group: list[str]) -> DataFrame:
     d = curve.withColumn("_d", F.lead("value").over(w) - F.col("value")).where("_d is not null")
     change = (F.signum("_d") != F.signum(F.lead("_d").over(w))) & F.lead("_d").over(w).isNotNull()
     top = F.coalesce(F.max("_d").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    low = F.coalesce(F.min("_d").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    low = F.coalesce(F.min("_d").over(_after(group)), F.lit(0.0))
     return d.select(*group, "bin", change.alias("_c"), (top - low).alias("strength")).where("_c").drop("_c")
 
 

@@ -9,10 +9,14 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tensorloom.functions.numeric import checkpoint, row_numbers, running_total
+
 
 def cell_qc(counts: DataFrame, cell: list[str], mito: str, ribo: str, genes=(500, 6000), total=(500, 40000), mito_most=0.10, ribo_most=0.40, denominator: str = "total") -> DataFrame:
     """(cell, genes, total, mito, ribo): cells within the bounds. The shares of genes by name prefix are over the cell's total, or with
     denominator="n_cells" over the number of cells."""
+    if denominator == "n_cells":
+        counts = checkpoint(counts, "counts")
     per = counts.groupBy(*cell).agg(
         F.count_if(F.col("value") > 0).alias("genes"), F.sum("value").alias("total"),
         F.coalesce(F.sum(F.when(F.startswith("gene", F.lit(mito)), F.col("value"))), F.lit(0.0)).alias("mito"), F.coalesce(F.sum(F.when(F.startswith("gene", F.lit(ribo)), F.col("value"))), F.lit(0.0)).alias("ribo"),
@@ -35,9 +39,11 @@ def drop_zero_genes(counts: DataFrame) -> DataFrame:
 
 
 def normalize_total(counts: DataFrame, cell: list[str]) -> DataFrame:
-    """log(1 + value scaled to the median of the cells' totals)."""
-    totals = counts.groupBy(*cell).agg(F.sum("value").alias("_t"))
-    target = totals.where("_t > 0").agg(F.median("_t").alias("_m"))
+    """log(1 + value scaled to the median of the cells' totals). The median is taken over distinct totals with their counts."""
+    counts = checkpoint(counts, "counts")
+    totals = checkpoint(counts.groupBy(*cell).agg(F.sum("value").alias("_t")), "totals")
+    distinct = totals.where("_t > 0").groupBy("_t").agg(F.count("*").alias("_c"))
+    target = distinct.agg(F.percentile("_t", F.lit(0.5), F.col("_c")).alias("_m"))
     j = counts.join(totals, cell).crossJoin(F.broadcast(target))
     return j.withColumn("value", F.log1p(F.col("value") * F.col("_m") / F.col("_t"))).drop("_t", "_m")
 
@@ -45,28 +51,29 @@ def normalize_total(counts: DataFrame, cell: list[str]) -> DataFrame:
 def robust_scale(counts: DataFrame, group: list[str], cells: DataFrame) -> DataFrame:
     """log(1 + max(x, 0)) less the lower quartile over the interquartile range of a whole block, zeros included: cells(group, total cells × genes).
 
-    The quartiles are those of the completed grid; they are interpolated between the two stored places around them, zeros below all others."""
-    logs = counts.withColumn("value", F.log1p(F.greatest("value", F.lit(0.0))))
-    stored = logs.where("value > 0")
-    nz = stored.groupBy(*group).agg(F.count("*").alias("_nz"))
-    base = cells.join(nz, group, "left").withColumn("_zero", F.col("total") - F.coalesce("_nz", F.lit(0)))
+    The quartiles are those of the completed grid; they are interpolated between the two stored places around them, zeros below all others. Places come from a
+    running total over the counts of distinct values, so no block is ordered in one task."""
+    logs = checkpoint(counts.withColumn("value", F.log1p(F.greatest("value", F.lit(0.0)))), "logs")
+    distinct = logs.where("value > 0").groupBy(*group, "value").agg(F.count("*").alias("_c"))
+    placed = running_total(distinct, group, [F.col("value")], F.col("_c"), "_upto")
+    stored = distinct.groupBy(*group).agg(F.sum("_c").alias("_nz"))
+    base = cells.join(stored, group, "left").withColumn("_zero", F.col("total") - F.coalesce("_nz", F.lit(0)))
     for name, q in (("_p1", 0.25), ("_p3", 0.75)):
         base = base.withColumn(name, (F.col("total") - 1) * q)
-    places = base.select(*group, "_zero", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), e.alias("at")) for t, e in (("a1", F.floor("_p1")), ("b1", F.ceil("_p1")), ("a3", F.floor("_p3")), ("b3", F.ceil("_p3")))))).alias("p"))
-    w = Window.partitionBy(*group).orderBy("value")
-    # only the stored values are ordered; their places start after the zeros
-    ranked = stored.select(*group, "value").withColumn("_n", F.row_number().over(w)).join(base.select(*group, "_zero"), group).withColumn("at", F.col("_zero") + F.col("_n") - 1)
-    got = places.select(*group, "p.t", "p.at").join(ranked.select(*group, "at", "value"), [*group, "at"], "left").groupBy(*group).pivot("t", ["a1", "b1", "a3", "b3"]).agg(F.coalesce(F.first("value"), F.lit(0.0)))
-    q = base.join(got, group).select(
+    base = checkpoint(base, "blocks")
+    wanted = {"a1": F.floor("_p1"), "b1": F.ceil("_p1"), "a3": F.floor("_p3"), "b3": F.ceil("_p3")}
+    first, past = F.col("_zero") + F.col("_upto") - F.col("_c"), F.col("_zero") + F.col("_upto")
+    got = placed.join(base, group).groupBy(*group).agg(*(F.max(F.when((e >= first) & (e < past), F.col("value"))).alias(t) for t, e in wanted.items()))
+    q = base.join(got, group, "left").fillna(0.0, list(wanted)).select(
         *group, (F.col("a1") + (F.col("b1") - F.col("a1")) * (F.col("_p1") - F.floor("_p1"))).alias("_q1"), (F.col("a3") + (F.col("b3") - F.col("a3")) * (F.col("_p3") - F.floor("_p3"))).alias("_q3")
     )
-    return logs.join(F.broadcast(q), group).withColumn("value", (F.col("value") - F.col("_q1")) / (F.col("_q3") - F.col("_q1") + 1e-10)).drop("_q1", "_q3")
+    return logs.join(q, group).withColumn("value", (F.col("value") - F.col("_q1")) / (F.col("_q3") - F.col("_q1") + 1e-10)).drop("_q1", "_q3")
 
 
 def blocks(rows: DataFrame, group: list[str], order: str, size: int) -> DataFrame:
     """Adds `block` and `place`: consecutive rows in order, the last incomplete block dropped."""
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1
-    b = rows.withColumn("_n", n).withColumn("block", F.floor(F.col("_n") / size).cast("long")).withColumn("place", (F.col("_n") % size).cast("long")).drop("_n")
+    n = F.col("_n") - 1
+    b = row_numbers(rows, group, [F.col(order)], "_n").withColumn("block", F.floor(n / size).cast("long")).withColumn("place", (n % size).cast("long")).drop("_n")
     full = F.count("*").over(Window.partitionBy(*group, "block"))
     return b.withColumn("_f", full).where(F.col("_f") == size).drop("_f")
 
@@ -74,8 +81,7 @@ def blocks(rows: DataFrame, group: list[str], order: str, size: int) -> DataFram
 def align_min_rows(rows: DataFrame, group: list[str], order: str) -> DataFrame:
     """Every group cut to the rows of the smallest, in order."""
     sizes = rows.groupBy(*group).agg(F.count("*").alias("n")).agg(F.min("n").alias("_least"))
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(order))
-    return rows.withColumn("_n", n).crossJoin(F.broadcast(sizes)).where("_n <= _least").drop("_n", "_least")
+    return row_numbers(rows, group, [F.col(order)], "_n").crossJoin(F.broadcast(sizes)).where("_n <= _least").drop("_n", "_least")
 
 
 def log_fold_change(wide: DataFrame, base_age: int) -> DataFrame:
@@ -182,7 +188,7 @@ def gbt_regression(df: DataFrame, features: list[str], label: str, seeds: list[i
     partition."""
     from tensorloom.operators.stats import spearman
 
-    v = VectorAssembler(inputCols=features, outputCol="features").transform(df).select("features", F.col(label).alias("label"), F.xxhash64(*features, label).alias("_h"))
+    v = VectorAssembler(inputCols=features, outputCol="features").transform(df).select("features", F.col(label).alias("label"), F.xxhash64(*features, label).alias("_h")).persist()
     rows, rho = [], []
     for seed in seeds:
         side = F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(10))
@@ -191,6 +197,7 @@ def gbt_regression(df: DataFrame, features: list[str], label: str, seeds: list[i
         got = spearman(held, "label", "prediction", ["g"]).first()
         rho.append(float(got["value"]) if got is not None and got["value"] is not None else 0.0)
         rows += [(f, seed, float(x)) for f, x in zip(features, model.featureImportances.toArray(), strict=True)]
+    v.unpersist()
     got = df.sparkSession.createDataFrame(rows, "feature string, seed int, importance double")
     ranked = got.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("importance"), "feature")))
     return ranked.groupBy("feature").agg(F.median("place").alias("median_place"), F.avg("importance").alias("importance")), rho

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tensorloom.functions.numeric import ranged, running_total
+
 
 def overlap_pairs(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
     """All overlapping pairs of a(chrom, start, end, id) and b(chrom, start, end, id, ...): (chrom, a_id, b_id, lap, ...).
@@ -27,7 +29,7 @@ def overlap_counts(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
     pairs = overlap_pairs(a, b, width).select("a_id", "b_id")
     both = pairs.agg(F.count("*").alias("pairs"), F.count_distinct("a_id").alias("_a"), F.count_distinct("b_id").alias("_b"))
     n, m = a.agg(F.count_distinct("id").alias("_n")), b.agg(F.count_distinct("id").alias("_m"))
-    return both.crossJoin(n).crossJoin(m).select((F.col("_n") - F.col("_a")).alias("only_a"), (F.col("_m") - F.col("_b")).alias("only_b"), "pairs")
+    return both.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(m)).select((F.col("_n") - F.col("_a")).alias("only_a"), (F.col("_m") - F.col("_b")).alias("only_b"), "pairs")
 
 
 def slop(t: DataFrame, by: int, sizes: DataFrame | None = None) -> DataFrame:
@@ -69,11 +71,11 @@ def dark_bins(mappability: DataFrame, bins: DataFrame, resolution: int, least: f
 
 def fragment_index(reads: DataFrame, sites: DataFrame) -> DataFrame:
     """reads(chrom, pos, ...) with `fragment`, the number of sites (chrom, pos) at or before the position: a running count over reads and sites together,
-    sites first where positions agree."""
+    sites first where positions agree, in ranges of a chromosome."""
     columns = reads.columns
     tagged = reads.withColumn("_site", F.lit(0)).unionByName(sites.select("chrom", "pos").withColumn("_site", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy("chrom").orderBy("pos", F.desc("_site")).rowsBetween(Window.unboundedPreceding, 0)
-    return tagged.withColumn("fragment", F.sum("_site").over(w)).where("_site = 0").select(*columns, "fragment")
+    counted = running_total(tagged, ["chrom"], [F.col("pos"), F.desc("_site")], F.col("_site"), "fragment")
+    return counted.where("_site = 0").select(*columns, "fragment")
 
 
 def pair_mates(reads: DataFrame) -> DataFrame:
@@ -103,12 +105,18 @@ def coverage_bins(t: DataFrame, resolution: int) -> DataFrame:
 
 
 def depth_segments(t: DataFrame) -> DataFrame:
-    """(chrom, start, end, depth): maximal segments of equal events, from a running sum of +1 at starts and -1 at ends."""
-    steps = t.select("chrom", F.col("start").alias("pos"), F.lit(1).alias("d")).unionByName(t.select("chrom", F.col("end").alias("pos"), F.lit(-1).alias("d")))
-    steps = steps.groupBy("chrom", "pos").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("chrom").orderBy("pos")
-    run = steps.select("chrom", F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
-    return run.where("end is not null and depth > 0")
+    """(chrom, start, end, depth): maximal segments of equal events, from a running sum of +1 at starts and -1 at ends, in ranges of a chromosome. Where a range ends,
+    the next one's first position closes its last segment."""
+    both = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
+    steps = t.select("chrom", both.alias("_s")).groupBy("chrom", "_s.pos").agg(F.sum("_s.d").alias("d"))
+    parts = ranged(steps, ["chrom"], [F.col("pos")])
+    w = Window.partitionBy("chrom").orderBy("_k")
+    edges = parts.groupBy("chrom", "_k").agg(F.min("pos").alias("_first"), F.sum("d").alias("_d"))
+    edges = edges.select("chrom", "_k", F.lead("_first").over(w).alias("_next"), F.coalesce(F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("chrom", "_k").orderBy("pos")
+    run = parts.withColumn("_end", F.lead("pos").over(inside)).withColumn("_depth", F.sum("d").over(inside)).join(edges, ["chrom", "_k"])
+    out = run.select("chrom", F.col("pos").alias("start"), F.coalesce("_end", "_next").alias("end"), (F.col("_depth") + F.col("_before")).alias("depth"))
+    return out.where("end is not null and depth > 0")
 
 
 def sub_bin_integral(signal: DataFrame, sub: int, group: list[str]) -> DataFrame:
@@ -132,9 +140,15 @@ def aligned_profile(signal: DataFrame, anchors: DataFrame, reach: int, step: int
 
 
 def cpg_density(chunks: DataFrame, resolution: int) -> DataFrame:
-    """(chrom, bin, value): share of "CG" starts per position of sequence chunks(chrom, start, seq); a pair split between two chunks counts by the chunk before."""
-    w = Window.partitionBy("chrom").orderBy("start")
-    joined = chunks.withColumn("_seq", F.upper(F.concat("seq", F.coalesce(F.left(F.lead("seq").over(w), F.lit(1)), F.lit("")))))
-    letters = joined.withColumn("_p", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)))
-    hit = (F.substr("_seq", F.col("_p") + 1, F.lit(2)) == "CG").cast("long")
-    return letters.groupBy("chrom", F.floor((F.col("start") + F.col("_p")) / resolution).alias("bin")).agg((F.sum(hit) / F.count("*")).alias("value"))
+    """(chrom, bin, value): share of "CG" starts per position of sequence chunks(chrom, start, seq); a pair split between two chunks that follow one another
+    counts by the chunk before. Chunks meet the first letter of the next by position, and pairs are counted in a chunk's piece of each bin, not letter by letter."""
+    size = F.length("seq")
+    first = chunks.select("chrom", F.col("start").alias("_end"), F.left("seq", F.lit(1)).alias("_next")).where("_next <> ''")
+    joined = chunks.withColumn("_end", F.col("start") + size).join(first, ["chrom", "_end"], "left")
+    joined = joined.withColumn("_seq", F.upper(F.concat("seq", F.coalesce("_next", F.lit("")))))
+    spread = F.sequence(F.expr(f"start div {resolution}"), F.expr(f"(_end - 1) div {resolution}"))
+    cut = joined.where("_end > start").withColumn("bin", F.explode(spread))
+    lo, hi = F.greatest("start", F.col("bin") * resolution), F.least("_end", (F.col("bin") + 1) * resolution)
+    piece = F.substr("_seq", (lo - F.col("start") + 1).cast("int"), (hi - lo + 1).cast("int"))
+    pairs = (F.length(piece) - F.length(F.replace(piece, F.lit("CG"), F.lit("")))) / 2
+    return cut.groupBy("chrom", "bin").agg((F.sum(pairs) / F.sum(hi - lo)).alias("value"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions.numeric import checkpoint
 
 GROUP = ("sample", "chrom")
+STRIP = 64
 
 
 def bin_pairs(pairs: DataFrame, resolution: int) -> DataFrame:
@@ -21,8 +22,9 @@ def bin_pairs(pairs: DataFrame, resolution: int) -> DataFrame:
 
 def symmetrize(m: DataFrame, group=GROUP) -> DataFrame:
     """The full matrix of an upper triangle: off-diagonal cells mirrored, duplicates summed."""
-    flipped = m.where("i != j").select(*group, F.col("j").alias("i"), F.col("i").alias("j"), "value")
-    return m.select(*group, "i", "j", "value").unionByName(flipped).groupBy(*group, "i", "j").agg(F.sum("value").alias("value"))
+    own, flipped = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    both = m.select(*group, F.explode(F.when(F.col("i") == F.col("j"), F.array(own)).otherwise(F.array(own, flipped))).alias("_c"), "value")
+    return both.groupBy(*group, "_c.i", "_c.j").agg(F.sum("value").alias("value"))
 
 
 def emphasize(m: DataFrame, cap: int, plus: int = 1) -> DataFrame:
@@ -44,9 +46,11 @@ def sparse_pearson(m: DataFrame, n: int, group=GROUP, floor: float = 0.0) -> Dat
 
     The join runs on (group, column) and its product is summed by map-side combine; cells of one column meet, never whole rows.
     """
+    m = checkpoint(m, "matrix")
     stats = row_stats(m, n, group)
     sd = F.greatest(F.col("sd"), F.lit(floor)) if floor else F.col("sd")
     z = m.join(stats, [*group, "i"]).where(sd > 0).select(*group, "i", "j", ((F.col("value") - F.col("mu")) / sd).alias("z"))
+    z = checkpoint(z, "standardised")
     other = z.select(*group, F.col("i").alias("i2"), "j", F.col("z").alias("z2"))
     dots = z.join(other, [*group, "j"]).where("i <= i2").groupBy(*group, "i", "i2").agg(F.sum(F.col("z") * F.col("z2")).alias("dot"))
     norms = z.groupBy(*group, F.col("i").alias("_k")).agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("_n"))
@@ -71,36 +75,42 @@ def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
 
 
-def triangle_pairs(rows: DataFrame, group=GROUP) -> DataFrame:
-    """Pairs i <= j of the rows of each matrix."""
-    other = rows.select(*group, F.col("i").alias("j"), F.col("x").alias("y"))
-    return rows.join(other, list(group)).where("i <= j")
+def strip_join(left: DataFrame, right: DataFrame, a: str, b: str, group=GROUP) -> DataFrame:
+    """Pairs a <= b of the rows of each matrix. The left rows lie in strips of STRIP; a right row goes to each strip up to its own, so the rows of one matrix meet in
+    as many groups as it has strips, and none holds more than STRIP rows against the rest."""
+    own = left.withColumn("_strip", F.floor(F.col(a) / STRIP))
+    laid = right.withColumn("_strip", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col(b) / STRIP))))
+    return own.join(laid, [*group, "_strip"]).where(F.col(a) <= F.col(b)).drop("_strip")
 
 
 def corr_matrix(m: DataFrame, n: int, group=GROUP, shift: bool = False) -> DataFrame:
     """Pearson correlation of all pairs of rows of a full matrix, upper triangle; null where a row is constant. shift: raised by the matrix's
     minimum when that is negative."""
     rows = rows_as_arrays(m, n, group).withColumn("x", centred(F.col("x"), n)).withColumn("_q", F.sqrt(dot(F.col("x"), F.col("x"))))
+    rows = checkpoint(rows, "rows")
     other = rows.select(*group, F.col("i").alias("j"), F.col("x").alias("y"), F.col("_q").alias("_r"))
     c = F.try_divide(dot(F.col("x"), F.col("y")), F.col("_q") * F.col("_r"))
-    out = rows.join(other, list(group)).where("i <= j").select(*group, "i", "j", c.alias("value"))
+    out = strip_join(rows, other, "i", "j", group).select(*group, "i", "j", c.alias("value"))
     return shift_min(out, group) if shift else out
 
 
 def shift_min(m: DataFrame, group=GROUP) -> DataFrame:
     """Values raised by the group's minimum where that is negative."""
+    m = checkpoint(m, "values")
     low = m.groupBy(*group).agg(F.greatest(-F.min("value"), F.lit(0.0)).alias("_low"))
     return m.join(low, list(group)).withColumn("value", F.col("value") + F.col("_low")).drop("_low")
 
 
 def normalize(m: DataFrame, by: list[str]) -> DataFrame:
     """Values over the L2 norm of their group; all-zero groups stay zero."""
+    m = checkpoint(m, "values")
     norm = m.groupBy(*by).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
     return m.join(norm, by).withColumn("value", F.coalesce(F.try_divide("value", F.col("_norm")), F.lit(0.0))).drop("_norm")
 
 
 def normalize_strict(m: DataFrame, by: list[str]) -> DataFrame:
     """As normalize, with an error for a group of norm zero."""
+    m = checkpoint(m, "values")
     norm = m.groupBy(*by).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
     checked = F.when(F.col("_norm") > 0, F.col("value") / F.col("_norm")).otherwise(F.raise_error(F.lit("a vector of norm zero")).cast("double"))
     return m.join(norm, by).withColumn("value", checked).drop("_norm")
@@ -117,13 +127,15 @@ def outer_product(v: DataFrame, group=GROUP, limit: int | None = None) -> DataFr
     c = v.withColumn("_c", F.col("value") - F.avg("value").over(w))
     if limit is not None:
         c = c.withColumn("_n", F.count("*").over(w)).where(F.col("_n") <= limit)
+    c = checkpoint(c, "vectors")
     a = c.select(*group, F.col("bin").alias("i"), F.col("_c").alias("a"))
     b = c.select(*group, F.col("bin").alias("j"), F.col("_c").alias("b"))
-    return a.join(b, list(group)).where("i <= j").select(*group, "i", "j", (F.col("a") * F.col("b")).alias("value"))
+    return strip_join(a, b, "i", "j", group).select(*group, "i", "j", (F.col("a") * F.col("b")).alias("value"))
 
 
 def observed_over_expected(m: DataFrame, n: int, group=GROUP) -> DataFrame:
     """Upper-triangle cells over the mean of their diagonal, absent cells counted as zeros."""
+    m = checkpoint(m, "matrix")
     d = F.col("j") - F.col("i")
     mean = m.groupBy(*group, d.alias("_d")).agg((F.sum("value") / (F.lit(n) - F.first(d))).alias("_e"))
     return m.withColumn("_d", d).join(mean, [*group, "_d"]).withColumn("value", F.try_divide("value", F.col("_e"))).drop("_d", "_e")
@@ -131,6 +143,7 @@ def observed_over_expected(m: DataFrame, n: int, group=GROUP) -> DataFrame:
 
 def balance(m: DataFrame, steps: int, group=GROUP, cut_every: int = 5) -> DataFrame:
     """Iterative correction of a full matrix: cells over the product of their row's and column's sums, each over the mean row sum, `steps` times."""
+    m = checkpoint(m, "matrix")
     for k in range(steps):
         s = m.groupBy(*group, "i").agg(F.sum("value").alias("_s"))
         b = s.select(*group, "i", (F.col("_s") / F.avg("_s").over(Window.partitionBy(*group))).alias("_b"))
@@ -143,6 +156,7 @@ def balance(m: DataFrame, steps: int, group=GROUP, cut_every: int = 5) -> DataFr
 
 def leading_eigenvector(m: DataFrame, steps: int, group=GROUP, cut_every: int = 5) -> DataFrame:
     """Power iteration on a full symmetric matrix from a vector of ones, `steps` times: (group, bin, value) of unit length."""
+    m = checkpoint(m, "matrix")
     v = m.select(*group, F.col("i").alias("bin")).distinct().withColumn("value", F.lit(1.0))
     for k in range(steps):
         moved = m.join(v.select(*group, F.col("bin").alias("j"), F.col("value").alias("_v")), [*group, "j"])

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 import math
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.functions.numeric import pearson
+from tensorloom.functions.numeric import checkpoint, pearson, ranged, running_total
 
 
-def mid_rank(value: str, group: list[str]) -> Column:
-    """Rank from 1 within the group, ties sharing the mean of their places."""
-    return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2
+def mid_ranks(df: DataFrame, value: str, group: list[str], out: str) -> DataFrame:
+    """Adds `out`, the rank from 1 within the group, ties sharing the mean of their places: a running total over the counts of distinct values."""
+    counted = running_total(df.groupBy(*group, value).agg(F.count("*").alias("_c")), group, [F.col(value)], F.col("_c"), "_upto")
+    return df.join(counted.select(*group, value, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out)), [*group, value])
 
 
 def spearman(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumn("_x", mid_rank(x, group)).withColumn("_y", mid_rank(y, group))
+    both = checkpoint(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).alias("_a"), F.col(y).alias("_b")), "pairs")
+    ranked = mid_ranks(mid_ranks(both, "_a", group, "_x"), "_b", group, "_y")
     return ranked.groupBy(*group).agg(pearson("_x", "_y").alias("value"))
 
 
@@ -29,10 +29,12 @@ def ks_statistic(samples: DataFrame, pairs: DataFrame) -> DataFrame:
 
     The two samples of a pair are laid together in value order; the distance is the largest difference of the running shares, taken
     at the last row of each distinct value."""
-    sizes = samples.groupBy("i").agg(F.count("*").alias("n"))
+    # counts per value come first, so a pair meets distinct values only
+    counted = checkpoint(samples.groupBy("i", "value").agg(F.count("*").alias("k")), "counts")
+    sizes = counted.groupBy("i").agg(F.sum("k").alias("n"))
     wanted = pairs.join(sizes, "i").join(sizes.select(F.col("i").alias("j"), F.col("n").alias("m")), "j")
-    a = wanted.join(samples, "i").select("i", "j", "n", "m", "value", (F.lit(1.0) / F.col("n")).alias("w"))
-    b = wanted.join(samples.select(F.col("i").alias("j"), "value"), "j").select("i", "j", "n", "m", "value", (F.lit(-1.0) / F.col("m")).alias("w"))
+    a = wanted.join(counted, "i").select("i", "j", "n", "m", "value", (F.col("k") / F.col("n")).alias("w"))
+    b = wanted.join(counted.select(F.col("i").alias("j"), "value", "k"), "j").select("i", "j", "n", "m", "value", (-F.col("k") / F.col("m")).alias("w"))
     steps = a.unionByName(b).groupBy("i", "j", "n", "m", "value").agg(F.sum("w").alias("w"))
     run = F.sum("w").over(Window.partitionBy("i", "j").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     return steps.withColumn("_r", F.abs(run)).groupBy("i", "j", "n", "m").agg(F.max("_r").alias("d"))
@@ -47,31 +49,26 @@ def kolmogorov_tail(x: float) -> float:
 
 def ks_exact(n: int, m: int, d: float) -> float:
     """Chance that two samples of n and m from one distribution lie at least d apart: lattice paths from (0, 0) to (n, m) that stay within d, counted as
-    shares column by column."""
+    shares, one diagonal of n + 1 points after another."""
     limit = d - 1e-9 / (n * m)
-    share = np.ones(m + 1)
-    y = np.arange(m + 1) / m
-    inside = np.abs(y) < limit
-    share = np.where(np.cumprod(inside), 1.0, 0.0)
-    for i in range(1, n + 1):
-        inside = np.abs(i / n - y) < limit
-        nxt, left = np.zeros(m + 1), 0.0
-        for j in range(m + 1):
-            if inside[j]:
-                nxt[j] = (share[j] * i / (i + j) if i + j else 0.0) + left * j / (i + j)
-            left = nxt[j]
-        share = nxt
-    return float(min(1.0, max(0.0, 1.0 - share[m])))
-
-
-def ks_pvalues(d: DataFrame, exact_up_to: int = 400) -> DataFrame:
-    """Adds `p`: exact for samples whose sizes multiply to at most exact_up_to², else the limiting series."""
+    i = np.arange(n + 1)
+    share = np.where(i == 0, 1.0, 0.0) * (limit > 0)
+    for s in range(1, n + m + 1):
+        j = s - i
+        stepped = share * j / s
+        stepped[1:] += share[:-1] * i[1:] / s
+        share = np.where((j >= 0) & (j <= m) & (np.abs(i / n - j / m) < limit), stepped, 0.0)
+    return float(min(1.0, max(0.0, 1.0 - share[n])))
+
+
+def ks_pvalues(d: DataFrame, exact_up_to: int = 10_000) -> DataFrame:
+    """Adds `p`: exact for samples of at most `exact_up_to` values each, else the limiting series."""
 
     @F.pandas_udf("double")
     def p(n: pd.Series, m: pd.Series, x: pd.Series) -> pd.Series:
         out = []
         for a, b, v in zip(n, m, x, strict=True):
-            out.append(ks_exact(int(a), int(b), v) if a * b <= exact_up_to**2 else kolmogorov_tail(v * math.sqrt(a * b / (a + b))))
+            out.append(ks_exact(int(a), int(b), v) if max(a, b) <= exact_up_to else kolmogorov_tail(v * math.sqrt(a * b / (a + b))))
         return pd.Series(out)
 
     return d.withColumn("p", p(F.col("n"), F.col("m"), F.col("d")))
@@ -92,15 +89,19 @@ def rank_sum(counts: DataFrame, cells: DataFrame) -> DataFrame:
 
     Absent cells are zeros: they hold the lowest places, and their share of ranks and ties is added without laying them out. Returns
     (gene, grp, n1, n2, u, z, log_fold_change); z is tie-corrected and null where all values agree."""
-    stored = counts.where("value > 0").join(cells, "cell")
+    stored = counts.where("value > 0").join(cells, "cell").groupBy("gene", "value", "grp").agg(F.count("*").alias("k"))
+    stored = checkpoint(stored, "stored")
     total = cells.agg(F.count("*").alias("N"))
     sizes = cells.groupBy("grp").agg(F.count("*").alias("n1"))
-    per_gene = stored.groupBy("gene").agg(F.count("*").alias("nz"), F.sum("value").alias("all_sum"))
+    distinct = stored.groupBy("gene", "value").agg(F.sum("k").alias("t"))
+    ranks = running_total(distinct, ["gene"], [F.col("value")], F.col("t"), "_upto").withColumn("_r", F.col("_upto") - (F.col("t") - 1) / 2)
+    ranks = checkpoint(ranks, "ranks")
+    t = F.col("t")
+    per_gene = ranks.groupBy("gene").agg(F.sum("t").alias("nz"), F.sum(t * F.col("value")).alias("all_sum"), F.sum(t * t * t - t).cast("double").alias("ties"))
     zeros = per_gene.crossJoin(F.broadcast(total)).withColumn("z0", F.col("N") - F.col("nz"))
-    ranked = stored.withColumn("_r", mid_rank("value", ["gene"]))
-    tie_sizes = stored.groupBy("gene", "value").agg(F.count("*").alias("t")).groupBy("gene").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
-    sums = ranked.groupBy("gene", "grp").agg(F.sum("_r").alias("rs"), F.count("*").alias("k"), F.sum("value").alias("own_sum"))
-    grid = zeros.join(tie_sizes, "gene").crossJoin(F.broadcast(sizes))
+    met = stored.join(ranks.select("gene", "value", "_r"), ["gene", "value"])
+    sums = met.groupBy("gene", "grp").agg(F.sum(F.col("k") * F.col("_r")).alias("rs"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("value")).alias("own_sum"))
+    grid = zeros.crossJoin(F.broadcast(sizes))  # a gene meets a few groups
     j = grid.join(sums, ["gene", "grp"], "left").fillna(0, ["rs", "k", "own_sum"])
     n2 = F.col("N") - F.col("n1")
     rank_of_group = F.col("rs") + F.col("k") * F.col("z0") + (F.col("n1") - F.col("k")) * (F.col("z0") + 1) / 2
@@ -115,12 +116,24 @@ def rank_sum(counts: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, group: list[str], order: list[str]) -> DataFrame:
-    """Adds `p_adjusted`: the least of p * n / rank over this and later ranks, at most 1."""
-    w = Window.partitionBy(*group).orderBy(p, *order)
-    n = F.count(p).over(Window.partitionBy(*group))
-    step = df.withColumn("_s", F.col(p) * n / F.row_number().over(w))
-    least = F.min("_s").over(w.rowsBetween(0, Window.unboundedFollowing))
-    return step.withColumn("p_adjusted", F.least(least, F.lit(1.0))).drop("_s")
+    """Adds `p_adjusted`: the least of p * n / rank over this and later ranks, at most 1. Ranks and least values run inside ranges of p and are carried over
+    from one range to the next."""
+    by = [F.col(p), *(F.col(c) for c in order)]
+    parts = ranged(df, group, by)
+    sizes = parts.groupBy(*group, "_k").agg(F.count("*").alias("_rows"), F.count(p).alias("_known"))
+    w = Window.partitionBy(*group)
+    ahead = F.coalesce(F.sum("_rows").over(w.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*group, "_k", ahead.alias("_before"), F.sum("_known").over(w).alias("_n"))
+    inside = Window.partitionBy(*group, "_k").orderBy(*by)
+    step = parts.withColumn("_i", F.row_number().over(inside)).join(sizes, [*group, "_k"])
+    step = checkpoint(step.withColumn("_s", F.col(p) * F.col("_n") / (F.col("_i") + F.col("_before"))), "steps")
+    least = step.groupBy(*group, "_k").agg(F.min("_s").alias("_m"))
+    later = least.select(*group, "_k", F.min("_m").over(w.orderBy("_k").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    # from the end backwards: a frame that grows costs one step a row, one that shrinks costs its length
+    onward = Window.partitionBy(*group, "_k").orderBy(F.desc(p), *(F.desc(c) for c in order))
+    own = F.min("_s").over(onward.rowsBetween(Window.unboundedPreceding, 0))
+    out = step.withColumn("_own", own).join(later, [*group, "_k"]).withColumn("p_adjusted", F.least("_own", "_later", F.lit(1.0)))
+    return out.drop("_k", "_i", "_before", "_n", "_s", "_own", "_later")
 
 
 def linear_fit(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
@@ -206,12 +219,12 @@ def density_2d(points: DataFrame, at: DataFrame) -> DataFrame:
 
 def pearson_pairs(rows: DataFrame, group: list[str]) -> DataFrame:
     """log10(1 + r + 1e-10) for pairs i <= j of row arrays rows(group, i, x); r is 0 where a row is constant."""
-    from tensorloom.operators.matrix import centred, dot
+    from tensorloom.operators.matrix import centred, dot, strip_join
 
     n = F.size("x")
-    c = rows.withColumn("x", F.transform("x", lambda v: v)).withColumn("x", centred(F.col("x"), n)).withColumn("_q", F.sqrt(dot(F.col("x"), F.col("x"))))
+    c = checkpoint(rows.withColumn("x", centred(F.col("x"), n)).withColumn("_q", F.sqrt(dot(F.col("x"), F.col("x")))), "rows")
     other = c.select(*group, F.col("i").alias("j"), F.col("x").alias("y"), F.col("_q").alias("_p"))
     r = F.coalesce(F.try_divide(dot(F.col("x"), F.col("y")), F.col("_q") * F.col("_p")), F.lit(0.0))
-    return c.join(other, group).where("i <= j").select(*group, "i", "j", F.log10(1 + r + 1e-10).alias("value"))
+    return strip_join(c, other, "i", "j", group).select(*group, "i", "j", F.log10(1 + r + 1e-10).alias("value"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.functions.numeric import tri_level
+from tensorloom.functions.numeric import checkpoint, row_numbers, tri_level
 from tensorloom.operators import matrix as M
 
 GROUP = ("sample", "chrom")
@@ -15,7 +15,7 @@ def build_cell_tensor(contacts: DataFrame, signal: DataFrame, n: int, width: int
     """tensor(sample, chrom, modality, i, j, value) of upper-triangle contacts and signal products: the last bin dropped, signal kept near contacts, contacts turned
     into correlations, both made non-negative, normalised by column and by modality."""
     last = n - 1
-    full = M.symmetrize(contacts.where((F.col("i") < last) & (F.col("j") < last)))
+    full = checkpoint(M.symmetrize(contacts.where((F.col("i") < last) & (F.col("j") < last))), "matrix")
     other = M.symmetrize(signal.where((F.col("i") < last) & (F.col("j") < last)))
     near = M.mask_neighbourhood(other, full, width)
     cor = M.symmetrize(M.sparse_pearson(full, last))
@@ -25,15 +25,10 @@ def build_cell_tensor(contacts: DataFrame, signal: DataFrame, n: int, width: int
     return M.normalize(M.normalize(raised, [*keys, "j"]), keys).select("sample", "chrom", "modality", "i", "j", "value")
 
 
-def _triples(rows: DataFrame, group) -> DataFrame:
-    """i <= j <= k of rows(group, i, x): two joins on the group, row arrays side by side."""
-    b = rows.select(*group, F.col("i").alias("j"), F.col("x").alias("y"))
-    c = rows.select(*group, F.col("i").alias("k"), F.col("x").alias("z"))
-    return rows.join(b, list(group)).where("i <= j").join(c, list(group)).where("j <= k")
-
-
-def _dot3(x: str, y: str, z: str) -> Column:
-    return M.dot(F.zip_with(x, y, lambda a, b: a * b), F.col(z))
+def bin_triples(ids: DataFrame, group=GROUP) -> DataFrame:
+    """(group, i, j, k): i <= j <= k of ids(group, i), by two joins in strips."""
+    pairs = M.strip_join(ids.select(*group, "i"), ids.select(*group, F.col("i").alias("j")), "i", "j", group)
+    return M.strip_join(pairs, ids.select(*group, F.col("i").alias("k")), "j", "k", group)
 
 
 def third_cumulant(m: DataFrame, n: int, group=GROUP, kind: str = "standardised") -> DataFrame:
@@ -45,14 +40,16 @@ def third_cumulant(m: DataFrame, n: int, group=GROUP, kind: str = "standardised"
     rows = M.rows_as_arrays(m, n, group)
     mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / n
     c = rows.withColumn("_mu", mean).withColumn("x", M.centred(F.col("x"), n)).withColumn("_v", M.dot(F.col("x"), F.col("x")) / n)
-    facts = c.select(*group, F.col("i").alias("_i"), "_mu", "_v")
-    t = _triples(c.select(*group, "i", "x"), group).withColumn("_e", _dot3("x", "y", "z") / n)
+    c = checkpoint(c, "rows")
+    own = lambda s, x: c.select(*group, F.col("i").alias(s), F.col("x").alias(x), F.col("_mu").alias(f"_m{s}"), F.col("_v").alias(f"_v{s}"))
+    # a pair carries the product of its rows as one array, and a triple none
+    pairs = M.strip_join(own("i", "x"), own("j", "y"), "i", "j", group).withColumn("_p", F.zip_with("x", "y", lambda a, b: a * b))
+    pairs = pairs.withColumn("_xy", F.aggregate("_p", F.lit(0.0), lambda a, v: a + v) / n).drop("x", "y")
+    means = pairs.select(*group, "i", "j", "_xy")
+    t = M.strip_join(pairs, own("k", "z"), "j", "k", group).withColumn("_e", M.dot(F.col("_p"), F.col("z")) / n).drop("_p", "z")
     if kind == "raw":
-        for a, b in (("x", "y"), ("x", "z"), ("y", "z")):
-            t = t.withColumn(f"_{a}{b}", M.dot(F.col(a), F.col(b)) / n)
-    t = t.drop("x", "y", "z")
-    for s in "ijk":
-        t = t.join(facts.select(*group, F.col("_i").alias(s), F.col("_mu").alias(f"_m{s}"), F.col("_v").alias(f"_v{s}")), [*group, s])
+        for a, b, name in (("i", "k", "_xz"), ("j", "k", "_yz")):
+            t = t.join(means.select(*group, F.col("i").alias(a), F.col("j").alias(b), F.col("_xy").alias(name)), [*group, a, b])
     if kind == "raw":
         value = F.col("_e") - F.col("_mi") * F.col("_yz") - F.col("_mj") * F.col("_xz") - F.col("_mk") * F.col("_xy") + 2 * F.col("_mi") * F.col("_mj") * F.col("_mk")
     else:
@@ -89,31 +86,39 @@ def mask3(values: DataFrame, near: DataFrame, width: int = 1, group=GROUP) -> Da
 def combine_cumulants(a: DataFrame, b: DataFrame, n: int, high: float, low: float, group=GROUP) -> DataFrame:
     """Two full cumulants cropped to n, the second cut to three levels and kept near the first, both over their norm, non-negative and stacked."""
     inside = "i < {0} and j < {0} and k < {0}".format(n)
-    a, b = a.where(inside), b.where(inside).withColumn("value", tri_level(F.col("value"), high, low)).where("value != 0")
+    a, b = checkpoint(a.where(inside), "cumulant"), b.where(inside).withColumn("value", tri_level(F.col("value"), high, low)).where("value != 0")
     stacked = a.withColumn("modality", F.lit("contacts")).unionByName(mask3(b, a, 1, group).withColumn("modality", F.lit("signal")))
     keys = [*group, "modality"]
     return M.shift_min(M.normalize(stacked, keys), keys)
 
 
 def _hash_order(columns: list[str], seed: int) -> Column:
-    return F.xxhash64(*columns, F.lit(seed))
+    """A seeded order of cells that any engine can state: the MD5 of the seed and the keys, in hex."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)).cast("binary"))
 
 
 def downsample(m: DataFrame, keys: list[str], percent: int, total: Column, group: list[str], seed: int) -> DataFrame:
     """Exactly floor(total * percent / 100) cells of each group in the order of a seeded hash, fewer only if the group has fewer."""
-    w = Window.partitionBy(*group).orderBy(_hash_order([*group, *keys], seed), *keys)
-    ranked = m.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.floor(total * percent / 100))
-    return ranked.where("_r <= _n").drop("_r", "_n")
+    hashed = m.withColumn("_h", _hash_order([*group, *keys], seed))
+    ranked = row_numbers(hashed, group, [F.col("_h"), *(F.col(k) for k in keys)], "_r").withColumn("_n", F.floor(total * percent / 100))
+    return ranked.where("_r <= _n").drop("_r", "_n", "_h")
+
+
+def downsample_slices(m: DataFrame, keys: list[str], percent: int, total: Column, group: list[str], seed: int) -> DataFrame:
+    """The matrix as slice 0 with its down-sampled copy as slice 1."""
+    m = checkpoint(m, "matrix")
+    few = downsample(m, keys, percent, total, group, seed)
+    return m.withColumn("slice", F.lit(0)).unionByName(few.withColumn("slice", F.lit(1)))
 
 
 def random_mask(m: DataFrame, keys: list[str], share: float, seed: int) -> DataFrame:
     """Cells whose seeded hash falls under `share`: repeatable, independent of how the table is split."""
-    return m.where(F.pmod(_hash_order(keys, seed), F.lit(1_000_000)) < int(share * 1_000_000))
+    return m.where(F.left(_hash_order(keys, seed), F.lit(8)) < f"{int(share * 16**8):08x}")
 
 
-def unfold(t: DataFrame) -> DataFrame:
-    """tensor(sample, i, j, value) as a matrix of samples by cells: (sample, cell, value)."""
-    return t.select("sample", F.struct("i", "j").alias("cell"), "value")
+def unfold(t: DataFrame, keys: list[str]) -> DataFrame:
+    """tensor(sample, keys.., value) as a matrix of samples by cells: (sample, cell, value), a cell being the struct of its keys."""
+    return t.select("sample", F.struct(*keys).alias("cell"), "value")
 
 
 def flat_corr(a: DataFrame, b: DataFrame, keys: list[str], cells: int, group: list[str]) -> DataFrame:

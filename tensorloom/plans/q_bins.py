@@ -71,11 +71,10 @@ def genome_vector(spark, d):
     return B.genome_vector(D.cell_vector(spark, d), ["sample"]).withColumn("value", F.round("value", 6))
 
 
-@query("split_genome", sql("select chrom, bin, round(value, 6) as value from (select chrom, bin, value from cells where sample = '0' and r = 1)", "cells"))
+@query("split_genome", sql("select sample, r, chrom, bin, round(value, 6) as value from cells", "cells"))
 def split_genome(spark, d):
-    one = D.cells(spark, d).where("sample = '0' and r = 1").select("chrom", "bin", "value")
     offsets = B.chrom_offsets(D.sizes(spark, d).withColumn("length", F.lit(D.N_BINS)))
-    place = one.join(F.broadcast(offsets), "chrom").select((F.col("offset") + F.col("bin")).alias("place"), "value")
+    place = D.cells(spark, d).join(F.broadcast(offsets), "chrom").select("sample", "r", (F.col("offset") + F.col("bin")).alias("place"), "value")
     return B.split_genome(place, D.sizes(spark, d), D.RESOLUTION).withColumn("value", F.round("value", 6))
 
 

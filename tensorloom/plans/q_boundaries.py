@@ -23,9 +23,9 @@ def neighbour_extrema(spark, d):
     return B.neighbours_of_minima(D.curve(spark, d), G).select("chrom", "bin", "left_max", "right_min")
 
 
-@query("filter_minima", sql(f"+{NB} select * from (select chrom, bin, round(coalesce(l.value - r.value, 0), 6) as strength from nb) where strength > 1", "curve"))
+@query("filter_minima", sql(f"+{NB} select chrom, bin, round(strength, 6) as strength from (select chrom, bin, coalesce(l.value - r.value, 0) as strength from nb) where strength > 1", "curve"))
 def filter_minima(spark, d):
-    return rounded(B.filter_minima(D.curve(spark, d), G, -1e18), 6, "strength").where("strength > 1")
+    return rounded(B.filter_minima(D.curve(spark, d), G, 1.0), 6, "strength")
 
 
 @query("filter_minima_index", sql(f"+{NB} select * from (select chrom, bin, coalesce(l.bin - r.bin, 0)::double as strength from nb) where strength > -5", "curve"))
@@ -38,9 +38,9 @@ def minima_flags(spark, d):
     return B.minima_flags(D.curve(spark, d), G)
 
 
-@query("boundaries_scan", sql(f"+{EX} select * from (select chrom, bin, round(top - low, 6) as strength from (select *, case when bin <= 5 then value else max(value) over (partition by chrom order by bin rows between 5 preceding and 1 preceding) end as top, min(value) over (partition by chrom order by bin rows between current row and 4 following) as low from ex) where extremum = 'min') where strength >= 0.2", "curve"))
+@query("boundaries_scan", sql(f"+{EX} select chrom, bin, round(strength, 6) as strength from (select chrom, bin, top - low as strength from (select *, case when bin <= 5 then value else max(value) over (partition by chrom order by bin rows between 5 preceding and 1 preceding) end as top, min(value) over (partition by chrom order by bin rows between current row and 4 following) as low from ex) where extremum = 'min') where strength >= 0.2", "curve"))
 def boundaries_scan(spark, d):
-    return rounded(B.boundaries_scan(D.curve(spark, d), G, least=-1e18), 6, "strength").where("strength >= 0.2")
+    return rounded(B.boundaries_scan(D.curve(spark, d), G, least=0.2), 6, "strength")
 
 
 DL = "dl as (select * from (select chrom, bin, lead(value) over (partition by chrom order by bin) - value as dv from curve) where dv is not null)"

@@ -106,10 +106,9 @@ def differential_compartments(spark, d):
     return C.differential_compartments(_stable(spark, d), "alpha", "beta")
 
 
-@query("differential_values", sql(f"+{SV}, {STABLE}, {DIFF} select v.sample, count(*) as bins, round(sum(v.value), 4) as total, round(max(v.value), 6) as high from cell_vector v join df on df.chrom = v.chrom and df.bin = v.bin group by all", "cell_vector", "bins", "types"))
+@query("differential_values", sql(f"+{SV}, {STABLE}, {DIFF} select v.sample, v.chrom, v.bin, round(v.value, 6) as value from cell_vector v join df on df.chrom = v.chrom and df.bin = v.bin", "cell_vector", "bins", "types"))
 def differential_values(spark, d):
-    v = D.cell_vector(spark, d).join(C.differential_compartments(_stable(spark, d), "alpha", "beta"), ["chrom", "bin"], "left_semi")
-    return v.groupBy("sample").agg(F.count("*").alias("bins"), F.round(F.sum("value"), 4).alias("total"), F.round(F.max("value"), 6).alias("high"))
+    return rounded(D.cell_vector(spark, d).join(C.differential_compartments(_stable(spark, d), "alpha", "beta"), ["chrom", "bin"], "left_semi").select("sample", "chrom", "bin", "value"))
 
 
 @query("isochore", "select p_partkey, case when p_size + 20 < 38 then 'L1' when p_size + 20 < 42 then 'L2' when p_size + 20 < 47 then 'H1' when p_size + 20 <= 52 then 'H2' else 'H3' end as class from part")

@@ -1,5 +1,7 @@
 """Queries of expression operators."""
 
+from statistics import median
+
 from pyspark.sql import functions as F
 
 from tensorloom.operators import expression as E
@@ -33,26 +35,25 @@ def zero_genes(spark, d):
     return E.zero_genes(_zg(spark, d))
 
 
-@query("drop_zero_genes", f"with c as ({ZG}) select dataset, count(*) as n, count(distinct gene) as genes from c where gene not in (select gene from c group by gene having max(value) <= 0) group by all")
+@query("drop_zero_genes", f"with c as ({ZG}) select dataset, gene, value from c where gene not in (select gene from c group by gene having max(value) <= 0)")
 def drop_zero_genes(spark, d):
-    return E.drop_zero_genes(_zg(spark, d)).groupBy("dataset").agg(F.count("*").alias("n"), F.count_distinct("gene").alias("genes"))
+    return E.drop_zero_genes(_zg(spark, d)).select("dataset", "gene", "value")
 
 
 NT = "tt as (select dataset, cell, sum(value) as t from counts group by all), nt as (select c.dataset, c.grp, c.cell, gene, ln(1 + value * (select median(t) from tt) / t) as value from counts c join tt on tt.dataset = c.dataset and tt.cell = c.cell)"
 
 
-@query("normalize_total", sql(f"+{NT} select dataset, cell, count(*) as n, round(sum(value), 4) as total, round(max(value), 6) as high from nt group by all", "counts"))
+@query("normalize_total", sql(f"+{NT} select dataset, grp, cell, gene, round(value, 6) as value from nt", "counts"))
 def normalize_total(spark, d):
-    n = E.normalize_total(D.counts(spark, d), ["dataset", "cell"])
-    return n.groupBy("dataset", "cell").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.max("value"), 6).alias("high"))
+    return rounded(E.normalize_total(D.counts(spark, d), ["dataset", "cell"]).select("dataset", "grp", "cell", "gene", "value"))
 
 
-RB = "c as (select l_returnflag as dataset, l_partkey % 40 as cell, l_suppkey % 15 as gene, sum(l_quantity) as value from lineitem where l_quantity > 40 group by all), g as (select dataset, cell, gene, coalesce(value, 0) as value from (select unnest(['A', 'N', 'R']) as dataset) cross join (select unnest(range(40)) as cell) cross join (select unnest(range(15)) as gene) left join c using (dataset, cell, gene)), q as (select dataset, quantile_cont(ln(1 + value), 0.25) as a, quantile_cont(ln(1 + value), 0.75) as b from g group by all)"
+RB = "c as (select l_returnflag as dataset, l_partkey % 40 as cell, l_suppkey % 15 as gene, sum(l_quantity) as value from lineitem group by all), g as (select dataset, cell, gene, coalesce(value, 0) as value from (select unnest(['A', 'N', 'R']) as dataset) cross join (select unnest(range(40)) as cell) cross join (select unnest(range(15)) as gene) left join c using (dataset, cell, gene)), q as (select dataset, quantile_cont(ln(1 + value), 0.25) as a, quantile_cont(ln(1 + value), 0.75) as b from g group by all)"
 
 
 @query("robust_scale", f"with {RB} select c.dataset, cell, gene, round((ln(1 + value) - a) / (b - a + 1e-10), 6) as value from c join q on q.dataset = c.dataset")
 def robust_scale(spark, d):
-    c = D.read(spark, d, "lineitem").where("l_quantity > 40").groupBy(F.col("l_returnflag").alias("dataset"), (F.col("l_partkey") % 40).alias("cell"), (F.col("l_suppkey") % 15).alias("gene")).agg(F.sum("l_quantity").alias("value"))
+    c = D.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("dataset"), (F.col("l_partkey") % 40).alias("cell"), (F.col("l_suppkey") % 15).alias("gene")).agg(F.sum("l_quantity").alias("value"))
     cells = c.select("dataset").distinct().withColumn("total", F.lit(600))
     return rounded(E.robust_scale(c, ["dataset"], cells))
 
@@ -88,9 +89,9 @@ def zscore(spark, d):
     return rounded(E.zscore(D.wide(spark, d), ["tissue", "age"]))
 
 
-@query("everywhere_genes", sql("select gene from wide where age = 1997 group by gene having count(distinct tissue) = (select count(distinct tissue) from wide where age = 1997)", "wide"))
+@query("everywhere_genes", sql("select gene from wide where value > 0 group by gene having count(distinct tissue) = (select count(distinct tissue) from wide)", "wide"))
 def everywhere_genes(spark, d):
-    return E.everywhere_genes(D.wide(spark, d).where("age = 1997"))
+    return E.everywhere_genes(D.wide(spark, d))
 
 
 @query("replicate_means", sql("select gene, flag, status, round(avg(value), 6) as value from replicates group by all", "replicates"))
@@ -104,12 +105,12 @@ def split_names(spark, d):
     return rounded(E.split_names(p, "name", " ", ["price"]), 6, "price")
 
 
-@query("cluster_of", "select l_partkey as gene, case when count(distinct l_suppkey) > 1 then -1 else min(l_suppkey) end as cluster from lineitem where l_quantity > 47 group by all")
+@query("cluster_of", "select l_partkey as gene, case when count(distinct l_suppkey) > 1 then -1 else min(l_suppkey) end as cluster from lineitem group by all")
 def cluster_of(spark, d):
-    return E.cluster_of(D.read(spark, d, "lineitem").where("l_quantity > 47").select(F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("cluster")), "gene", "cluster")
+    return E.cluster_of(D.read(spark, d, "lineitem").select(F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("cluster")), "gene", "cluster")
 
 
-@query("cluster_sizes", "select cluster, count(*) as n from (select l_partkey as gene, case when count(distinct l_suppkey) > 1 then -1 else min(l_suppkey) end as cluster from lineitem where l_quantity > 47 group by all) group by all")
+@query("cluster_sizes", "select cluster, count(*) as n from (select l_partkey as gene, case when count(distinct l_suppkey) > 1 then -1 else min(l_suppkey) end as cluster from lineitem group by all) group by all")
 def cluster_sizes(spark, d):
     return cluster_of(spark, d).groupBy("cluster").agg(F.count("*").alias("n"))
 
@@ -172,5 +173,7 @@ def kmeans(spark, d):
 
 @query("gbt_importance")
 def gbt_importance(spark, d):
+    """Ten seeded splits, the features' median places and the median Spearman correlation of the held-out tenths."""
     items = D.read(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    return E.gbt_regression(items, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", [1, 2])[0].orderBy("median_place", "feature").limit(20)
+    places, rho = E.gbt_regression(items, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", list(range(1, 11)))
+    return places.withColumn("median_spearman", F.lit(median(rho))).orderBy("median_place", "feature").limit(20)

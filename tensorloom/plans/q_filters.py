@@ -4,11 +4,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tensorloom.functions import numeric as N
+from tensorloom.functions.numeric import scratch_path
 from tensorloom.operators import filters as P
 from tensorloom.plans import demo_data as D
 from tensorloom.plans.demo_data import sql
 from tensorloom.plans.q_matrix import rounded
 from tensorloom.plans.registry import query
+from tensorloom.sources import writers as W
 
 READS = "reads as (select (l_suppkey % 6)::varchar as sample, 'chr' || (l_partkey % 3 + 1)::varchar as chrom, l_orderkey % 61 as mapq, (l_orderkey * 7) % 2048 as flag from lineitem)"
 DARK = "dark as (select chrom, bin from mark where bin % 7 = 3)"
@@ -170,10 +172,10 @@ def join_vectors(spark, d):
     return a.join(b, ["chrom", "bin"]).where(F.col("a").isNotNull() & F.col("b").isNotNull())
 
 
-@query("first_of_duplicates", "select gene, size, k from (select p_type as gene, p_size::bigint as size, p_partkey as k, row_number() over (partition by p_type order by p_partkey) as rn from part where p_type in (select p_type from part where p_size > 10)) where rn = 1")
+@query("first_of_duplicates", "select gene, size, k from (select p_type as gene, p_size::bigint as size, p_partkey as k, row_number() over (partition by p_type order by p_partkey) as rn from part) where rn = 1")
 def first_of_duplicates(spark, d):
     p = D.read(spark, d, "part").select(F.col("p_type").alias("gene"), F.col("p_size").cast("long").alias("size"), F.col("p_partkey").alias("k"))
-    return P.first_of_duplicates(p.join(p.where("size > 10").select("gene").distinct(), "gene", "left_semi"), ["gene"], ["k"])
+    return P.first_of_duplicates(p, ["gene"], ["k"])
 
 
 @query("feature_subset", "select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey in (select p_partkey from part where p_size < 5)")
@@ -206,17 +208,15 @@ def order_by_level(spark, d):
     return D.cell_vector(spark, d).groupBy("sample").agg(F.round(F.avg("value"), 6).alias("level")).orderBy(F.desc("level"))
 
 
-@query("random_mask_share", sql("select count(*) as cells from contacts", "contacts"))
-def random_mask_share(spark, d):
-    from tensorloom.operators.tensor import random_mask
+@query("random_mask", sql("select sample, chrom, i, j, value from contacts where left(md5(concat_ws(':', '7', sample, chrom, i::varchar, j::varchar)), 8) < '19999999'", "contacts"))
+def random_mask(spark, d):
+    from tensorloom.operators.tensor import random_mask as op
 
-    c = D.contacts(spark, d)
-    keep = random_mask(c, ["sample", "chrom", "i", "j"], 0.1, 7)
-    drop = c.join(keep, ["sample", "chrom", "i", "j"], "left_anti")
-    return keep.select("i").unionByName(drop.select("i")).agg(F.count("*").alias("cells"))
+    return op(D.contacts(spark, d), ["sample", "chrom", "i", "j"], 0.1, 7)
 
 
-@query("block_ids", sql("select sample, chrom, i // 10 as bi, j // 10 as bj, count(*) as cells from contacts group by all", "contacts"))
+@query("block_ids", sql("select sample, chrom, i // 10 as bi, j // 10 as bj, i, j, value from contacts", "contacts"))
 def block_ids(spark, d):
-    return D.contacts(spark, d).groupBy("sample", "chrom", F.expr("i div 10").alias("bi"), F.expr("j div 10").alias("bj")).agg(F.count("*").alias("cells"))
-
+    path = scratch_path(spark, "blocks")
+    W.write_blocks(D.contacts(spark, d), path, 10)
+    return spark.read.parquet(path).select("sample", "chrom", F.col("bi").cast("long").alias("bi"), F.col("bj").cast("long").alias("bj"), "i", "j", "value")

@@ -2,12 +2,16 @@
 
 from pyspark.sql import functions as F
 
+from tensorloom.functions.numeric import running_total
 from tensorloom.operators import intervals as I
 from tensorloom.plans import demo_data as D
 from tensorloom.plans.demo_data import sql
 from tensorloom.plans.q_matrix import rounded
 from tensorloom.plans.registry import query
 
+#: letters of a sequence in one row
+CHUNK = 10_000
+
 LAP = "a.chrom = b.chrom and a.start < b.\"end\" and b.start < a.\"end\""
 
 
@@ -71,12 +75,12 @@ def dark_bins_nan(spark, d):
     return I.dark_bins(t, b, 300, 0.4, missing_is_dark=False)
 
 
-FRAG = "select l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_linestatus as chrom, (select count(*) from sites s where s.pos <= l.l_partkey * 7 + l.l_suppkey) as fragment from lineitem l where l.l_linenumber = 1"
+FRAG = "select l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_linestatus as chrom, (select count(*) from sites s where s.pos <= l.l_partkey * 7 + l.l_suppkey) as fragment from lineitem l"
 
 
 @query("fragment_index", f"with sites as (select s_suppkey * 131 as pos from supplier) {FRAG}")
 def fragment_index(spark, d):
-    items = D.read(spark, d, "lineitem").where("l_linenumber = 1")
+    items = D.read(spark, d, "lineitem")
     reads = items.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_linestatus").alias("chrom"), (F.col("l_partkey") * 7 + F.col("l_suppkey")).alias("pos"))
     chroms = items.select(F.col("l_linestatus").alias("chrom")).distinct()
     sites = D.read(spark, d, "supplier").select((F.col("s_suppkey") * 131).alias("pos")).crossJoin(F.broadcast(chroms))  # a few chromosomes
@@ -127,11 +131,13 @@ def aligned_profile(spark, d):
     return rounded(I.aligned_profile(s, anchors, 6000, 600))
 
 
-@query("cpg_density", "with c as (select source as chrom, doc_id as k, upper(left(regexp_replace(text, '[^A-Za-z]', '', 'g'), 60)) as seq from documents), f as (select chrom, k, seq, coalesce(sum(length(seq)) over (partition by chrom order by k rows between unbounded preceding and 1 preceding), 0)::bigint as start, coalesce(left(lead(seq) over (partition by chrom order by k), 1), '') as nx from c where seq <> ''), p as (select chrom, start + i as pos, substr(seq || nx, i::int + 1, 2) = 'CH' as hit from (select *, unnest(range(length(seq))) as i from f)) select chrom, pos // 500 as bin, round(avg(hit::int), 8) as value from p group by all")
+@query("cpg_density", "with c as (select source as chrom, doc_id as k, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as seq from documents), f as (select chrom, k, seq, coalesce(sum(length(seq)) over (partition by chrom order by k rows between unbounded preceding and 1 preceding), 0)::bigint as start, coalesce(left(lead(seq) over (partition by chrom order by k), 1), '') as nx from c where seq <> ''), p as (select chrom, start + i as pos, substr(seq || nx, i::int + 1, 2) = 'CH' as hit from (select *, unnest(range(length(seq))) as i from f)) select chrom, pos // 500 as bin, round(avg(hit::int), 8) as value from p group by all")
 def cpg_density(spark, d):
-    from pyspark.sql import Window
-
-    seq = F.translate(F.upper(F.left(F.regexp_replace("text", "[^A-Za-z]", ""), F.lit(60))), "HG", "GH")
+    seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "HG", "GH")
     c = D.read(spark, d, "documents").select(F.col("source").alias("chrom"), "doc_id", seq.alias("seq")).where("seq <> ''")
-    start = F.coalesce(F.sum(F.length("seq")).over(Window.partitionBy("chrom").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rounded(I.cpg_density(c.withColumn("start", start), 500), 8)
+    ends = running_total(c.select("chrom", "doc_id", F.length("seq").alias("n")), ["chrom"], [F.col("doc_id")], F.col("n"), "end")
+    whole = c.join(ends, ["chrom", "doc_id"]).withColumn("start", F.col("end") - F.col("n"))
+    # sequences go in chunks, so that no row is long
+    at = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(CHUNK)))
+    chunks = whole.withColumn("_at", at).select("chrom", (F.col("start") + F.col("_at")).alias("start"), F.substr("seq", F.col("_at") + 1, F.lit(CHUNK)).alias("seq"))
+    return rounded(I.cpg_density(chunks, 500), 8)

@@ -21,7 +21,7 @@ def corr_pair(spark, d):
 @query("mid_rank", f"select event_id, {MR.format(g='event_type', v='floor(value)')} as r from events")
 def mid_rank(spark, d):
     e = D.read(spark, d, "events").withColumn("v", F.floor("value"))
-    return e.select("event_id", S.mid_rank("v", ["event_type"]).alias("r"))
+    return S.mid_ranks(e, "v", ["event_type"], "r").select("event_id", "r")
 
 
 @query("spearman", f"select l_linestatus as chrom, round(covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)), 8) as value from (select l_linestatus, {MR.format(g='l_linestatus', v='l_quantity')} as rx, {MR.format(g='l_linestatus', v='l_extendedprice')} as ry from lineitem) group by all")
@@ -92,13 +92,18 @@ def density_2d(spark, d):
     return rounded(S.density_2d(p.drop("id"), p.where("id % 100 = 0")), 10, "density")
 
 
-RS = "cl as (select cell, grp from (select doc_id as cell, lang as grp from documents)), ct as (select c.cell, c.gene, c.value, cl.grp from (select cell, gene, sum(value) as value from counts where gene in ('the', 'of', 'and', 'in', 'th', 'er', 'la', 'de', 'les') group by all) c join cl on cl.cell = c.cell), gn as (select distinct gene from ct), fu as (select gn.gene, cl.cell, cl.grp, coalesce(ct.value, 0) as v from gn cross join cl left join ct on ct.gene = gn.gene and ct.cell = cl.cell), rk as (select *, rank() over (partition by gene order by v) + (count(*) over (partition by gene, v) - 1) / 2 as r from fu), ti as (select gene, sum(t::double * t * t - t) as ties, sum(t) as n from (select gene, v, count(*) as t from fu group by all) group by all), gs as (select distinct grp from cl), us as (select rk.gene, gs.grp, count(*) filter (where rk.grp = gs.grp) as n1, sum(r) filter (where rk.grp = gs.grp) as rs, sum(v) filter (where rk.grp = gs.grp) as own, sum(v) filter (where rk.grp <> gs.grp) as oth from rk, gs group by all)"
+RS = """cl as (select doc_id as cell, lang as grp from documents), sz as (select grp, count(*) as n1 from cl group by all), tot as (select count(*) as n from cl),
+ct as (select cell, gene, sum(value) as v from counts group by all), s as (select gene, grp, v, count(*) as k from ct join cl using (cell) group by all),
+p as (select gene, v, sum(k) as t from s group by all), r as (select gene, v, t, sum(t) over (partition by gene order by v) - (t - 1) / 2 as mid from p),
+g as (select gene, sum(t)::double as nz, sum(t * v) as all_sum, sum(t::double * t * t - t) as ties from p group by gene),
+o as (select s.gene, s.grp, sum(k * mid) as rs, sum(k) as k, sum(k * v) as own from s join r using (gene, v) group by all),
+j as (select g.gene, sz.grp, n1::double as n1, n::double as n, n - nz as z0, all_sum, ties, coalesce(rs, 0) as rs, coalesce(k, 0) as k, coalesce(own, 0) as own from g cross join sz cross join tot left join o on o.gene = g.gene and o.grp = sz.grp),
+us as (select *, rs + k * z0 + (n1 - k) * (z0 + 1) / 2 - n1 * (n1 + 1) / 2 as u, n1 * (n - n1) / 12 * ((n + 1) - (ties + z0 * z0 * z0 - z0) / (n * (n - 1))) as var from j)"""
 
 
-@query("rank_genes", sql(f"+{RS} select us.gene, grp, n1, n - n1 as n2, rs - n1 * (n1 + 1) / 2 as u, round((rs - n1 * (n1 + 1) / 2 - n1 * (n - n1) / 2) / nullif(sqrt(n1 * (n - n1) / 12.0::double * ((n + 1) - ties / (n::double * (n - 1)))), 0), 6) as z, round(log2(own / n1 + 1e-9) - log2(oth / (n - n1) + 1e-9), 6) as log_fold_change from us join ti using (gene)", "counts"))
+@query("rank_genes", sql(f"+{RS} select gene, grp, n1::bigint as n1, (n - n1)::bigint as n2, u, round((u - n1 * (n - n1) / 2) / nullif(sqrt(greatest(var, 0)), 0), 6) as z, round(log2(own / n1 + 1e-9) - log2((all_sum - own) / (n - n1) + 1e-9), 6) as log_fold_change from us", "counts"))
 def rank_genes(spark, d):
-    some = D.counts(spark, d).where(F.col("gene").isin("the", "of", "and", "in", "th", "er", "la", "de", "les"))
-    return rounded(_ranked(spark, d, some), 6, "z", "log_fold_change")
+    return rounded(_ranked(spark, d, D.counts(spark, d)), 6, "z", "log_fold_change")
 
 
 def _ranked(spark, d, counts):

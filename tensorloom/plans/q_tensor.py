@@ -49,8 +49,7 @@ def cumulant_shifted(spark, d):
 @query("bin_triples", "select a.b as i, c.b as j, e.b as k from (select distinct p_size::bigint as b from part) a join (select distinct p_size::bigint as b from part) c on a.b <= c.b join (select distinct p_size::bigint as b from part) e on c.b <= e.b")
 def bin_triples(spark, d):
     b = D.read(spark, d, "part").select(F.col("p_size").cast("long").alias("i")).distinct()
-    rows = b.select(F.lit(0).alias("g"), "i", F.array("i").alias("x"))
-    return T._triples(rows, ["g"]).select("i", "j", "k")
+    return T.bin_triples(b.withColumn("g", F.lit(0)), ["g"]).select("i", "j", "k")
 
 
 @query("cumulant_slices", f"{CUM}, {FULL} select chrom, i, j, round(sum(w), 6) as value from (select chrom, i, j, coalesce(value / nullif(sqrt(sum(value * value) over (partition by chrom, k)), 0), 0) as w from fu) group by all")
@@ -99,18 +98,14 @@ def build_cell_tensor(spark, d):
     return rounded(T.build_cell_tensor(D.sparse(spark, d), _signal_products(spark, d), D.N_BINS), 8)
 
 
-@query("downsample_slices", sql("select sample, chrom, floor(count(*) * 30 / 100)::bigint as kept from contacts group by all", "contacts"))
+@query("downsample_slices", sql("select sample, chrom, i, j, value, 0 as slice from contacts union all select sample, chrom, i, j, value, 1 from (select *, row_number() over (partition by sample, chrom order by md5(concat_ws(':', '11', sample, chrom, i::varchar, j::varchar)), i, j) as n from contacts) where n <= 1600 * 30 // 100", "contacts"))
 def downsample_slices(spark, d):
-    from pyspark.sql import Window
+    return T.downsample_slices(D.contacts(spark, d), ["i", "j"], 30, F.lit(D.N_BINS**2), ["sample", "chrom"], 11).select("sample", "chrom", "i", "j", "value", "slice")
 
-    n = F.count("*").over(Window.partitionBy("sample", "chrom"))
-    c = D.contacts(spark, d).withColumn("_total", n)
-    return T.downsample(c, ["i", "j"], 30, F.col("_total"), ["sample", "chrom"], 11).groupBy("sample", "chrom").agg(F.count("*").alias("kept"))
 
-
-@query("unfold", sql("select sample, count(distinct (i, j)) as cells, round(sum(value), 4) as total from contacts group by all", "contacts"))
+@query("unfold", sql("select sample, chrom, i, j, value from contacts", "contacts"))
 def unfold(spark, d):
-    return T.unfold(D.contacts(spark, d)).groupBy("sample").agg(F.count_distinct("cell").alias("cells"), F.round(F.sum("value"), 4).alias("total"))
+    return T.unfold(D.contacts(spark, d), ["chrom", "i", "j"]).select("sample", "cell.chrom", "cell.i", "cell.j", "value")
 
 
 @query("flat_corr", sql("+f as (select s.sample, b.chrom, b.bin as i, c.bin as j, coalesce(x.value, 0) as x, coalesce(y.value, 0) as y from (select distinct sample from lp) s cross join bins b join bins c on b.chrom = c.chrom left join contacts x on x.sample = s.sample and x.chrom = b.chrom and x.i = b.bin and x.j = c.bin left join sparse y on y.sample = s.sample and y.chrom = b.chrom and y.i = b.bin and y.j = c.bin) select sample, chrom, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) as value from f group by all", "contacts", "sparse", "bins"))
