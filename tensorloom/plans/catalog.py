@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorloom.plans import q_bins, q_factor, q_expression, q_boundaries, q_compartments, q_stats, q_tensor, q_intervals, q_filters, q_matrix  # noqa: F401
+from tensorloom.plans import q_bins, q_factor, q_expression, q_boundaries, q_compartments, q_stats, q_tensor, q_intervals, q_filters, q_matrix, q_sources  # noqa: F401
 from tensorloom.plans.registry import QUERIES, SQL
 
 

@@ -1,6 +1,7 @@
 """Text and table readers. Numbers that do not parse are null; NaN becomes null at the door.
 
-`sample` and `chrom` come from the file's name where a reader says so: <folder>/<sample>_<chrom>.<anything>.
+`sample` and `chrom` come from the file's name where a reader says so: <folder>/<sample>_<chrom>.<anything>; for part files, from their folder's name,
+<sample>_<chrom> or <column>=<sample>_<chrom>.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ def number(text: Column) -> Column:
 
 
 def _from_name(part: int) -> Column:
-    name = F.regexp_extract("_file", r"([^/]+)$", 1)
+    folder = F.regexp_extract("_file", r"/(?:[^/=]*=)?([^/]+)/part-[^/]*$", 1)
+    name = F.when(folder != "", folder).otherwise(F.regexp_extract("_file", r"([^/]+)$", 1))
     return F.regexp_extract(name, r"^(.*)_([^_.]+)(?:\..*)?$", part)
 
 
