@@ -85,6 +85,16 @@ def insulation(m: DataFrame, width: int, n: int, group: list[str]) -> DataFrame:
     return sums.select(*group, "bin", F.log2(F.try_divide("_s", mean)).alias("value"))
 
 
+def insulation_windows(m: DataFrame, widths: list[int], n: int, group: list[str]) -> DataFrame:
+    """(group, width, bin, value): insulation for several widths in one pass, each cell laid out for every width."""
+    laid = m.withColumn("width", F.explode(F.array(*(F.lit(w) for w in widths))))
+    low, high = F.greatest(F.col("i") + 1, F.col("j") - F.col("width") + 1), F.least(F.col("j"), F.col("i") + F.col("width"))
+    near = laid.where((F.col("i") < F.col("j")) & (F.col("j") - F.col("i") <= 2 * F.col("width") - 1)).withColumn("bin", F.explode(F.sequence(low, high)))
+    sums = near.where(F.col("bin").between(F.col("width"), n - F.col("width"))).groupBy(*group, "width", "bin").agg(F.sum("value").alias("_s"))
+    mean = F.avg("_s").over(Window.partitionBy(*group, "width"))
+    return sums.select(*group, "width", "bin", F.log2(F.try_divide("_s", mean)).alias("value"))
+
+
 def best_curve(factors: DataFrame, curve: DataFrame, group: list[str]) -> DataFrame:
     """(group, r, corr): the factor that correlates best with the curve."""
     j = factors.join(curve.select(*group, "bin", F.col("value").alias("_c")), [*group, "bin"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.functions.numeric import pearson, scaled
+from tensorloom.functions.numeric import checkpoint, pearson, scaled
+from tensorloom.operators.matrix import strip_join
 
 
 def with_corr(v: DataFrame, reference: DataFrame, group: list[str]) -> DataFrame:
@@ -36,6 +37,13 @@ def pick_factor(factors: DataFrame, best: DataFrame, group: list[str]) -> DataFr
     return chosen.unionByName(rest)
 
 
+def calls(v: DataFrame, group: list[str]) -> DataFrame:
+    """Adds `call`: A above the vector's mean, B below, none at it."""
+    mean = v.groupBy(*group).agg(F.avg("value").alias("_mean"))
+    call = F.when(F.col("value") > F.col("_mean"), "A").when(F.col("value") < F.col("_mean"), "B").otherwise("none")
+    return v.join(mean, group).withColumn("call", call).drop("_mean")
+
+
 def active_factor(factors: DataFrame, mark: DataFrame, group: list[str]) -> DataFrame:
     """(group, r, corr, active): the factor with the largest correlation with an active mark is active, the others passive."""
     c = with_corr(factors, mark, [*group, "r"])
@@ -93,6 +101,12 @@ def differential_compartments(stable: DataFrame, one: str, two: str) -> DataFram
     return j.where("(a1 = 1 and b2 = 1) or (b1 = 1 and a2 = 1)").select("chrom", "bin", (F.col("a1") == 1).alias("a_to_b"))
 
 
+def same_category(bins: DataFrame, category: str) -> DataFrame:
+    """(chrom, i, j): pairs i <= j of the bins of one chromosome and category, joined in strips."""
+    c = checkpoint(bins.select("chrom", F.col("bin").alias("i"), F.col(category).alias("_c")), "categories")
+    return strip_join(c, c.withColumnRenamed("i", "j"), "i", "j", ["chrom", "_c"]).select("chrom", "i", "j")
+
+
 def isochore(gc: str):
     """Class of a GC percentage: ends 38, 42, 47 and 52."""
     c = F.col(gc)

@@ -63,6 +63,7 @@ def _grams(group: list[str], modes: list[tuple[str, str]], factors: dict[str, Da
 def update(t: DataFrame, group: list[str], modes: list[tuple[str, str]], factors: dict[str, DataFrame], name: str) -> DataFrame:
     """One multiplicative step of one factor. A factor shared by p modes moves by the p-th root of the ratio, which keeps the loss from rising."""
     at = next(k for k, (_, n) in enumerate(modes) if n == name)
+    factors = dict(factors)
     tied = sum(n == name for _, n in modes)
     f = factors[name]
     den = f.select(*group, "idx", F.col("r").alias("s"), F.col("value").alias("_v")).join(_grams(group, modes, factors, at), [*group, "s"])
@@ -78,12 +79,12 @@ def loss(t: DataFrame, group: list[str], modes: list[tuple[str, str]], factors:
     f = factors[modes[0][1]]
     inner = f.join(_mttkrp(t, group, modes, factors, 0), [*group, "idx", "r"]).groupBy(*group).agg(F.sum(F.col("value") * F.col("num")).alias("_i"))
     model = _grams(group, modes, factors, None).groupBy(*group).agg(F.sum("gram").alias("_m"))
-    j = square.join(inner, group).join(model, group) if group else square.crossJoin(inner).crossJoin(model)
+    j = square.join(inner, group).join(model, group) if group else square.crossJoin(F.broadcast(inner)).crossJoin(F.broadcast(model))
     return j.select(*group, F.greatest((F.col("_t") - 2 * F.col("_i") + F.col("_m")) / F.col("_t"), F.lit(0.0)).alias("loss"))
 
 
 def factorise(t: DataFrame, group: list[str], modes: list[tuple[str, str]], rank: int, steps: int, seed: int = 0, tolerance: float = 0.0, cut_every: int = 1) -> dict[str, DataFrame]:
-    """Factors after at most `steps` rounds of updates of every factor; the lineage is cut with reliable checkpoints every `cut_every` rounds, when the mean
+    """Factors after at most `steps` rounds of updates of every factor; the lineage is cut by written tables every `cut_every` rounds, when the mean
     loss is looked at: rounds end early if it changes by less than `tolerance`, relatively."""
     t = checkpoint(t)
     factors, seen = {n: checkpoint(f) for n, f in start_factors(t, group, modes, rank, seed).items()}, None

@@ -5,6 +5,8 @@ An upper triangle holds i <= j; what is absent is zero. `group` names the column
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,37 +143,76 @@ def observed_over_expected(m: DataFrame, n: int, group=GROUP) -> DataFrame:
     return m.withColumn("_d", d).join(mean, [*group, "_d"]).withColumn("value", F.try_divide("value", F.col("_e"))).drop("_d", "_e")
 
 
-def balance(m: DataFrame, steps: int, group=GROUP, cut_every: int = 5) -> DataFrame:
-    """Iterative correction of a full matrix: cells over the product of their row's and column's sums, each over the mean row sum, `steps` times."""
+def balance(m: DataFrame, steps: int, group=GROUP, cut_every: int = 5, tolerance: float = 0.0) -> DataFrame:
+    """Iterative correction of a full matrix: cells over the product of their row's and column's sums, each over the mean row sum, at most `steps` times. With a
+    tolerance it ends when no row sum of any matrix is further than that from its mean, relatively."""
     m = checkpoint(m, "matrix")
     for k in range(steps):
         s = m.groupBy(*group, "i").agg(F.sum("value").alias("_s"))
         b = s.select(*group, "i", (F.col("_s") / F.avg("_s").over(Window.partitionBy(*group))).alias("_b"))
+        if tolerance:
+            b = checkpoint(b, "bias")
+            far = b.agg(F.max(F.abs(F.col("_b") - 1))).first()[0]
+            if far is None or far <= tolerance:
+                break
         c = b.select(*group, F.col("i").alias("j"), F.col("_b").alias("_c"))
         m = m.join(b, [*group, "i"]).join(c, [*group, "j"]).select(*group, "i", "j", F.try_divide("value", F.col("_b") * F.col("_c")).alias("value"))
-        if (k + 1) % cut_every == 0 and k + 1 < steps:
-            m = checkpoint(m)
+        if (k + 1) % (1 if tolerance else cut_every) == 0 and k + 1 < steps:
+            m = checkpoint(m, "matrix")
     return m
 
 
-def leading_eigenvector(m: DataFrame, steps: int, group=GROUP, cut_every: int = 5) -> DataFrame:
-    """Power iteration on a full symmetric matrix from a vector of ones, `steps` times: (group, bin, value) of unit length."""
+def balance_roots(m: DataFrame, steps: int, group=GROUP, tolerance: float = 1e-6) -> DataFrame:
+    """(group, i, scale): the vector x with x_i * sum_j a_ij x_j = 1 for a full symmetric matrix, the scaling whose cells a_ij x_i x_j have unit row sums. Damped
+    fixed-point steps x <- sqrt(x / (A x)) until no row is further than the tolerance from 1; rows without cells have none."""
+    m = checkpoint(m.where("value > 0"), "matrix")
+    x = m.select(*group, "i").distinct().withColumn("scale", F.lit(1.0))
+    for _ in range(steps):
+        moved = m.join(x.select(*group, F.col("i").alias("j"), F.col("scale").alias("_x")), [*group, "j"])
+        sums = moved.groupBy(*group, "i").agg(F.sum(F.col("value") * F.col("_x")).alias("_a"))
+        x = checkpoint(x.join(sums, [*group, "i"]).withColumn("_r", F.col("scale") * F.col("_a")), "scales")
+        far = x.agg(F.max(F.abs(F.col("_r") - 1))).first()[0]
+        if far is None or far <= tolerance:
+            break
+        x = x.select(*group, "i", F.sqrt(F.col("scale") / F.col("_a")).alias("scale"))
+    return x.select(*group, "i", "scale")
+
+
+def leading_eigenvector(m: DataFrame, steps: int, group=GROUP, cut_every: int = 5, tolerance: float = 0.0) -> DataFrame:
+    """Power iteration on a full symmetric matrix from a vector of ones, at most `steps` times: (group, bin, value) of unit length. With a tolerance it ends when no
+    entry moves by more than that. The sign is open: `compartments.orient` turns it by a mark."""
     m = checkpoint(m, "matrix")
     v = m.select(*group, F.col("i").alias("bin")).distinct().withColumn("value", F.lit(1.0))
     for k in range(steps):
         moved = m.join(v.select(*group, F.col("bin").alias("j"), F.col("value").alias("_v")), [*group, "j"])
-        v = moved.groupBy(*group, F.col("i").alias("bin")).agg(F.sum(F.col("value") * F.col("_v")).alias("value"))
-        v = normalize(v, list(group))
-        if (k + 1) % cut_every == 0 and k + 1 < steps:
-            v = checkpoint(v)
+        new = normalize(moved.groupBy(*group, F.col("i").alias("bin")).agg(F.sum(F.col("value") * F.col("_v")).alias("value")), list(group))
+        if tolerance:
+            new = checkpoint(new, "vector")
+            far = new.join(v.withColumnRenamed("value", "_v"), [*group, "bin"]).agg(F.max(F.abs(F.col("value") - F.col("_v")))).first()[0]
+            v = new
+            if far is None or far <= tolerance:
+                break
+        else:
+            v = checkpoint(new, "vector") if (k + 1) % cut_every == 0 and k + 1 < steps else new
     return v
 
 
-def impute(m: DataFrame, n: int, restart: float = 0.5, steps: int = 1, pad: int = 1, top: int | None = None, group=GROUP) -> DataFrame:
-    """A full matrix smoothed by the mean over (2 pad + 1)² cells, made a transition matrix P, and walked: Q = (1 - restart) Q P + restart I."""
+def squared(m: DataFrame, group=GROUP) -> DataFrame:
+    """A full symmetric matrix times itself, whose largest eigenvalue is never negative, so power iteration settles."""
+    m = checkpoint(m, "matrix")
+    other = m.select(*group, F.col("i").alias("j"), F.col("j").alias("k"), F.col("value").alias("_o"))
+    return m.join(other, [*group, "j"]).groupBy(*group, "i", F.col("k").alias("j")).agg(F.sum(F.col("value") * F.col("_o")).alias("value"))
+
+
+def impute(m: DataFrame, n: int, restart: float = 0.5, steps: int = 1, pad: int = 1, top: int | None = None, group=GROUP, std: float | None = None, sqrtvc: bool = False) -> DataFrame:
+    """A full matrix smoothed over (2 pad + 1)² cells by their mean, or by a Gaussian of deviation `std`, made a transition matrix P, and walked:
+    Q = (1 - restart) Q P + restart I, only the `top` cells of a row kept where given. sqrtvc: cells of Q over the roots of their row's and column's sums."""
     side = F.sequence(F.lit(-pad), F.lit(pad))
-    wide = m.withColumn("_a", F.explode(side)).withColumn("_b", F.explode(side)).select(*group, (F.col("i") + F.col("_a")).alias("i"), (F.col("j") + F.col("_b")).alias("j"), "value")
-    smooth = wide.where(F.col("i").between(0, n - 1) & F.col("j").between(0, n - 1)).groupBy(*group, "i", "j").agg((F.sum("value") / (2 * pad + 1) ** 2).alias("value"))
+    weigh = (lambda a: math.exp(-a * a / (2 * std * std))) if std else (lambda a: 1.0)
+    whole = sum(weigh(a) for a in range(-pad, pad + 1)) ** 2
+    share = (F.exp(-(F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b")) / (2 * std * std)) if std else F.lit(1.0)) / whole
+    wide = m.withColumn("_a", F.explode(side)).withColumn("_b", F.explode(side)).select(*group, (F.col("i") + F.col("_a")).alias("i"), (F.col("j") + F.col("_b")).alias("j"), (F.col("value") * share).alias("value"))
+    smooth = wide.where(F.col("i").between(0, n - 1) & F.col("j").between(0, n - 1)).groupBy(*group, "i", "j").agg(F.sum("value").alias("value"))
     p = checkpoint(normalize_rows_sum1(smooth, [*group, "i"]))
     eye = p.select(*group, "i").distinct().select(*group, "i", F.col("i").alias("j"), F.lit(1.0).alias("value"))
     q = eye
@@ -184,6 +225,11 @@ def impute(m: DataFrame, n: int, restart: float = 0.5, steps: int = 1, pad: int
             q = q.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
         if k + 1 < steps:
             q = checkpoint(q)
+    if sqrtvc:
+        q = checkpoint(q)
+        rows = q.groupBy(*group, "i").agg(F.sum("value").alias("_r"))
+        columns = q.groupBy(*group, "j").agg(F.sum("value").alias("_c"))
+        q = q.join(rows, [*group, "i"]).join(columns, [*group, "j"]).select(*group, "i", "j", F.try_divide("value", F.sqrt(F.col("_r") * F.col("_c"))).alias("value"))
     return q
 
 

@@ -66,6 +66,11 @@ def insulation(spark, d):
     return rounded(B.insulation(D.contacts(spark, d), 5, D.N_BINS, ["sample", "chrom"]))
 
 
+@query("insulation_windows", sql("+w as (select unnest([3, 5, 8]) as width), s as (select c.sample, c.chrom, width, b.bin, sum(value) as s from w join bins b on b.bin between width and 40 - width join contacts c on c.chrom = b.chrom and c.i >= b.bin - width and c.i < b.bin and c.j >= b.bin and c.j < b.bin + width group by all) select sample, chrom, width, bin, round(log2(s / avg(s) over (partition by sample, chrom, width)), 6) as value from s", "contacts", "bins"))
+def insulation_windows(spark, d):
+    return rounded(B.insulation_windows(D.contacts(spark, d), [3, 5, 8], D.N_BINS, ["sample", "chrom"]))
+
+
 @query("best_curve", sql("+c as (select v.chrom, v.sample::bigint as r, covar_pop(v.value, b.value) / nullif(stddev_pop(v.value) * stddev_pop(b.value), 0) as corr from cell_vector v join bulk b on v.chrom = b.chrom and v.bin = b.bin group by all) select chrom, r, round(corr, 8) as corr from (select *, row_number() over (partition by chrom order by corr desc, r) as rn from c where corr is not null) where rn = 1", "cell_vector", "bulk"))
 def best_curve(spark, d):
     f = D.cell_vector(spark, d).withColumn("r", F.col("sample").cast("long"))

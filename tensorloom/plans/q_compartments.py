@@ -114,3 +114,12 @@ def differential_values(spark, d):
 @query("isochore", "select p_partkey, case when p_size + 20 < 38 then 'L1' when p_size + 20 < 42 then 'L2' when p_size + 20 < 47 then 'H1' when p_size + 20 <= 52 then 'H2' else 'H3' end as class from part")
 def isochore(spark, d):
     return D.read(spark, d, "part").withColumn("gc", F.col("p_size") + 20).select("p_partkey", C.isochore("gc").alias("class"))
+
+
+GC = "cl as (select chrom, bin, case when g < 38 then 'L1' when g < 42 then 'L2' when g < 47 then 'H1' when g <= 52 then 'H2' else 'H3' end as class from (select chrom, bin, 30 + bin * 7 % 29 as g from bins))"
+
+
+@query("same_category", sql(f"+{GC} select a.chrom, a.bin as i, b.bin as j from cl a join cl b on a.chrom = b.chrom and a.class = b.class and a.bin <= b.bin", "bins"))
+def same_category(spark, d):
+    b = D.bins(spark, d).withColumn("gc", 30 + F.col("bin") * 7 % 29)
+    return C.same_category(b.withColumn("class", C.isochore("gc")), "class")

@@ -148,6 +148,33 @@ def impute_step1(spark, d):
     return rounded(M.impute(_sp(spark, d), D.N_BINS), 11)
 
 
+GAUSS = f"{SP}, w as (select sample, chrom, i + a as i, j + b as j, sum(value * exp(-(a * a + b * b) / 2.0) / power(1 + 2 * exp(-0.5), 2)) as v from sp, (select unnest([-1, 0, 1]) as a), (select unnest([-1, 0, 1]) as b) where i + a between 0 and 39 and j + b between 0 and 39 group by all), p as (select *, v / sum(v) over (partition by sample, chrom, i) as p from w), q as (select sample, chrom, i, j, sum(value) as value from (select sample, chrom, i, j, p * 0.5 as value from p union all select distinct sample, chrom, i, i, 0.5 from p) group by all)"
+
+
+@query("impute_gauss_sqrtvc", sql(f"+{GAUSS} select sample, chrom, i, j, round(value / sqrt(sum(value) over (partition by sample, chrom, i) * sum(value) over (partition by sample, chrom, j)), 9) as value from q", "sparse"))
+def impute_gauss_sqrtvc(spark, d):
+    return rounded(M.impute(_sp(spark, d), D.N_BINS, std=1.0, sqrtvc=True), 9)
+
+
+@query("balance_converged")
+def balance_converged(spark, d):
+    return M.balance(_sym(spark, d), 30, tolerance=1e-3)
+
+
+@query("balance_roots")
+def balance_roots(spark, d):
+    return M.balance_roots(_sym(spark, d), 40, tolerance=1e-4)
+
+
+@query("leading_eigenvector")
+def leading_eigenvector(spark, d):
+    """The first eigenvector of each correlation matrix, with the sign that agrees with the mark."""
+    from tensorloom.operators.compartments import orient
+
+    cor = M.symmetrize(M.corr_matrix(_sym(spark, d), D.N_BINS).where("value is not null"))
+    return orient(M.leading_eigenvector(M.squared(cor), 30, tolerance=1e-5), D.mark(spark, d), ["sample", "chrom"])
+
+
 NEAR = "near as (select distinct sample, chrom, i + a as i, j + b as j from sparse, (select unnest(range(-2, 3)) as a), (select unnest(range(-2, 3)) as b))"
 
 

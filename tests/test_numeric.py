@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tensorloom.operators import expression, factor, stats, tensor
+from tensorloom.operators import boundaries, expression, factor, matrix, stats, tensor
+from tensorloom.plans.catalog import queries
+from tests.conftest import DATA
 
 
 def test_ks_p_values():
@@ -63,3 +65,90 @@ def test_downsample_keeps_an_exact_number(spark):
 
 def test_blocks_of_100(spark):
     assert expression.blocks(spark.range(250).withColumn("g", F.lit("a")), ["g"], "id", 100).count() == 200
+
+
+def test_ks_exact_counts_paths():
+    """Against all interleavings of two small samples."""
+    from itertools import combinations
+
+    for n, m in ((3, 4), (5, 2), (4, 4)):
+        far = []
+        for own in combinations(range(n + m), n):
+            x = y = d = 0
+            for k in range(n + m):
+                x, y = (x + 1, y) if k in own else (x, y + 1)
+                d = max(d, abs(x / n - y / m))
+            far.append(d)
+        for d in {round(v, 12) for v in far}:
+            assert stats.ks_exact(n, m, d) == pytest.approx(sum(v >= d - 1e-9 for v in far) / len(far))
+
+
+def symmetric(spark, x):
+    return spark.createDataFrame([("s", "c", i, j, float(x[i, j])) for i in range(len(x)) for j in range(len(x))], "sample string, chrom string, i long, j long, value double")
+
+
+def test_balanced_matrices_have_equal_row_sums(spark):
+    x = np.random.default_rng(1).random((7, 7)) + 0.1
+    x = x + x.T
+    sums = [r.s for r in matrix.balance(symmetric(spark, x), 30, tolerance=1e-3).groupBy("i").agg(F.sum("value").alias("s")).collect()]
+    assert max(sums) / min(sums) < 1.003
+    scale = np.array([r.scale for r in matrix.balance_roots(symmetric(spark, x), 60, tolerance=1e-6).orderBy("i").collect()])
+    assert np.allclose((x * scale[:, None] * scale).sum(axis=1), 1, atol=1e-5)
+
+
+def test_leading_eigenvector_settles(spark):
+    x = np.random.default_rng(2).standard_normal((6, 6))
+    x = x + x.T
+    got = np.array([r.value for r in matrix.leading_eigenvector(matrix.squared(symmetric(spark, x)), 300, tolerance=1e-9).orderBy("bin").collect()])
+    values, vectors = np.linalg.eigh(x)
+    assert abs(got @ vectors[:, np.argmax(np.abs(values))]) == pytest.approx(1, abs=1e-4)
+
+
+def test_rank_sum_of_all_genes_is_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x, grp = rng.integers(0, 4, (9, 5)), ["a", "b", "a", "c", "b", "a", "c", "a", "b"]
+    counts = spark.createDataFrame([(i, f"g{j}", float(x[i, j])) for i in range(9) for j in range(5) if x[i, j]], "cell long, gene string, value double")
+    got = {(r.gene, r.grp): r.u for r in stats.rank_sum(counts, spark.createDataFrame(list(enumerate(grp)), "cell long, grp string")).collect()}
+    for j in range(5):
+        for g in "abc":
+            own, rest = [x[i, j] for i in range(9) if grp[i] == g], [x[i, j] for i in range(9) if grp[i] != g]
+            assert got[f"g{j}", g] == pytest.approx(sum((a > b) + (a == b) / 2 for a in own for b in rest))
+
+
+def test_a_part_of_the_cells_is_masked_and_downsampled_the_same_way_twice(spark):
+    m = spark.createDataFrame([("s", i, j, 1.0) for i in range(60) for j in range(60)], "sample string, i long, j long, value double")
+    kept = {(r.i, r.j) for r in tensor.random_mask(m, ["sample", "i", "j"], 0.1, 7).collect()}
+    assert abs(len(kept) - 360) < 4 * 18 and kept == {(r.i, r.j) for r in tensor.random_mask(m.repartition(5), ["sample", "i", "j"], 0.1, 7).collect()}
+    both = tensor.downsample_slices(m, ["i", "j"], 30, F.lit(3600), ["sample"], 3)
+    assert both.where("slice = 0").count() == 3600 and both.where("slice = 1").count() == 1080
+
+
+def test_calls_follow_the_best_factor(spark):
+    got = queries()["ab_calls"](spark, DATA).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.sample, r.chrom), []).append(r)
+    assert by and all(len({r.bin for r in v}) == len(v) and len({(r.r, r.sign, r.corr) for r in v}) == 1 for v in by.values())
+    for v in by.values():
+        mean = np.mean([r.value for r in v])
+        assert all(r.call == ("A" if r.value > mean else "B") for r in v if abs(r.value - mean) > 1e-12)
+        assert -1 <= v[0].corr <= 1
+
+
+def test_principal_components_and_clusters(spark):
+    points = spark.createDataFrame([(i, [float(i // 10 * 50 + i % 3), float(i % 5), 0.0]) for i in range(20)], "id long, x array<double>")
+    x = np.array([r.x for r in points.orderBy("id").collect()])
+    x = x - x.mean(axis=0)
+    got = {(r.id, r.r): r.value for r in expression.pca(points, 2).collect()}
+    first = np.array([got[i, 0] for i in range(20)])
+    _, _, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(np.abs(first), np.abs(x @ vt[0]))
+    cluster = {r.id: r.cluster for r in expression.kmeans(points, 2).collect()}
+    assert len({cluster[i] for i in range(10)}) == 1 and len({cluster[i] for i in range(10, 20)}) == 1 and cluster[0] != cluster[15]
+
+
+def test_insulation_windows_are_single_insulations(spark):
+    m = spark.createDataFrame([("s", i, j, float((i * 7 + j) % 5 + 1)) for i in range(20) for j in range(i, 20)], "sample string, i long, j long, value double")
+    both = {(r.width, r.bin): r.value for r in boundaries.insulation_windows(m, [3, 6], 20, ["sample"]).collect()}
+    for w in (3, 6):
+        assert {b: v for (k, b), v in both.items() if k == w} == pytest.approx({r.bin: r.value for r in boundaries.insulation(m, w, 20, ["sample"]).collect()})
