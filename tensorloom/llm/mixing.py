@@ -11,12 +11,17 @@ that range is ordered, and the prefix becomes a largest hash per leaf. The text
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tensorloom.llm.common import materialize
+
 SEED = 20240601
 MAX_EPOCHS = 2
 BUCKET_DIGITS = 3
+MOST_LEAVES = 100_000
 DOMAIN_WEIGHTS = {"web": 5, "forum": 2, "books": 2, "reference": 3}
 LANG_WEIGHTS = {"en": 6, "de": 2, "fr": 2, "es": 1}
 DEFAULT_WEIGHT = 1
@@ -60,14 +65,17 @@ def _share_out(nodes: DataFrame, parents: list[str], child: str) -> DataFrame:
     return marked.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(part).cast("long")).drop("full", "rest", "open")
 
 
-def budgets(leaves: DataFrame, budget: int | None = None, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """leaves(domain, lang, source, tokens) with each leaf's `budget` in tokens. Without a budget, all tokens of the leaves."""
+def budgets(
+    leaves: DataFrame, budget: int | None = None, epochs: int = MAX_EPOCHS, domain_weights: dict[str, int] = DOMAIN_WEIGHTS, lang_weights: dict[str, int] = LANG_WEIGHTS
+) -> DataFrame:
+    """leaves(domain, lang, source, tokens) with each leaf's `budget` in tokens. Without a budget, all tokens of the leaves. Names without a weight have
+    DEFAULT_WEIGHT. Shares are whole tokens, rounded down, so a node may fall short of its budget by less than its number of children."""
     tree = leaves.withColumn("cap", F.col("tokens") * epochs)
     whole = F.sum("tokens").over(Window.partitionBy()) if budget is None else F.lit(budget)
     domains = tree.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
-    domains = domains.withColumn("budget", whole.cast("long")).withColumn("weight", _weight("domain", DOMAIN_WEIGHTS)).withColumn("root", F.lit(0))
+    domains = domains.withColumn("budget", whole.cast("long")).withColumn("weight", _weight("domain", domain_weights)).withColumn("root", F.lit(0))
     domains = _share_out(domains, ["root"], "domain").select("domain", "budget")
-    langs = tree.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(domains, "domain").withColumn("weight", _weight("lang", LANG_WEIGHTS))
+    langs = tree.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(domains, "domain").withColumn("weight", _weight("lang", lang_weights))
     langs = _share_out(langs, ["domain"], "lang").select("domain", "lang", "budget")
     sources = tree.join(langs, ["domain", "lang"]).withColumn("weight", F.lit(DEFAULT_WEIGHT).cast("long"))
     return _share_out(sources, ["domain", "lang"], "source").select("domain", "lang", "source", "tokens", "budget")
@@ -77,9 +85,15 @@ def _key(seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
 
-def mix(docs: DataFrame, budget: int | None = None, epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(
+    docs: DataFrame, budget: int | None = None, epochs: int = MAX_EPOCHS, seed: int = SEED,
+    domain: Callable[[Column], Column] = default_domain, domain_weights: dict[str, int] = DOMAIN_WEIGHTS, lang_weights: dict[str, int] = LANG_WEIGHTS,
+) -> DataFrame:
     """The rows of `docs` that the mixture takes, with their columns and `_domain`, `_epoch` and `_tokens`; a row taken in two epochs comes twice.
 
+    `domain` gives the domain of a source. Tokens are words between white space. Up to MOST_LEAVES leaves, by their count, go to all tasks, so the documents
+    of a hot leaf stay where they are; more are joined by a shuffle.
+
     A null text has no tokens; a null language or source is the empty name; rows that repeat an id go together; a leaf without tokens takes all or
     none of its rows with the budget zero: whole epochs. An empty table gives no rows. Columns of `docs` named like those three are replaced.
     """
@@ -89,27 +103,29 @@ def mix(docs: DataFrame, budget: int | None = None, epochs: int = MAX_EPOCHS, se
     known = (
         known.withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
         .withColumn("_source", source)
-        .withColumn("_domain", default_domain(source))
+        .withColumn("_domain", domain(source))
         .withColumn("_tokens", token_count(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     )
     slim = known.select("doc_id", *leaf, "_tokens")
     leaves = slim.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens")).toDF("domain", "lang", "source", "tokens")
-    plan = budgets(leaves, budget, epochs).toDF(*leaf, "_all", "_budget")
+    plan = budgets(leaves, budget, epochs, domain_weights, lang_weights).toDF(*leaf, "_all", "_budget")
     whole = F.expr("_budget div greatest(_all, 1)")
     plan = plan.withColumn("_whole", F.when(F.col("_all") == 0, F.lit(1)).otherwise(whole).cast("int")).withColumn("_left", F.col("_budget") - F.col("_whole") * F.col("_all"))
-    keyed = slim.join(plan, leaf).withColumn("_key", _key(seed, F.col("_whole"))).withColumn("_bucket", F.left("_key", F.lit(BUCKET_DIGITS)))
+    plan = materialize(plan, "budgets")
+    near = F.broadcast if plan.count() <= MOST_LEAVES else lambda df: df
+    keyed = slim.join(near(plan), leaf).withColumn("_key", _key(seed, F.col("_whole"))).withColumn("_bucket", F.left("_key", F.lit(BUCKET_DIGITS)))
     sums = keyed.groupBy(*leaf, "_left", "_bucket").agg(F.sum("_tokens").alias("n"))
     ahead = F.sum("n").over(Window.partitionBy(*leaf).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
     edge = sums.withColumn("upto", ahead).where("upto > _left")
     edge = edge.groupBy(*leaf).agg(F.min("_bucket").alias("_bucket"), F.min(F.struct("_bucket", (F.col("upto") - F.col("n")).alias("before")))["before"].alias("_before"))
-    inside = keyed.join(edge, [*leaf, "_bucket"])
+    inside = keyed.join(near(edge), [*leaf, "_bucket"])
     so_far = F.sum("_tokens").over(Window.partitionBy(*leaf, "_bucket").orderBy("_key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     ends = inside.withColumn("_end", F.col("_before") + so_far).groupBy(*leaf, "_bucket").agg(F.max(F.when(F.col("_end") <= F.col("_left"), F.col("_key"))).alias("last"))
     ends = ends.select(*leaf, F.coalesce("last", "_bucket").alias("_last"))
     decided = plan.join(ends, leaf, "left").select(*leaf, "_whole", "_last")
     in_prefix = (F.col("_whole") < epochs) & F.coalesce(_key(seed, F.col("_whole")) <= F.col("_last"), F.lit(False))
     times = F.col("_whole") + F.when(in_prefix, 1).otherwise(0)
-    taken = known.join(decided, leaf).withColumn("_times", times).where("_times > 0")
+    taken = known.join(near(decided), leaf).withColumn("_times", times).where("_times > 0")
     numbered = taken.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
     return numbered.select(*[c for c in docs.columns if c not in ("_domain", "_epoch", "_tokens")], "_domain", "_epoch", "_tokens")
 

@@ -404,9 +404,21 @@ def test_mixing_shares_shortage_with_siblings_first(spark):
     assert got == {"a": 10, "b": 490, "c": 200}
 
 
+def test_mixing_takes_parameters_and_any_number_of_leaves(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = sorted((r.doc_id, r._epoch) for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "MOST_LEAVES", 0)
+    assert sorted((r.doc_id, r._epoch) for r in mixing.mix(docs).collect()) == want
+    few = mixing.mix(docs, budget=500, epochs=1, domain=lambda s: F.lit("one"), domain_weights={"one": 1}, lang_weights={"en": 3, "de": 1})
+    rows = few.collect()
+    assert {r._domain for r in rows} == {"one"} and 0 < sum(r._tokens for r in rows) <= 500
+
+
 def test_mixing_edges(spark, edges):
     got = mixing.mix(edges).collect()
     assert {r.doc_id for r in got} <= {None, 1, 2, 3, 4, 5, 6, 7, 9} and mixing.mix(edges.limit(0)).count() == 0
+    # rows that repeat an id go together, in every epoch that takes them
+    assert all(n == 2 for n in Counter(r._epoch for r in got if r.doc_id == 1).values())
 
 
 def test_chat(spark):
