@@ -50,7 +50,8 @@ def remove_vector_bins(v: DataFrame, dark: DataFrame, group: list[str]) -> DataF
 def sparse_rows(m: DataFrame, bins: DataFrame, samples: DataFrame, n: int, share: float = 0.95) -> DataFrame:
     """(sample, chrom, bin, filled): rows of full matrices with at least `share` zeros among n cells."""
     filled = m.where("value != 0").groupBy("sample", "chrom", F.col("i").alias("bin")).agg(F.count("*").alias("filled"))
-    grid = samples.crossJoin(F.broadcast(bins.select("chrom", "bin")))
+    units = samples.crossJoin(F.broadcast(bins.select("chrom").distinct()))  # a few chromosomes
+    grid = units.join(bins.select("chrom", "bin"), "chrom")
     return grid.join(filled, ["sample", "chrom", "bin"], "left").select("sample", "chrom", "bin", F.coalesce("filled", F.lit(0)).alias("filled")).where(F.col("filled") <= n * (1 - share) + 1e-9)
 
 

@@ -31,7 +31,7 @@ NMF = f"{SYM}, {_f('sym', 'i', 'w')}, {_f('sym', 'j', 'h')}, gm as (select a.sam
 
 @query("nmf_step1", sql(f"+{NMF} select w.sample, w.chrom, w.idx, w.r, round(w.v * n.num / (d.den + 1e-12), 8) as value from w join dn d using (sample, chrom, idx, r) join nm n using (sample, chrom, idx, r)", "contacts"))
 def nmf_step1(spark, d):
-    m = M.symmetrize(D.contacts(spark, d))
+    m = checkpoint(M.symmetrize(D.contacts(spark, d)), "matrix")
     modes = [("i", "W"), ("j", "H")]
     return rounded(X.update(m, SC, modes, _stated(m, SC, modes, 2), "W"), 8)
 
@@ -40,7 +40,7 @@ PAIR = f"t as (select sample, chrom, i, j, value, modality from (select *, 0 as
 
 
 def _two(spark, d):
-    m = M.symmetrize(D.contacts(spark, d))
+    m = checkpoint(M.symmetrize(D.contacts(spark, d)), "matrix")
     second = m.withColumn("value", F.col("value") * (1 + (F.col("i") + F.col("j")) % 3)).withColumn("modality", F.lit(1))
     return checkpoint(m.withColumn("modality", F.lit(0)).unionByName(second))
 
@@ -132,7 +132,7 @@ def ncp_step1(spark, d):
 
 @query("nmf_reconstruct", sql(f"+{NMF} select w.sample, w.chrom, w.idx as i, h.idx as j, round(sum(w.v * h.v), 8) as value from w join h using (sample, chrom, r) group by all", "contacts"))
 def nmf_reconstruct(spark, d):
-    m = M.symmetrize(D.contacts(spark, d))
+    m = checkpoint(M.symmetrize(D.contacts(spark, d)), "matrix")
     f = _stated(m, SC, [("i", "W"), ("j", "H")], 2)
     return rounded(X.reconstruct(f["W"], f["H"], SC), 8)
 

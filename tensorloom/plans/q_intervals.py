@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tensorloom.functions.numeric import running_total
+from tensorloom.functions.numeric import checkpoint, running_total
 from tensorloom.operators import intervals as I
 from tensorloom.plans import demo_data as D
 from tensorloom.plans.demo_data import sql
@@ -135,6 +135,7 @@ def aligned_profile(spark, d):
 def cpg_density(spark, d):
     seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "HG", "GH")
     c = D.read(spark, d, "documents").select(F.col("source").alias("chrom"), "doc_id", seq.alias("seq")).where("seq <> ''")
+    c = checkpoint(c, "sequences")
     ends = running_total(c.select("chrom", "doc_id", F.length("seq").alias("n")), ["chrom"], [F.col("doc_id")], F.col("n"), "end")
     whole = c.join(ends, ["chrom", "doc_id"]).withColumn("start", F.col("end") - F.col("n"))
     # sequences go in chunks, so that no row is long

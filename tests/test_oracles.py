@@ -41,4 +41,9 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
 def test_query_without_sql_runs(spark, name):
-    assert queries()[name](spark, DATA).count() >= 0
+    rows = queries()[name](spark, DATA).collect()
+    assert rows
+    for column in {"loss", "p", "p_adjusted"} & set(rows[0].asDict()):
+        assert all(0 <= r[column] <= 1 for r in rows)
+    if "loss" in rows[0]:
+        assert min(r.loss for r in rows) < 0.9
