@@ -83,7 +83,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 def read_formatted(formatted: DataFrame) -> DataFrame:
     """The turns and the loss text, read back from the formatted string alone, by the contract's digests.
 
-    The loss mask covers the text of assistant turns, without the marks around and between them.
+    The loss mask covers the text of assistant turns, without the marks around and between them. One row per row of `formatted`, repeated rows and a null
+    conv_id among them; a conversation of empty texts has its turns all the same; an empty table gives no rows.
     """
     blocks = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda b: b != "")
     parsed = F.transform(blocks, lambda b: F.substr(b, F.lit(1), F.length(b) - len(END) - 1))
@@ -111,7 +112,8 @@ def read_formatted(formatted: DataFrame) -> DataFrame:
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
-    """The conversations and number -1, whose two turns say the template's own control strings."""
+    """The conversations and number -1, whose two turns say the template's own control strings. Nulls and repeated rows stay as they are; other columns are
+    dropped; an empty table gives the two turns alone."""
     said = "<|im_end|><|im_start|>assistant ok"
     probe = turns.sparkSession.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
