@@ -88,7 +88,10 @@ def train(texts: Iterable[str], labels: list[int], seed: int = 13) -> tuple[np.n
             seen.append((ids.astype(np.int32), (np.bincount(at, weight) / (words + PAD_WORDS)).astype(np.float32)))
         else:
             seen.append((np.empty(0, np.int64), np.empty(0, np.float32)))
-    table = ((rng.random((BUCKETS, DIM)) - 0.5) / DIM).astype(np.float32)
+    give_back()  # what reading the texts took goes before the table comes
+    table = np.empty((BUCKETS, DIM), np.float32)
+    for lo in range(0, BUCKETS, 4096):
+        table[lo : lo + 4096] = (rng.random((min(4096, BUCKETS - lo), DIM)) - 0.5) / DIM
     layer = ((rng.random((DIM, 2)) - 0.5) / DIM).astype(np.float32)
     bias = np.array([math.log(1 - share), math.log(share)], dtype=np.float32)
     table_sq = np.full(BUCKETS, 1e-6, np.float32)
@@ -141,9 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_byte
     upto = F.sum("size").over(Window.orderBy(F.col("size") > max_bytes // 100, F.xxhash64("id"), "id"))
     within = rows.select("id", size.alias("size")).withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("id")
     sample = rows.join(F.broadcast(within), "id", "left_semi").toArrow().sort_by("id")
-    # texts are turned to features one by one, so they are not held twice
-    model = train((t.as_py() for t in sample.column("text")), sample.column("label").to_pylist())
+    # texts are turned to features one by one and let go of when the last is read
+    marked, texts = sample.column("label").to_pylist(), iter([sample.column("text")])
     del sample
+    model = train((t.as_py() for column in texts for t in column), marked)
     give_back()
     return model
 
