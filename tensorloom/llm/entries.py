@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tensorloom.llm.chat import format_conversations, read_formatted, with_probe
 from tensorloom.llm.common import scratch_path, table
+from tensorloom.llm.fill_middle import middle_digests
 from tensorloom.llm.fingerprints import fingerprint_edits
 from tensorloom.llm.html_extract import extract
+from tensorloom.llm.licenses import license_labels, license_sql
 from tensorloom.llm.media import media_digests
 from tensorloom.llm.mixing import MIXTURE_SQL, mixture
 from tensorloom.llm.packing import pack_documents
+from tensorloom.llm.runs import find_runs, run_digests, with_planted_period
 from tensorloom.llm.simhash import near_duplicates
 from tensorloom.llm.suffix_dedup import digest, remove_repeats
 from tensorloom.llm.toxicity import fit, score
@@ -62,6 +65,18 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_formatted(format_conversations(with_probe(table(spark, sf_dir, "conversations")))).drop("formatted")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(find_runs(with_planted_period(table(spark, sf_dir, "documents"))))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_simhash,
     op2_packing,
@@ -73,6 +88,9 @@ QUERIES = (
     op8_html_extraction,
     op9_mixing,
     op10_chat_formatting,
+    op11_periodic_runs,
+    op12_fill_middle,
+    op13_licenses,
 )
 
 
@@ -107,5 +125,21 @@ from esc group by conv_id
 """
 
 
+MIDDLE_SQL = """
+with h as (select *, coalesce(text, '') as t, sha256('42:' || coalesce(doc_id::varchar, '')) as x from documents),
+k as (
+  select doc_id, t, regexp_extract_all(t, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as w, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2,
+    ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from h),
+c as (
+  select *, len(w) as n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) as a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from k),
+p as (select *, array_to_string(w[1:a], '') as pre, array_to_string(w[a + 1:b], '') as mid, array_to_string(w[b + 1:], '') as suf from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(pre)::bigint end as prefix_chars, case when form <> 'plain' then length(mid)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(t) as restored_sha256
+from p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": WARC_SQL, "op9_mixing": MIXTURE_SQL, "op10_chat_formatting": CHAT_SQL}
+    return {"op6_warc": WARC_SQL, "op9_mixing": MIXTURE_SQL, "op10_chat_formatting": CHAT_SQL, "op12_fill_middle": MIDDLE_SQL, "op13_licenses": license_sql()}

@@ -141,7 +141,8 @@ def http_payload(block: bytes) -> bytes:
 def decide(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) with payload_digest and `again`, whether the row is written as a revisit; html is empty on those.
 
-    Of the rows with one payload of REVISIT_FROM bytes or more the one with the smallest page_id is the response. Digests are counted with map-side
+    Of the rows with one payload of REVISIT_FROM bytes or more the one with the smallest page_id is the response; a row without an id stands before all
+    ids, so it is the response where there is one. Digests are counted with map-side
     combine, and the join back can be split where one payload is common. Rows that share that page_id too are gathered by address and count,
     and one with the smallest address responds; that path is planned only where there are such rows.
     """
@@ -262,11 +263,14 @@ def responses(records: DataFrame) -> DataFrame:
 
 def page_digests(records: DataFrame) -> DataFrame:
     """One row per page of an archive made by write_archives, from what the records say: payload size and digest of the full payload (a revisit takes them
-    from the response it refers to), type, and the page referred to."""
+    from the response it refers to), type, and the page referred to. No revisit is lost: one whose response is missing, or has another payload, raises an
+    error that names it. An id that is null stays null, as page_id and as refers_to; no records give no rows."""
     found = responses(records).select("record_id", "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     own = found.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     again = records.where("type = 'revisit'").select("page_id", F.col("refers_to").alias("record_id"), F.col("payload_digest").alias("told"))
     origin = found.select("record_id", F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
-    seen = again.join(origin, "record_id").where("told = payload_digest")
+    lost = F.raise_error(F.concat(F.lit("no response with its payload for a revisit of "), F.coalesce("record_id", F.lit("no record"))))
+    digest = F.when(F.col("told") == F.col("payload_digest"), F.col("payload_digest")).otherwise(lost.cast("string"))
+    seen = again.join(origin, "record_id", "left").withColumn("payload_digest", digest)
     revisits = seen.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
-    return own.unionByName(revisits).withColumn("page_id", none_again("page_id"))
+    return own.unionByName(revisits).withColumns({"page_id": none_again("page_id"), "refers_to": none_again("refers_to")})

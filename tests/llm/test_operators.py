@@ -336,6 +336,16 @@ def test_warc_keeps_every_row(spark, tmp_path):
     got = warc.page_digests(records).collect()
     assert Counter((r.page_id, r.payload_bytes) for r in got) == Counter((i, len(h or "")) for i, _, h in rows)
     assert Counter((r.page_id, r.refers_to) for r in got if r.record_type == "revisit") == Counter({(1, 1): 2, (2, 1): 1, (None, None): 1})
+    origin = next(r.refers_to for r in records.collect() if r.type == "revisit")
+    for broken in (records.where(F.col("record_id") != origin), records.withColumn("payload_digest", F.when(F.col("type") == "revisit", "0").otherwise(F.col("payload_digest")))):
+        with pytest.raises(Exception, match="no response with its payload"):
+            warc.page_digests(broken).collect()
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [r[0] for r in rows[3:]], "html": [r[2] for r in rows[3:]]}))
+    told = con.execute(oracle_sql()["op6_warc"]).fetchall()
+    warc.write_archives(pages.where("url != 'v' and (page_id is null or page_id != 1) or url is null"), str(tmp_path / "sql"))
+    got = warc.page_digests(warc.read_records(spark, str(tmp_path / "sql"))).collect()
+    assert Counter(tuple(r) for r in got) == Counter(told)
     warc.write_archives(pages.limit(0), str(tmp_path / "none"))
     assert warc.page_digests(warc.read_records(spark, str(tmp_path / "none"))).count() == 0
 
