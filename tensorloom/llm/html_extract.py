@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
-The html is read into a small tree of block elements. Each paragraph-like block passes points for its length and its commas to its parent and half
-of them to its grandparent; a container's points are discounted by its link density and moved by what its tag, class and id say. The container
-with the most points and the siblings that score near it, or read like prose, are kept.
+The html is read into a small tree of block elements, without those that a tag, a role or a name marks as boilerplate. A name made of boilerplate words alone
+(comments, cookie-notice) always marks it, as long as other text is left; one that has other words too (has-sidebar) only where it does not hold most of the
+page. Each paragraph-like block passes points for its length and its commas to its parent and half of them to its grandparent; a container's points are
+discounted by its link density and moved by what its tag, class and id say. The article is the container with the most points, or the element that
+holds it and all that score near it; every block of it is kept but lists of links.
 """
 
 from __future__ import annotations
@@ -33,15 +35,20 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbod
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}}
 #: the elements that a tag may end
 ENDED = {name: tuple(x for x, by in ENDS.items() if name in by) for name in {n for by in ENDS.values() for n in by}}
+PROSE = frozenset("p pre blockquote figcaption dt dd".split())
+BESIDE_TAGS = PROSE | HEADINGS | frozenset("ul ol dl table section figure".split())
+NOT_WRAPPERS = frozenset("td th tr tbody table ul ol dl".split())
 NO_PARAGRAPH = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "html", "body", "legend"}
 
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adbox|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|outbrain|taboola|cookies?|consent|gdpr|notice|"
-    r"popup|modal|newsletter|subscribe|subscription|signup|login|paywall|comments?|commentlist|disqus|respond|replies|reply|discussion|menu|nav|navbar|navigation|"
-    r"breadcrumbs?|sidebar|side|aside|widget|related|recommended|recommendations|more-stories|trending|popular|share|sharing|social|footer|foot|masthead|site-header|"
-    r"page-header|header|topbar|toolbar|pagination|pager|pagenav|skip|skip-link|legal|copyright|disclaimer|search|tags|hidden|sr-only|visually-hidden)(?:$|[\s_-])",
-    re.I,
+# fixed values: words of class names and ids, of boilerplate, and such that may stand beside them
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adbox adsense banner sponsor sponsored promo promos promotion promotions outbrain taboola cookie cookies consent "
+    "gdpr notice popup modal newsletter subscribe subscription signup login paywall comment comments commentlist disqus respond replies reply discussion menu nav navbar navigation "
+    "breadcrumb breadcrumbs sidebar side aside widget related recommended recommendations trending popular share sharing social footer foot masthead header topbar toolbar "
+    "pagination pager pagenav skip legal copyright disclaimer search tags hidden".split()
 )
+BESIDE = frozenset("list box section area wrapper wrap container block panel holder inner outer unit slot thread feed bar form stories posts articles links media site page more link sr only visually".split())
+WORDS = re.compile(r"[a-z]+")
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|articles?-?body|post|post-?body|entry|entry-?content|content|main|main-?content|story|story-?body|body|text|blog|page|hentry)(?:$|[\s_-])", re.I)
 HEADER = re.compile(r"(?<![a-z0-9])header(?![a-z0-9])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -146,22 +153,36 @@ def parse(page: str) -> Node:
     return root
 
 
-def _unlikely(node: Node, in_article: bool) -> bool:
-    """A class or id names boilerplate and no other one names content; in an article a header by class is like the header tag."""
+def _named(node: Node, in_article: bool) -> str:
+    """What a class and id say: "plain" where a name is boilerplate words alone, "mixed" where it has others too, "" where none is of boilerplate or another
+    name says content. In an article a header by class is like the header tag."""
     about = HEADER.sub(" ", node.about) if in_article else node.about
-    names = about.split()
-    return any(UNLIKELY.search(x) for x in names) and not any(LIKELY.search(x) and not UNLIKELY.search(x) for x in names)
-
-
-def _boilerplate(node: Node, in_article: bool, most: bool) -> bool:
-    """Whether a node goes with all it holds; `most` says that it holds over half of the page's paragraph points."""
+    found = ""
+    for name in about.lower().split():
+        words = WORDS.findall(name)
+        if any(w in BOILERPLATE for w in words):
+            if found != "plain":
+                found = "plain" if all(w in BOILERPLATE or w in BESIDE for w in words) else "mixed"
+        elif LIKELY.search(name):
+            return ""
+    return found
+
+
+def _boilerplate(node: Node, in_article: bool, most: bool, spare: bool) -> bool:
+    """Whether a node goes with all it holds; `most` says that it holds over half of the page's paragraph points, `spare` that nothing is left without the
+    names of plain boilerplate."""
     if node.hidden or node.tag in DROP and node.tag != "form" or node.role in ROLES and not (most and node.tag == node.role == "form"):
         return True
     if node.tag == "form" and not most:
         return True
     if node.tag == "header":
         return not in_article
-    return not most and node.tag not in ("article", "main") and _unlikely(node, in_article)
+    if node.tag == "main":
+        return False
+    named = _named(node, in_article)
+    if named == "plain" and not spare:
+        return True
+    return bool(named) and not most and node.tag != "article"
 
 
 def _points(node: Node) -> int:
@@ -173,12 +194,20 @@ def _points(node: Node) -> int:
 
 
 def _prune(root: Node) -> None:
-    order, stack = [], [root]
+    order, stack = [], [(root, False, False)]
+    plain = set()  # nodes below a name of plain boilerplate
     while stack:
-        node = stack.pop()
+        node, inside, under = stack.pop()
         order.append(node)
-        stack += [c for c in node.children if isinstance(c, Node) and not (c.hidden or c.tag in DROP and c.tag != "form" or c.role in ROLES - {"form"})]
-    below = {id(x): _points(x) for x in order}
+        if under:
+            plain.add(id(node))
+        inside = inside or node.tag in ("article", "main")
+        for c in node.children:
+            if isinstance(c, Node) and not (c.hidden or c.tag in DROP and c.tag != "form" or c.role in ROLES - {"form"}):
+                stack.append((c, inside, under or c.tag != "main" and _named(c, inside) == "plain"))
+    own = {id(x): _points(x) for x in order}
+    spare = not any(points and key not in plain for key, points in own.items())
+    below = {key: points if spare or key not in plain else 0 for key, points in own.items()}
     named = {id(x): int(x.tag in ("article", "main")) for x in order}
     for node in reversed(order):
         if node.parent is not None:
@@ -192,9 +221,9 @@ def _prune(root: Node) -> None:
             if isinstance(child, Node):
                 # a long advertisement beside a short article is not the article
                 most = 2 * below.get(id(child), 0) > below[id(root)] and (inside or named[id(child)] == named[id(root)])
-                if _boilerplate(child, inside, most):
+                if _boilerplate(child, inside, most, spare):
                     continue
-                child.doubtful = node.doubtful or child.tag not in ("article", "main") and _unlikely(child, inside)
+                child.doubtful = node.doubtful or child.tag not in ("article", "main") and bool(_named(child, inside))
                 stack.append((child, inside or child.tag in ("article", "main")))
             kept.append(child)
         node.children = kept
@@ -284,27 +313,59 @@ def main_text(page: str | None) -> str:
         return " ".join(_blocks(named or [root])) if root.length else ""
     place = {id(x): i for i, x in enumerate(order)}
     best = max(candidates, key=lambda x: (x.score, -place[id(x)]))
-    # one article around the best container is the whole of it
-    up = best.parent
-    while up is not None:
-        if up.tag == "article":
-            best = up
-        up = up.parent
-    if best.parent is None or best.tag == "article" and not any(isinstance(c, Node) and c is not best and c.tag in ("p", "article") for c in best.parent.children):
-        return " ".join(_blocks([best] if best.parent is not None else best.children))
     limit = max(10.0, best.score * 0.2)
+    # one article or main element around the best container is the whole of it
+    above = _upwards(best)
+    whole = [x for x in above if x.tag == "article"][-1:] or [x for x in above if x.tag == "main"][-1:]
+    if whole:
+        top = whole[0]
+        if top.tag == "article" and top.parent is not None and any(isinstance(c, Node) and c is not top and c.tag in ("p", "article") for c in top.parent.children):
+            return " ".join(_blocks([c for c in top.parent.children if c is top or isinstance(c, Node) and _beside(c, best, limit)]))
+        return " ".join(_blocks([top]))
+    # else the element around all containers that score near it
+    holds = {id(x) for x in above}
+    held = Counter(id(x) for x in candidates if x is best or x.score >= limit and id(x) not in holds)
+    near = held.total()
+    for x in reversed(order):
+        if x.parent is not None and held[id(x)]:
+            held[id(x.parent)] += held[id(x)]
+    top = next(x for x in above if held[id(x)] == near)
+    # a wrapper around the best container has the rest of its article
+    while top.parent is not None and top.parent.parent is not None and top.parent.tag not in NOT_WRAPPERS and (top is best or not top.parent.about):
+        top = top.parent
+    inner = [c for c in top.children if c is best or not isinstance(c, Node) or not _links(c)]
+    if top is root:
+        return " ".join(_blocks([c for c in inner if top is best or isinstance(c, Node) and (held[id(c)] or _beside(c, best, limit))]))
+    if top.parent is not root:
+        return " ".join(_blocks(inner))
     chosen: list[Node | tuple[str, bool]] = []
-    for child in best.parent.children:
-        if child is best:
-            chosen.append(child)
-        elif isinstance(child, Node):
-            alike = best.score * 0.2 if child.about and child.about == best.about else 0.0
-            prose = child.tag in ("p", "pre", "blockquote") and _density(child) < 0.25 and child.length > 0
-            if child.score + alike >= limit or prose or child.tag in HEADINGS and _density(child) < 0.25:
-                chosen.append(child)
+    for c in root.children:
+        chosen += inner if c is top else [c] if isinstance(c, Node) and _beside(c, best, limit) else []
     return " ".join(_blocks(chosen))
 
 
+def _upwards(node: Node) -> list[Node]:
+    """The node and all that hold it, up to the page."""
+    out = [node]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out
+
+
+def _links(node: Node) -> bool:
+    """A block that is mostly links, such as a list of other pages; a paragraph or heading that is a link is text."""
+    return node.tag not in PROSE and node.tag not in HEADINGS and node.length > 0 and _density(node) > 0.5
+
+
+def _beside(node: Node, best: Node, limit: float) -> bool:
+    """Whether a block beside the best container, with nothing around them but the page, belongs to its article: one that scores near it, prose, headings, and
+    lists, tables and sections of few links."""
+    alike = best.score * 0.2 if node.about and node.about == best.about else 0.0
+    if node.score + alike >= limit:
+        return True
+    return node.tag in BESIDE_TAGS and node.length > 0 and _density(node) < 0.25
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per page. Null or empty html gives empty text; null ids and urls, repeated rows and ties stay as they
     are; other columns are ignored."""
