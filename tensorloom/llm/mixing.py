@@ -25,6 +25,7 @@ MOST_LEAVES = 100_000
 DOMAIN_WEIGHTS = {"web": 5, "forum": 2, "books": 2, "reference": 3}
 LANG_WEIGHTS = {"en": 6, "de": 2, "fr": 2, "es": 1}
 DEFAULT_WEIGHT = 1
+LEAF = ["domain", "lang", "source"]
 
 
 def default_domain(source: Column) -> Column:
@@ -85,56 +86,73 @@ def _key(seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
 
 
+def _slim(docs: DataFrame, domain: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, domain, lang, source, tokens) and the columns of `docs` as the struct `row`."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    return docs.select(
+        "doc_id", domain(source).alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), source.alias("source"),
+        token_count(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tokens"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"),
+    )
+
+
+def _decide(slim: DataFrame, budget: int | None, epochs: int, seed: int, domain_weights: dict[str, int], lang_weights: dict[str, int]) -> DataFrame:
+    """(domain, lang, source, whole, last) for slim(doc_id, domain, lang, source, tokens), a written table: the whole epochs of each leaf, and the largest key of the prefix of
+    the epoch behind them."""
+    plan = budgets(slim.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")), budget, epochs, domain_weights, lang_weights).withColumnRenamed("tokens", "all")
+    whole = F.when(F.col("all") == 0, F.lit(1)).otherwise(F.expr("budget div greatest(all, 1)")).cast("int")
+    plan = materialize(plan.withColumn("whole", whole).withColumn("left_over", F.col("budget") - F.col("whole") * F.col("all")), "budgets")
+    near = _near(plan)
+    keyed = slim.join(near(plan), LEAF).withColumn("key", _key(seed, F.col("whole"))).withColumn("bucket", F.left("key", F.lit(BUCKET_DIGITS)))
+    sums = keyed.groupBy(*LEAF, "left_over", "bucket").agg(F.sum("tokens").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    edge = sums.withColumn("upto", ahead).where("upto > left_over")
+    first = F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before")))
+    edge = edge.groupBy(*LEAF).agg(first["bucket"].alias("bucket"), first["before"].alias("before"))
+    inside = keyed.join(near(edge), [*LEAF, "bucket"])
+    so_far = F.sum("tokens").over(Window.partitionBy(*LEAF, "bucket").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = inside.withColumn("upto", F.col("before") + so_far).groupBy(*LEAF, "bucket").agg(F.max(F.when(F.col("upto") <= F.col("left_over"), F.col("key"))).alias("last"))
+    return materialize(plan.join(ends.select(*LEAF, F.coalesce("last", "bucket").alias("last")), LEAF, "left").select(*LEAF, "whole", "last"), "decided")
+
+
+def _near(leaves: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """What sends a table of leaves to all tasks where there are at most MOST_LEAVES."""
+    return F.broadcast if leaves.count() <= MOST_LEAVES else lambda df: df
+
+
+def _taken(slim: DataFrame, decided: DataFrame, epochs: int, seed: int) -> DataFrame:
+    """The rows of `slim` that the mixture takes, once an epoch, with `epoch`."""
+    in_prefix = (F.col("whole") < epochs) & F.coalesce(_key(seed, F.col("whole")) <= F.col("last"), F.lit(False))
+    times = F.col("whole") + F.when(in_prefix, 1).otherwise(0)
+    taken = slim.join(_near(decided)(decided), LEAF).withColumn("times", times).where("times > 0")
+    return taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+
+
 def mix(
     docs: DataFrame, budget: int | None = None, epochs: int = MAX_EPOCHS, seed: int = SEED,
     domain: Callable[[Column], Column] = default_domain, domain_weights: dict[str, int] = DOMAIN_WEIGHTS, lang_weights: dict[str, int] = LANG_WEIGHTS,
 ) -> DataFrame:
     """The rows of `docs` that the mixture takes, with their columns and `_domain`, `_epoch` and `_tokens`; a row taken in two epochs comes twice.
 
-    `domain` gives the domain of a source. Tokens are words between white space. Up to MOST_LEAVES leaves, by their count, go to all tasks, so the documents
-    of a hot leaf stay where they are; more are joined by a shuffle.
+    `domain` gives the domain of a source. Tokens are words between white space; they are counted once for the plan, whose steps read the counts only, and once for
+    the rows taken. Up to MOST_LEAVES leaves, by their count, go to all tasks, so the documents of a hot leaf stay where they are; more are joined by a shuffle.
 
     A null text has no tokens; a null language or source is the empty name; rows that repeat an id go together; a leaf without tokens takes all or
-    none of its rows with the budget zero: whole epochs. An empty table gives no rows. Columns of `docs` named like those three are replaced.
+    none of its rows with the budget zero: whole epochs. An empty table gives no rows. Columns keep their values whatever their names, as they go as one
+    struct; only columns of `docs` named like those three are replaced.
     """
-    leaf = ["_domain", "_lang", "_source"]
-    known = docs.drop("_domain", "_lang", "_source", "_tokens", "_epoch")
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    known = (
-        known.withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-        .withColumn("_source", source)
-        .withColumn("_domain", domain(source))
-        .withColumn("_tokens", token_count(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    )
-    slim = known.select("doc_id", *leaf, "_tokens")
-    leaves = slim.groupBy(*leaf).agg(F.sum("_tokens").alias("tokens")).toDF("domain", "lang", "source", "tokens")
-    plan = budgets(leaves, budget, epochs, domain_weights, lang_weights).toDF(*leaf, "_all", "_budget")
-    whole = F.expr("_budget div greatest(_all, 1)")
-    plan = plan.withColumn("_whole", F.when(F.col("_all") == 0, F.lit(1)).otherwise(whole).cast("int")).withColumn("_left", F.col("_budget") - F.col("_whole") * F.col("_all"))
-    plan = materialize(plan, "budgets")
-    near = F.broadcast if plan.count() <= MOST_LEAVES else lambda df: df
-    keyed = slim.join(near(plan), leaf).withColumn("_key", _key(seed, F.col("_whole"))).withColumn("_bucket", F.left("_key", F.lit(BUCKET_DIGITS)))
-    sums = keyed.groupBy(*leaf, "_left", "_bucket").agg(F.sum("_tokens").alias("n"))
-    ahead = F.sum("n").over(Window.partitionBy(*leaf).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
-    edge = sums.withColumn("upto", ahead).where("upto > _left")
-    edge = edge.groupBy(*leaf).agg(F.min("_bucket").alias("_bucket"), F.min(F.struct("_bucket", (F.col("upto") - F.col("n")).alias("before")))["before"].alias("_before"))
-    inside = keyed.join(near(edge), [*leaf, "_bucket"])
-    so_far = F.sum("_tokens").over(Window.partitionBy(*leaf, "_bucket").orderBy("_key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = inside.withColumn("_end", F.col("_before") + so_far).groupBy(*leaf, "_bucket").agg(F.max(F.when(F.col("_end") <= F.col("_left"), F.col("_key"))).alias("last"))
-    ends = ends.select(*leaf, F.coalesce("last", "_bucket").alias("_last"))
-    decided = plan.join(ends, leaf, "left").select(*leaf, "_whole", "_last")
-    in_prefix = (F.col("_whole") < epochs) & F.coalesce(_key(seed, F.col("_whole")) <= F.col("_last"), F.lit(False))
-    times = F.col("_whole") + F.when(in_prefix, 1).otherwise(0)
-    taken = known.join(near(decided), leaf).withColumn("_times", times).where("_times > 0")
-    numbered = taken.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    return numbered.select(*[c for c in docs.columns if c not in ("_domain", "_epoch", "_tokens")], "_domain", "_epoch", "_tokens")
+    slim = _slim(docs, domain)
+    decided = _decide(materialize(slim.drop("row"), "token_counts"), budget, epochs, seed, domain_weights, lang_weights)
+    taken = _taken(slim, decided, epochs, seed)
+    named = ("_domain", "_epoch", "_tokens")
+    return taken.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in named), F.col("domain").alias("_domain"), F.col("epoch").alias("_epoch"), F.col("tokens").alias("_tokens"))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """What the mixture takes of the documents, without the texts."""
-    return mix(docs).select(
-        "doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_epoch").cast("long").alias("epoch"), F.col("_tokens").alias("tokens")
-    )
+    """What the mixture takes of the documents, without the texts, which are read once: (doc_id, domain, lang, source, epoch, tokens)."""
+    slim = materialize(_slim(docs, default_domain).select("doc_id", *LEAF, "tokens", F.col("row")["lang"].alias("as_lang"), F.col("row")["source"].alias("as_source")), "token_counts")
+    decided = _decide(slim.drop("as_lang", "as_source"), None, MAX_EPOCHS, SEED, DOMAIN_WEIGHTS, LANG_WEIGHTS)
+    taken = _taken(slim, decided, MAX_EPOCHS, SEED)
+    return taken.select("doc_id", "domain", F.col("as_lang").alias("lang"), F.col("as_source").alias("source"), F.col("epoch").cast("long").alias("epoch"), "tokens")
 
 
 def _case(column: str, weights: dict[str, int]) -> str:
