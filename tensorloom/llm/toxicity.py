@@ -73,6 +73,24 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return bucket, (1.0 / parts[own]).astype(np.float32), len(words)
 
 
+def fold(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The features of a text in four bytes each: gaps between its sorted buckets, weights summed by bucket as half floats, and its words. A gap beyond two
+    bytes is made in several steps of weight zero."""
+    bucket, weight, words = features(text)
+    ids, at = np.unique(bucket, return_inverse=True)
+    weights = np.bincount(at, weight) if len(ids) else np.empty(0)
+    gaps = np.diff(ids, prepend=0)
+    while len(wide := np.flatnonzero(gaps > 0xFFFF)):
+        gaps[wide] -= 0xFFFF
+        gaps, weights = np.insert(gaps, wide, 0xFFFF), np.insert(weights, wide, 0.0)
+    return gaps.astype(np.uint16), weights.astype(np.float16), words
+
+
+def unfold(gaps: np.ndarray, weights: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, weights): each once, for a mean over the words and PAD_WORDS empty ones."""
+    return np.cumsum(gaps, dtype=np.int32), weights.astype(np.float32) / np.float32(words + PAD_WORDS)
+
+
 def train(texts: Iterable[str], labels: list[int], seed: int = 13) -> tuple[np.ndarray, float]:
     """(number per bucket, bias): the trained table and layer, folded. Needs texts of both labels; else the bias alone carries the label share."""
     y = np.asarray(labels, dtype=np.int64)
@@ -80,14 +98,7 @@ def train(texts: Iterable[str], labels: list[int], seed: int = 13) -> tuple[np.n
     if len(y) == 0 or share in (0.0, 1.0):
         return np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     rng = np.random.default_rng(seed)
-    seen = []
-    for t in texts:
-        bucket, weight, words = features(t)
-        if words:
-            ids, at = np.unique(bucket, return_inverse=True)
-            seen.append((ids.astype(np.int32), (np.bincount(at, weight) / (words + PAD_WORDS)).astype(np.float32)))
-        else:
-            seen.append((np.empty(0, np.int64), np.empty(0, np.float32)))
+    seen = [fold(t) for t in texts]
     give_back()  # what reading the texts took goes before the table comes
     table = np.empty((BUCKETS, DIM), np.float32)
     for lo in range(0, BUCKETS, 4096):
@@ -101,7 +112,7 @@ def train(texts: Iterable[str], labels: list[int], seed: int = 13) -> tuple[np.n
     for epoch in range(epochs):
         rate = 0.5 * (1 - epoch / epochs) + 0.02
         for i in rng.permutation(len(seen)):
-            ids, weight = seen[i]
+            ids, weight = unfold(*seen[i])
             hidden = weight @ table[ids] if len(ids) else np.zeros(DIM, np.float32)
             z = hidden @ layer + bias
             p = np.exp(z - z.max())
