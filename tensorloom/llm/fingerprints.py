@@ -2,7 +2,7 @@
 
 The lexicon holds the terms whose inverse document frequency lies in a band: in at least one of RARE documents (and in two), and in at most one of
 COMMON. A document has at most its number of distinct terms in it, so at most RARE times the mean number of distinct terms of a document reach the
-band, however large the corpus: that bounds the broadcast.
+band, however large the corpus. Up to MOST_TERMS terms, by their count, go to all tasks; a larger lexicon, as of very long texts, meets them in a shuffle.
 
 A fingerprint is the hash of a text's sorted distinct lexicon terms, and hashes of its terms in randomised subsets of the lexicon: each subset takes
 the terms whose hash falls in one of its cells, 1 in 16, 128 or 1024 of the lexicon. Small subsets survive edits of long texts, large ones tell short
@@ -14,13 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import id_or_none, materialize, none_again, text_or_empty
+from tensorloom.llm.common import NO_ID, id_or_none, materialize, none_again, text_or_empty
 
 RARE = 500
 COMMON = 10
 #: (one subset holds one in so many lexicon terms, number of subsets)
 SUBSETS = ((16, 8), (128, 32), (1024, 64))
 NONE = "----"
+MOST_TERMS = 2_000_000
+#: parts that the rows without an id are dealt into, by their texts
+NULL_PARTS = 64
 
 
 def terms(text: Column) -> Column:
@@ -74,11 +77,11 @@ def likeness(first_a: Column, parts_a: Column, first_b: Column, parts_b: Column)
     return F.when(first_a == first_b, F.lit(1.0)).otherwise(share)
 
 
-def fingerprint_rows(rows: DataFrame, words: DataFrame, key: str, versions: list[str], once: list[str]) -> DataFrame:
-    """Fingerprints of several text columns of a table, one row per row: (key, once.., <version>_first, <version>_parts).
+def fingerprint_rows(rows: DataFrame, words: DataFrame, keys: list[str], versions: list[str], once: list[str]) -> DataFrame:
+    """Fingerprints of several text columns of a table, one row per row: (keys.., once.., <version>_first, <version>_parts).
 
-    The terms of all versions are laid out as rows, kept by a broadcast join with the lexicon and gathered again under the key and a row number,
-    without a shuffle if the table is already partitioned by the key. Term 0 stands in for texts without lexicon terms; `once` columns ride on its
+    The terms of all versions are laid out as rows, kept by a join with the lexicon and gathered again under the keys and a row number,
+    without a shuffle if the table is already partitioned by the keys and the lexicon is sent to all tasks. Term 0 stands in for texts without lexicon terms; `once` columns ride on its
     row alone. A text without lexicon terms is told by all its terms.
     """
 
@@ -89,15 +92,16 @@ def fingerprint_rows(rows: DataFrame, words: DataFrame, key: str, versions: list
     for i, v in enumerate(names):
         numbered = numbered.withColumn(f"_t{i}", terms(F.col(v)))
     laid = numbered.select(
-        key, "_row", *once,
+        *keys, "_row", *once,
         *(F.xxhash64(F.array_sort(f"_t{i}")).alias(f"_all{i}") for i in range(len(names))),
         F.explode(F.concat(F.array(tagged(-1)(F.lit(0).cast("long"))), *(F.transform(f"_t{i}", tagged(i)) for i in range(len(names))))).alias("_x"),
     )
     lead = F.col("_x.v") == -1
     alls = [f"_all{i}" for i in range(len(names))]
-    slim = laid.select(key, "_row", *(F.when(lead, F.col(c)).alias(c) for c in [*once, *alls]), F.col("_x.v").alias("_v"), F.col("_x.term").alias("term"))
-    kept = slim.join(F.broadcast(words.unionByName(words.sparkSession.range(1).select(F.lit(0).cast("long").alias("term"))).distinct()), "term")
-    gathered = kept.groupBy(key, "_row").agg(
+    slim = laid.select(*keys, "_row", *(F.when(lead, F.col(c)).alias(c) for c in [*once, *alls]), F.col("_x.v").alias("_v"), F.col("_x.term").alias("term"))
+    known = words.unionByName(words.sparkSession.range(1).select(F.lit(0).cast("long").alias("term"))).distinct()
+    kept = slim.join(F.broadcast(known) if words.count() <= MOST_TERMS else known, "term")
+    gathered = kept.groupBy(*keys, "_row").agg(
         *(F.max(c).alias(c) for c in [*once, *alls]),
         *(F.array_sort(F.collect_list(F.when(F.col("_v") == i, F.col("term")))).alias(f"_f{i}") for i in range(len(names))),
     )
@@ -105,7 +109,7 @@ def fingerprint_rows(rows: DataFrame, words: DataFrame, key: str, versions: list
     for i, v in enumerate(names):
         found = F.col(f"_f{i}")
         out += [F.when(F.size(found) == 0, F.col(f"_all{i}")).otherwise(F.xxhash64(found)).alias(f"{v}_first"), subset_numbers(found).alias(f"{v}_parts")]
-    return gathered.select(key, *once, *out)
+    return gathered.select(*keys, *once, *out)
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -125,29 +129,37 @@ def following(ids: DataFrame) -> DataFrame:
     return numbered.withColumn("after", (F.col("number") + 1) % F.col("total")).join(after, "after").select("doc_id", "next_id")
 
 
+def _in_parts(by_id: DataFrame) -> DataFrame:
+    """A row of by_id(doc_id, ..) for every part that its documents may be in."""
+    parts = F.when(F.col("doc_id") == NO_ID, F.sequence(F.lit(0).cast("long"), F.lit(NULL_PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return by_id.withColumn("part", F.explode(parts))
+
+
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with likenesses: the columns of the contract, one row per row of `docs`.
 
     Null texts count as empty. A repeated id takes part as often as it comes; as "next document" it stands once, with its smallest text. A null id is
     the lowest and comes back as null. Other columns are ignored; an empty table gives no rows.
     """
-    # one shuffle of the texts, shared by the documents as such and as givers of their first half
-    base = docs.select(id_or_none().alias("doc_id"), text_or_empty().alias("text")).repartition("doc_id")
+    # one shuffle of the texts, shared by the documents as such and as givers of their first half; rows without an id, however many, are dealt by their texts
+    keys = ["doc_id", "part"]
+    base = docs.select(id_or_none().alias("doc_id"), text_or_empty().alias("text"))
+    base = base.withColumn("part", F.when(F.col("doc_id") == NO_ID, F.pmod(F.xxhash64("text"), F.lit(NULL_PARTS))).otherwise(F.lit(0).cast("long"))).repartition(*keys)
     slim = docs.select(id_or_none().alias("doc_id"), F.char_length(text_or_empty()).cast("long").alias("n_chars"))
     words = materialize(lexicon(docs), "lexicon")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     wants = slim.groupBy("doc_id").agg(F.max(half).alias("want")).join(following(slim), "doc_id")
     asked = wants.select(F.col("doc_id").alias("to"), F.col("next_id").alias("doc_id"), "want")
-    giving = base.join(asked, "doc_id").withColumn("gift", F.substr("text", F.lit(1), F.col("want")))
-    gifts = fingerprint_rows(giving, words, "doc_id", ["text"], ["to", "gift"]).select(
+    giving = base.join(_in_parts(asked), keys).withColumn("gift", F.substr("text", F.lit(1), F.col("want")))
+    gifts = fingerprint_rows(giving, words, keys, ["text"], ["to", "gift"]).select(
         F.col("to").alias("doc_id"), F.struct("gift", F.col("text_first").alias("first"), F.col("text_parts").alias("parts")).alias("next")
     )
     gifts = gifts.groupBy("doc_id").agg(F.min("next").alias("next"))
-    rows = base.join(gifts, "doc_id").withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = base.join(_in_parts(gifts), keys).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.concat(F.substr("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substr(F.col("next.gift"), F.lit(1), half))
     rows = rows.withColumn("edited", edited).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     rows = rows.withColumn("next_first", F.col("next.first")).withColumn("next_parts", F.col("next.parts")).drop("next")
-    done = fingerprint_rows(rows, words, "doc_id", ["text", "edited"], ["n_chars", "edited_sha256", "next_first", "next_parts"])
+    done = fingerprint_rows(rows, words, keys, ["text", "edited"], ["n_chars", "edited_sha256", "next_first", "next_parts"])
     own, other, after = ((F.col(f"{v}_first"), F.col(f"{v}_parts")) for v in ("text", "edited", "next"))
     return done.select(
         none_again().alias("doc_id"), "n_chars", "edited_sha256", compose(*own).alias("fingerprint"), compose(*other).alias("edited_fingerprint"),
