@@ -40,7 +40,19 @@ def checkpoint(df: DataFrame, name: str = "step") -> DataFrame:
     they need, and joins know its size. For tables that an operator uses more than once."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `checkpoint` returned, as soon as the ones made of them are written: rounds of an iteration don't pile up. Nothing may read them any more."""
+    for t in tables:
+        path = t.__dict__.pop("_scratch", None)
+        if path:
+            spark = t.sparkSession
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def ranged(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
@@ -71,6 +83,25 @@ def row_numbers(df: DataFrame, group: list[str], order: list[Column], out: str)
     return parts.withColumn("_in", inside).join(_ahead(parts, group, F.lit(1)), [*group, "_k"]).withColumn(out, F.col("_in") + F.col("_before")).drop("_in", "_before", "_k")
 
 
+def quantiles(df: DataFrame, group: list[str], value: str, shares: list[float], count: str | None = None) -> DataFrame:
+    """(group, q): exact quantiles at `shares` as an array, interpolated between the two places around (n - 1) * share; nulls are left out, `count` says how often a
+    row counts. Selection by counts: distinct values are counted, their places come from a running total by ranges, and of a group only the values at the wanted
+    places go on, so no state holds a group's values."""
+    known = df.where(F.col(value).isNotNull())
+    distinct = known.groupBy(*group, F.col(value).cast("double").alias("_v")).agg((F.sum(count) if count else F.count("*")).cast("long").alias("_c")).where("_c > 0")
+    placed = checkpoint(running_total(checkpoint(distinct, "distinct"), group, [F.col("_v")], F.col("_c"), "_upto"), "places")
+    sizes = placed.groupBy(*group).agg(F.max("_upto").alias("_n"))
+    j = placed.join(sizes, group) if group else placed.crossJoin(F.broadcast(sizes))
+    picks = []
+    for k, share in enumerate(shares):
+        at = (F.col("_n") - 1) * F.lit(float(share))
+        for name, place in (("a", F.floor(at)), ("b", F.ceil(at))):
+            picks.append(F.max(F.when((place >= F.col("_upto") - F.col("_c")) & (place < F.col("_upto")), F.col("_v"))).alias(f"_{name}{k}"))
+        picks.append(F.max(at - F.floor(at)).alias(f"_f{k}"))
+    got = j.groupBy(*group).agg(*picks)
+    return got.select(*group, F.array(*(F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * F.col(f"_f{k}") for k in range(len(shares)))).alias("q"))
+
+
 def pearson(a: str, b: str) -> Column:
     """Aggregate: Pearson correlation of two columns over rows where both are there; null when either is constant."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()

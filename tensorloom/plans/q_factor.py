@@ -1,4 +1,4 @@
-"""Queries of factorisations: one update step from stated start values, held against SQL, and whole runs by their loss."""
+"""Queries of factorisations: one update step from stated start values, held against SQL, and whole runs to convergence."""
 
 from pyspark.sql import functions as F
 
@@ -137,48 +137,57 @@ def nmf_reconstruct(spark, d):
     return rounded(X.reconstruct(f["W"], f["H"], SC), 8)
 
 
-#: whole runs stop when the mean loss changes by less than a hundredth in a round, or after so many rounds
-ROUNDS, TOLERANCE = 6, 0.01
+@query("nmf_fitted")
+def nmf_fitted(spark, d):
+    """Contact matrices and the product of their fitted factors of rank 2, side by side: (sample, chrom, i, j, value, fitted)."""
+    m = checkpoint(M.symmetrize(D.contacts(spark, d)), "matrix")
+    f = X.nmf(m, SC, 2)
+    return m.join(X.reconstruct(f["W"], f["H"], SC).withColumnRenamed("value", "fitted"), [*SC, "i", "j"], "left").select(*SC, "i", "j", "value", "fitted")
 
 
-def _run(t, group, modes, rank):
-    return X.factorise(t, group, modes, rank, ROUNDS, tolerance=TOLERANCE)
+def _run_loss(t, group, modes, rank):
+    """(group, loss) of a run to a relative change of 1e-6 a sweep."""
+    return X.rank_sweep(t, group, modes, [rank]).drop("rank")
 
 
 @query("ncp_full_sym_loss")
 def ncp_full_sym_loss(spark, d):
     t = _cum(spark, d)
-    return X.loss(t, ["chrom"], X.FULL_SYM, _run(t, ["chrom"], X.FULL_SYM, 2))
+    return _run_loss(t, ["chrom"], X.FULL_SYM, 2)
 
 
 @query("ncp_4way_loss")
 def ncp_4way_loss(spark, d):
     t = _two(spark, d)
-    return X.loss(t, ["chrom"], X.FOUR_WAY, _run(t, ["chrom"], X.FOUR_WAY, 10))
+    return _run_loss(t, ["chrom"], X.FOUR_WAY, 10)
 
 
 @query("ncp_4way_triple_loss")
 def ncp_4way_triple_loss(spark, d):
     t = _triple(spark, d)
-    return X.loss(t, ["chrom"], X.FOUR_WAY_TRIPLE, _run(t, ["chrom"], X.FOUR_WAY_TRIPLE, 2))
+    return _run_loss(t, ["chrom"], X.FOUR_WAY_TRIPLE, 2)
 
 
 @query("ncp_per_modality_loss")
 def ncp_per_modality_loss(spark, d):
     t, g = _two(spark, d), ["chrom", "modality"]
-    return X.loss(t, g, X.PER_MODALITY, _run(t, g, X.PER_MODALITY, 4))
+    return _run_loss(t, g, X.PER_MODALITY, 4)
+
+
+#: the surveyed ranks
+RANKS = [1, 2, 3, 4, 10, 50, 100]
 
 
 @query("ncp_rank_sweep")
 def ncp_rank_sweep(spark, d):
-    return X.rank_sweep(_two(spark, d), SC, PLAIN, [1, 2, 3], 3)
+    return X.rank_sweep(_two(spark, d), SC, PLAIN, RANKS)
 
 
 @query("unfolded_nmf_loss")
 def unfolded_nmf_loss(spark, d):
     """The matrix of samples by cells that a tensor unfolds to, factorised like any other: (chrom, loss)."""
     flat = T.unfold(D.contacts(spark, d), ["chrom", "i", "j"]).select("cell.chrom", F.col("sample").alias("i"), F.concat_ws(":", "cell.i", "cell.j").alias("j"), "value")
-    return X.loss(flat, ["chrom"], [("i", "W"), ("j", "H")], _run(flat, ["chrom"], [("i", "W"), ("j", "H")], 2))
+    return _run_loss(flat, ["chrom"], [("i", "W"), ("j", "H")], 2)
 
 
 def ab_tensor(spark, d):
@@ -191,8 +200,7 @@ def ab_tensor(spark, d):
 def ab_calls(spark, d):
     """The flow from contacts and signal to compartments: tensor, rank-2 factors of {U, V, V}, the factor and sign that correlate best with the bulk vector, its values and
     calls by sign around the vector's mean: (sample, chrom, bin, r, sign, corr, value, call)."""
-    v = _run(ab_tensor(spark, d), SC, X.SYM3, 2)["V"].select(*SC, F.col("idx").alias("bin"), "r", "value")
-    v = checkpoint(v, "factors")
+    v = X.factorise(ab_tensor(spark, d), SC, X.SYM3, 2)["V"].select(*SC, F.col("idx").alias("bin"), "r", "value")
     best = checkpoint(C.best_factor(v, D.bulk(spark, d), SC), "best")
     calls = C.calls(C.pick_factor(v, best, SC), SC)
     return calls.join(best, SC, "left").select(*SC, "bin", "r", "sign", "corr", "value", "call")
