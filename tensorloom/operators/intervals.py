@@ -8,25 +8,42 @@ from pyspark.sql import functions as F
 from tensorloom.functions.numeric import ranged, running_total
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+def _levelled(t: DataFrame) -> DataFrame:
+    """Non-empty intervals with `_level`: bins of 4 ** _level positions are the smallest that are no shorter than the interval."""
+    bits = F.when(F.col("end") - F.col("start") == 1, 0).otherwise(F.length(F.bin(F.col("end") - F.col("start") - 1)))
+    return t.where("end > start").withColumn("_level", F.ceil(bits / 2).cast("int"))
+
+
+def _laid(t: DataFrame, mark: str, others: DataFrame, home: int, same: bool) -> DataFrame:
+    """The rows of an interval: one or two bins of its own level, marked as its home, and those that hold its ends on each coarser level that the other table
+    has, to meet that table's homes; with `same` also on its own level."""
+    met = F.filter("_levels", lambda x: x >= F.col("_level") if same else x > F.col("_level"))
+    meets = F.transform(met, lambda x: F.struct(x.alias("level"), F.lit(3 - home).alias("kind")))
+    own = F.array(F.struct(F.col("_level").alias("level"), F.lit(home).alias("kind")))
+    levels = others.agg(F.collect_set("_level").alias("_levels"))  # one row of at most 33 numbers
+    columns = [c for c in t.columns if c not in ("chrom", "_level")]
+    placed = t.crossJoin(F.broadcast(levels)).withColumn("_at", F.explode(F.concat(meets, own))).select("chrom", *columns, "_at.level", "_at.kind")
+    spread = F.explode(F.expr("sequence(shiftright(cast(start as bigint), 2 * level), shiftright(cast(end as bigint) - 1, 2 * level))"))
+    return placed.select("chrom", F.col("level").alias("_level"), F.col("kind").alias("_kind"), spread.alias("_bin"), *(F.col(c).alias(f"{mark}_{c}") for c in columns))
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     """All overlapping pairs of a(chrom, start, end, id) and b(chrom, start, end, id, ...): (chrom, a_id, b_id, lap, ...).
 
-    Each interval is laid into buckets of `width` positions, so the range join is an equality join on (chrom, bucket); a pair is kept only in the
-    bucket that holds the later of the two starts, which needs no distinct. Bucket joins can be split by Spark where one is hot.
+    A range join as an equality join over a hierarchy of bins: an interval is at home in one or two bins of the level of its own length, however long it is, and
+    looks for longer intervals where they are at home. A pair meets on the level of its longer interval, in bins that both touch, and is kept in the bin that
+    holds the later start, which needs no distinct. Candidates are a small multiple of the pairs that overlap, whatever mix of lengths the tables have. Bins
+    can be split by Spark where one is hot. Empty intervals overlap nothing.
     """
-    def laid(t: DataFrame, mark: str) -> DataFrame:
-        spread = F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))
-        t = t.where("end > start").withColumn("_bucket", F.explode(spread))
-        return t.select("chrom", "_bucket", *(F.col(c).alias(f"{mark}_{c}") for c in t.columns if c not in ("chrom", "_bucket")))
+    a, b = _levelled(a), _levelled(b)
+    j = _laid(a, "a", b, 2, True).join(_laid(b, "b", a, 1, False), ["chrom", "_level", "_kind", "_bin"]).where("a_start < b_end and b_start < a_end")
+    j = j.where(F.expr("_bin = shiftright(cast(greatest(a_start, b_start) as bigint), 2 * _level)"))
+    return j.withColumn("lap", F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).drop("_bin", "_level", "_kind")
 
-    j = laid(a, "a").join(laid(b, "b"), ["chrom", "_bucket"]).where("a_start < b_end and b_start < a_end")
-    j = j.where(F.col("_bucket") == F.expr(f"greatest(a_start, b_start) div {width}"))
-    return j.withColumn("lap", F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).drop("_bucket")
 
-
-def overlap_counts(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+def overlap_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """(only_a, only_b, pairs): intervals of one table without the other, and overlapping pairs."""
-    pairs = overlap_pairs(a, b, width).select("a_id", "b_id")
+    pairs = overlap_pairs(a, b).select("a_id", "b_id")
     both = pairs.agg(F.count("*").alias("pairs"), F.count_distinct("a_id").alias("_a"), F.count_distinct("b_id").alias("_b"))
     n, m = a.agg(F.count_distinct("id").alias("_n")), b.agg(F.count_distinct("id").alias("_m"))
     return both.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(m)).select((F.col("_n") - F.col("_a")).alias("only_a"), (F.col("_m") - F.col("_b")).alias("only_b"), "pairs")
@@ -86,16 +103,16 @@ def pair_mates(reads: DataFrame) -> DataFrame:
     return got.select("sample", "qname", *(F.col(f"{s}.{c}").alias(f"{c}{i}") for i, s in ((1, "a"), (2, "b")) for c in ("chrom_idx", "fragment", "strand", "pos")))
 
 
-def window_signal(signal: DataFrame, windows: DataFrame, width: int) -> DataFrame:
+def window_signal(signal: DataFrame, windows: DataFrame) -> DataFrame:
     """(chrom, id, sample, n, value): count and overlap-weighted mean of each sample's signal in each window."""
     s = signal.withColumn("id", F.lit(0))
-    laps = overlap_pairs(windows.select("chrom", "start", "end", "id"), s, width)
+    laps = overlap_pairs(windows.select("chrom", "start", "end", "id"), s)
     return laps.groupBy("chrom", F.col("a_id").alias("id"), F.col("b_sample").alias("sample")).agg(F.count("*").alias("n"), (F.sum(F.col("b_value") * F.col("lap")) / F.sum("lap")).alias("value"))
 
 
-def gene_counts(reads: DataFrame, exons: DataFrame, width: int) -> DataFrame:
+def gene_counts(reads: DataFrame, exons: DataFrame) -> DataFrame:
     """(gene, n): reads that touch exons(chrom, start, end, id, gene) of one gene only."""
-    hits = overlap_pairs(reads.select("chrom", "start", "end", "id"), exons, width).groupBy("a_id").agg(F.min("b_gene").alias("gene"), F.max("b_gene").alias("_last"))
+    hits = overlap_pairs(reads.select("chrom", "start", "end", "id"), exons).groupBy("a_id").agg(F.min("b_gene").alias("gene"), F.max("b_gene").alias("_last"))
     return hits.where("gene = _last").groupBy("gene").agg(F.count("*").alias("n"))
 
 
@@ -131,7 +148,7 @@ def aligned_profile(signal: DataFrame, anchors: DataFrame, reach: int, step: int
     """(anchor, offset, value): mean of the values that start within `reach` of an anchor (chrom, pos, anchor), by steps; missing steps take the anchor's mean."""
     near = anchors.select("chrom", "anchor", F.col("pos"), (F.col("pos") - reach).alias("start"), (F.col("pos") + reach).alias("end"), F.col("anchor").alias("id"))
     points = signal.select("chrom", "start", (F.col("start") + 1).alias("end"), F.lit(0).alias("id"), "value")
-    hits = overlap_pairs(near.withColumn("start", F.greatest("start", F.lit(0))), points, 2 * reach)
+    hits = overlap_pairs(near.withColumn("start", F.greatest("start", F.lit(0))), points)
     off = F.floor((F.col("b_start") - F.col("a_pos")) / step).cast("long")
     means = hits.groupBy(F.col("a_anchor").alias("anchor"), off.alias("offset")).agg(F.avg("b_value").alias("value"))
     grid = means.select("anchor").distinct().withColumn("offset", F.explode(F.sequence(F.lit(-(reach // step)), F.lit(reach // step - 1)).cast("array<bigint>")))

@@ -17,7 +17,7 @@ LAP = "a.chrom = b.chrom and a.start < b.\"end\" and b.start < a.\"end\""
 
 @query("overlap_pairs", sql(f"select a.chrom, a.id as a_id, b.id as b_id, least(a.\"end\", b.\"end\") - greatest(a.start, b.start) as lap from iva a join ivb b on {LAP}", "iva", "ivb"))
 def overlap_pairs(spark, d):
-    return I.overlap_pairs(D.iva(spark, d), D.ivb(spark, d), 24).select("chrom", "a_id", "b_id", "lap")
+    return I.overlap_pairs(D.iva(spark, d), D.ivb(spark, d)).select("chrom", "a_id", "b_id", "lap")
 
 
 COUNTS = f"select (select count(distinct id) from iva) - count(distinct a.id) as only_a, (select count(distinct id) from ivb) - count(distinct b.id) as only_b, count(*) as pairs from iva a join ivb b on {LAP}"
@@ -25,12 +25,12 @@ COUNTS = f"select (select count(distinct id) from iva) - count(distinct a.id) as
 
 @query("overlap_counts", sql(COUNTS, "iva", "ivb"))
 def overlap_counts(spark, d):
-    return I.overlap_counts(D.iva(spark, d), D.ivb(spark, d), 24)
+    return I.overlap_counts(D.iva(spark, d), D.ivb(spark, d))
 
 
 @query("slop_overlap", sql(COUNTS.replace("iva a join", "(select chrom, greatest(start - 10, 0) as start, \"end\" + 10 as \"end\", id from iva) a join"), "iva", "ivb"))
 def slop_overlap(spark, d):
-    return I.overlap_counts(I.slop(D.iva(spark, d), 10), D.ivb(spark, d), 24)
+    return I.overlap_counts(I.slop(D.iva(spark, d), 10), D.ivb(spark, d))
 
 
 @query("slop", sql("select chrom, bin, greatest(start - 150, 0) as start, least(\"end\" + 150, 40000) as \"end\" from bins", "bins"))
@@ -100,12 +100,12 @@ def pair_mates(spark, d):
 @query("window_signal", sql(f"select a.chrom, a.id, (b.id % 3)::varchar as sample, count(*) as n, round(sum(b.value * (least(a.\"end\", b.\"end\") - greatest(a.start, b.start))) / sum(least(a.\"end\", b.\"end\") - greatest(a.start, b.start)), 6) as value from iva a join ivb b on {LAP} group by all", "iva", "ivb"))
 def window_signal(spark, d):
     s = D.ivb(spark, d).withColumn("sample", (F.col("id") % 3).cast("string"))
-    return rounded(I.window_signal(s, D.iva(spark, d), 24))
+    return rounded(I.window_signal(s, D.iva(spark, d)))
 
 
 @query("gene_counts", sql(f"select gene, count(*) as n from (select b.id, min(a.id % 20) as gene, max(a.id % 20) as other from iva a join ivb b on {LAP} group by all) where gene = other group by all", "iva", "ivb"))
 def gene_counts(spark, d):
-    return I.gene_counts(D.ivb(spark, d), D.iva(spark, d).withColumn("gene", F.col("id") % 20), 24)
+    return I.gene_counts(D.ivb(spark, d), D.iva(spark, d).withColumn("gene", F.col("id") % 20))
 
 
 @query("coverage_bins", sql("select chrom, bin, sum(least(\"end\", (bin + 1) * 100) - greatest(start, bin * 100))::bigint as depth from (select *, unnest(range(start // 100, (\"end\" - 1) // 100 + 1)) as bin from ivb) group by all", "ivb"))
