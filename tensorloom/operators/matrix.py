@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.functions.numeric import checkpoint
+from tensorloom.operators.tiles import row_products
 
 GROUP = ("sample", "chrom")
 STRIP = 64
@@ -46,15 +47,14 @@ def sparse_pearson(m: DataFrame, n: int, group=GROUP, floor: float = 0.0) -> Dat
     """Correlation-like matrix of the rows of a full matrix: stored cells standardised by their row's mean and deviation over n cells (absent cells stay
     zero), products over shared columns, scaled to a unit diagonal; upper triangle. Rows without deviation give nothing, or are floored.
 
-    The join runs on (group, column) and its product is summed by map-side combine; cells of one column meet, never whole rows.
+    The products are made by dense tiles (`tiles.row_products`).
     """
     m = checkpoint(m, "matrix")
     stats = row_stats(m, n, group)
     sd = F.greatest(F.col("sd"), F.lit(floor)) if floor else F.col("sd")
     z = m.join(stats, [*group, "i"]).where(sd > 0).select(*group, "i", "j", ((F.col("value") - F.col("mu")) / sd).alias("z"))
     z = checkpoint(z, "standardised")
-    other = z.select(*group, F.col("i").alias("i2"), "j", F.col("z").alias("z2"))
-    dots = z.join(other, [*group, "j"]).where("i <= i2").groupBy(*group, "i", "i2").agg(F.sum(F.col("z") * F.col("z2")).alias("dot"))
+    dots = row_products(z.withColumnRenamed("z", "value"), n, group).withColumnRenamed("j", "i2").withColumnRenamed("value", "dot")
     norms = z.groupBy(*group, F.col("i").alias("_k")).agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("_n"))
     a = norms.select(*group, F.col("_k").alias("i"), F.col("_n").alias("na"))
     b = norms.select(*group, F.col("_k").alias("i2"), F.col("_n").alias("nb"))
@@ -88,11 +88,10 @@ def strip_join(left: DataFrame, right: DataFrame, a: str, b: str, group=GROUP) -
 def corr_matrix(m: DataFrame, n: int, group=GROUP, shift: bool = False) -> DataFrame:
     """Pearson correlation of all pairs of rows of a full matrix, upper triangle; null where a row is constant. shift: raised by the matrix's
     minimum when that is negative."""
-    rows = rows_as_arrays(m, n, group).withColumn("x", centred(F.col("x"), n)).withColumn("_q", F.sqrt(dot(F.col("x"), F.col("x"))))
-    rows = checkpoint(rows, "rows")
-    other = rows.select(*group, F.col("i").alias("j"), F.col("x").alias("y"), F.col("_q").alias("_r"))
-    c = F.try_divide(dot(F.col("x"), F.col("y")), F.col("_q") * F.col("_r"))
-    out = strip_join(rows, other, "i", "j", group).select(*group, "i", "j", c.alias("value"))
+    dots = checkpoint(row_products(m, n, group, centre=True), "products")
+    own = dots.where("i = j").select(*group, "i", F.sqrt("value").alias("_q"))
+    other = own.select(*group, F.col("i").alias("j"), F.col("_q").alias("_r"))
+    out = dots.join(own, [*group, "i"]).join(other, [*group, "j"]).select(*group, "i", "j", F.try_divide("value", F.col("_q") * F.col("_r")).alias("value"))
     return shift_min(out, group) if shift else out
 
 
