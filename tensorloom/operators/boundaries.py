@@ -76,21 +76,31 @@ def moving_average(group: list[str], k: int) -> Column:
 
 
 def insulation(m: DataFrame, width: int, n: int, group: list[str]) -> DataFrame:
-    """(group, bin, value): log2 of the contacts across each bin start, rows in [b - width, b), columns in [b, b + width), over the group's mean; bins near
-    the ends and bins without contacts have none. Each cell of the upper triangle tells the bins it counts for; there are at most width of them."""
-    spread = F.sequence(F.greatest(F.col("i") + 1, F.col("j") - width + 1), F.least(F.col("j"), F.col("i") + width))
-    laid = m.where((F.col("i") < F.col("j")) & (F.col("j") - F.col("i") <= 2 * width - 1)).withColumn("bin", F.explode(spread))
-    sums = laid.where(F.col("bin").between(width, n - width)).groupBy(*group, "bin").agg(F.sum("value").alias("_s"))
-    mean = F.avg("_s").over(Window.partitionBy(*group))
-    return sums.select(*group, "bin", F.log2(F.try_divide("_s", mean)).alias("value"))
+    """(group, bin, value): `insulation_windows` for one width."""
+    return insulation_windows(m, [width], n, group).drop("width")
 
 
 def insulation_windows(m: DataFrame, widths: list[int], n: int, group: list[str]) -> DataFrame:
-    """(group, width, bin, value): insulation for several widths in one pass, each cell laid out for every width."""
-    laid = m.withColumn("width", F.explode(F.array(*(F.lit(w) for w in widths))))
-    low, high = F.greatest(F.col("i") + 1, F.col("j") - F.col("width") + 1), F.least(F.col("j"), F.col("i") + F.col("width"))
-    near = laid.where((F.col("i") < F.col("j")) & (F.col("j") - F.col("i") <= 2 * F.col("width") - 1)).withColumn("bin", F.explode(F.sequence(low, high)))
-    sums = near.where(F.col("bin").between(F.col("width"), n - F.col("width"))).groupBy(*group, "width", "bin").agg(F.sum("value").alias("_s"))
+    """(group, width, bin, value): log2 of the contacts across each bin start, rows in [b - width, b), columns in [b, b + width), over the mean of the group and
+    width; bins near the ends and bins without contacts have none.
+
+    The bins that a cell above the diagonal counts for follow one another, so a cell is two steps, up where they begin and down behind them, however wide the window;
+    steps are summed by bin with map-side combine, and a running sum over the bins of a group gives the windows. Cells are counted beside their values, so
+    a bin without contacts is told exactly."""
+    low = lambda w: F.greatest(F.col("i") + 1, F.col("j") - w + 1)
+    high = lambda w: F.least(F.col("j"), F.col("i") + w)
+    steps = []
+    for w in widths:
+        for at, sign in ((low(w), 1), (high(w) + 1, -1)):
+            steps.append(F.when(low(w) <= high(w), F.struct(F.lit(w).alias("width"), at.cast("long").alias("bin"), F.lit(sign).alias("n"), (F.col("value") * sign).alias("v"))))
+    laid = m.where(F.col("i") < F.col("j")).select(*group, F.explode(F.array_compact(F.array(*steps))).alias("_e"))
+    per = laid.groupBy(*group, "_e.width", "_e.bin").agg(F.sum("_e.n").alias("_n"), F.sum("_e.v").alias("_v"))
+    # every bin of a group and width gets a row, so a step holds until the next one
+    bins = per.select(*group, "width").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))))
+    upto = Window.partitionBy(*group, "width").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    full = bins.join(per, [*group, "width", "bin"], "left").fillna(0, ["_n", "_v"])
+    sums = full.withColumn("_c", F.sum("_n").over(upto)).withColumn("_s", F.sum("_v").over(upto))
+    sums = sums.where(F.col("bin").between(F.col("width"), n - F.col("width")) & (F.col("_c") > 0))
     mean = F.avg("_s").over(Window.partitionBy(*group, "width"))
     return sums.select(*group, "width", "bin", F.log2(F.try_divide("_s", mean)).alias("value"))
 

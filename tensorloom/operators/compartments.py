@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.functions.numeric import checkpoint, pearson, scaled
+from tensorloom.functions.numeric import checkpoint, pearson, quantiles, scaled
 from tensorloom.operators.matrix import strip_join
 
 
@@ -78,14 +78,14 @@ def differential_ratio(a: DataFrame, b: DataFrame, least: float = 40.0, cap: flo
 
 def stable_compartments(v: DataFrame, types: DataFrame, bins: DataFrame, high: float = 0.03) -> DataFrame:
     """(cell_type, chrom, bin, median, a, b): median over all samples of a type, missing values as 0; A above `high`, B under its negative."""
-    # missing samples are zeros by count: a bin's median is over its distinct values with their counts, zeros added where samples lack it
+    # missing samples are zeros by count: a bin's median is selected from its distinct values with their counts, zeros added where samples lack it
     sizes = types.groupBy("cell_type").agg(F.count("*").alias("_n"))
     seen = v.join(types, "sample").groupBy("cell_type", "chrom", "bin", F.coalesce("value", F.lit(0.0)).alias("value")).agg(F.count("*").alias("_c"))
     found = seen.groupBy("cell_type", "chrom", "bin").agg(F.sum("_c").alias("_found"))
     grid = bins.select("chrom", "bin").crossJoin(F.broadcast(sizes))  # a row for each type, of which there are few
     absent = grid.join(found, ["cell_type", "chrom", "bin"], "left").select("cell_type", "chrom", "bin", F.lit(0.0).alias("value"), (F.col("_n") - F.coalesce("_found", F.lit(0))).alias("_c"))
     full = seen.unionByName(absent.where("_c > 0"))
-    m = full.groupBy("cell_type", "chrom", "bin").agg(F.percentile("value", F.lit(0.5), F.col("_c")).alias("median"))
+    m = quantiles(full, ["cell_type", "chrom", "bin"], "value", [0.5], "_c").select("cell_type", "chrom", "bin", F.col("q")[0].alias("median"))
     return m.withColumn("a", (F.col("median") > high).cast("long")).withColumn("b", (F.col("median") < -high).cast("long"))
 
 

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.functions.numeric import checkpoint, row_numbers, running_total
+from tensorloom.functions.numeric import checkpoint, quantiles, row_numbers, running_total
 
 
-def cell_qc(counts: DataFrame, cell: list[str], mito: str, ribo: str, genes=(500, 6000), total=(500, 40000), mito_most=0.10, ribo_most=0.40, denominator: str = "total") -> DataFrame:
-    """(cell, genes, total, mito, ribo): cells within the bounds. The shares of genes by name prefix are over the cell's total, or with
+def cell_qc(counts: DataFrame, cell: list[str], mito: str | list[str], ribo: str | list[str], genes=(500, 6000), total=(500, 40000), mito_most=0.10, ribo_most=0.40, denominator: str = "total") -> DataFrame:
+    """(cell, genes, total, mito, ribo): cells within the bounds. The shares of genes by name prefix, or by any of several, are over the cell's total, or with
     denominator="n_cells" over the number of cells."""
+
+    def share(prefixes: str | list[str]) -> Column:
+        names = [prefixes] if isinstance(prefixes, str) else prefixes
+        found = functools.reduce(operator.or_, (F.startswith("gene", F.lit(p)) for p in names))
+        return F.coalesce(F.sum(F.when(found, F.col("value"))), F.lit(0.0))
+
     if denominator == "n_cells":
         counts = checkpoint(counts, "counts")
     per = counts.groupBy(*cell).agg(
         F.count_if(F.col("value") > 0).alias("genes"), F.sum("value").alias("total"),
-        F.coalesce(F.sum(F.when(F.startswith("gene", F.lit(mito)), F.col("value"))), F.lit(0.0)).alias("mito"), F.coalesce(F.sum(F.when(F.startswith("gene", F.lit(ribo)), F.col("value"))), F.lit(0.0)).alias("ribo"),
+        share(mito).alias("mito"), share(ribo).alias("ribo"),
     )
     if denominator == "n_cells":
         per = per.crossJoin(F.broadcast(counts.select(*cell).distinct().agg(F.count("*").cast("double").alias("_d"))))
@@ -39,11 +48,10 @@ def drop_zero_genes(counts: DataFrame) -> DataFrame:
 
 
 def normalize_total(counts: DataFrame, cell: list[str]) -> DataFrame:
-    """log(1 + value scaled to the median of the cells' totals). The median is taken over distinct totals with their counts."""
+    """log(1 + value scaled to the median of the cells' totals). The median is selected by counts of distinct totals."""
     counts = checkpoint(counts, "counts")
     totals = checkpoint(counts.groupBy(*cell).agg(F.sum("value").alias("_t")), "totals")
-    distinct = totals.where("_t > 0").groupBy("_t").agg(F.count("*").alias("_c"))
-    target = distinct.agg(F.percentile("_t", F.lit(0.5), F.col("_c")).alias("_m"))
+    target = quantiles(totals.where("_t > 0"), [], "_t", [0.5]).select(F.col("q")[0].alias("_m"))
     j = counts.join(totals, cell).crossJoin(F.broadcast(target))
     return j.withColumn("value", F.log1p(F.col("value") * F.col("_m") / F.col("_t"))).drop("_t", "_m")
 
@@ -141,12 +149,13 @@ def quantile_uniform(v: DataFrame, group: list[str]) -> DataFrame:
 
 
 def top_bottom(df: DataFrame, value: str, tie: str, n: int, group: list[str]) -> DataFrame:
-    """The n largest and smallest rows of each group with `side` and `place`."""
-    up = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(value), tie))
-    low = F.row_number().over(Window.partitionBy(*group).orderBy(value, tie))
-    ranked = df.withColumn("_u", up).withColumn("_l", low)
-    pick = F.array_compact(F.array(F.when(F.col("_u") <= n, F.struct(F.lit("top").alias("side"), F.col("_u").alias("place"))), F.when(F.col("_l") <= n, F.struct(F.lit("bottom").alias("side"), F.col("_l").alias("place")))))
-    return ranked.withColumn("_p", F.explode(pick)).select(*df.columns, "_p.side", F.col("_p.place").cast("long").alias("place"))
+    """The n largest and smallest rows of each group with `side` and `place`. Either side is cut to n rows a group in each task before it is shuffled."""
+
+    def side(name: str, first: Column) -> DataFrame:
+        w = Window.partitionBy(*group).orderBy(first, tie)
+        return df.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= n).select(*df.columns, F.lit(name).alias("side"), "place")
+
+    return side("top", F.desc(value)).unionByName(side("bottom", F.col(value)))
 
 
 def knn(points: DataFrame, queries: DataFrame, k: int, batch: str | None = None) -> DataFrame:
@@ -188,7 +197,8 @@ def gbt_regression(df: DataFrame, features: list[str], label: str, seeds: list[i
     partition."""
     from tensorloom.operators.stats import spearman
 
-    v = VectorAssembler(inputCols=features, outputCol="features").transform(df).select("features", F.col(label).alias("label"), F.xxhash64(*features, label).alias("_h")).persist()
+    v = VectorAssembler(inputCols=features, outputCol="features").transform(df).select("features", F.col(label).alias("label"), F.xxhash64(*features, label).alias("_h"))
+    v = checkpoint(v, "vectors")
     rows, rho = [], []
     for seed in seeds:
         side = F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(10))
@@ -197,7 +207,6 @@ def gbt_regression(df: DataFrame, features: list[str], label: str, seeds: list[i
         got = spearman(held, "label", "prediction", ["g"]).first()
         rho.append(float(got["value"]) if got is not None and got["value"] is not None else 0.0)
         rows += [(f, seed, float(x)) for f, x in zip(features, model.featureImportances.toArray(), strict=True)]
-    v.unpersist()
     got = df.sparkSession.createDataFrame(rows, "feature string, seed int, importance double")
     ranked = got.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("importance"), "feature")))
     return ranked.groupBy("feature").agg(F.median("place").alias("median_place"), F.avg("importance").alias("importance")), rho

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tensorloom.functions.numeric import quantiles
 from tensorloom.operators.bins import is_autosome, reindex
 
 
@@ -74,8 +75,9 @@ def drop_z_outliers(df: DataFrame, columns: list[str], t: float = 3.0) -> DataFr
 
 
 def drop_iqr_outliers(df: DataFrame, columns: list[str], reach: float = 1.5) -> DataFrame:
-    """Rows within reach times the interquartile range of the quartiles in every column."""
-    stats = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q_{c}") for c in columns))
+    """Rows within reach times the interquartile range of the quartiles in every column. The quartiles of all columns are selected together, by counts."""
+    laid = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_x")) for c in columns))).alias("_s")).select("_s.*")
+    stats = quantiles(laid, ["_name"], "_x", [0.25, 0.75]).groupBy().agg(*(F.max(F.when(F.col("_name") == c, F.col("q"))).alias(f"_q_{c}") for c in columns))
     keep = F.lit(True)
     for c in columns:
         lo, hi = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]

@@ -121,6 +121,23 @@ def unfold(t: DataFrame, keys: list[str]) -> DataFrame:
     return t.select("sample", F.struct(*keys).alias("cell"), "value")
 
 
+def unfold_columns(t: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., col): the distinct cells numbered from 0 in the order of their keys."""
+    cells = checkpoint(t.select(*keys).distinct(), "cells")
+    return row_numbers(cells, [], [F.col(k) for k in keys], "col").withColumn("col", F.col("col") - 1)
+
+
+def unfold_numbered(t: DataFrame, keys: list[str]) -> DataFrame:
+    """(sample, col, value): the unfolded tensor with the columns of `unfold_columns`."""
+    t = checkpoint(t, "tensor")
+    return t.join(unfold_columns(t, keys), keys).select("sample", "col", "value")
+
+
+def concat_sample_factors(f: DataFrame, keys: list[str]) -> DataFrame:
+    """(sample, col, value): the sample factors of all keys side by side as numbered columns, each of unit length."""
+    return unfold_numbered(M.normalize(f, keys), keys)
+
+
 def flat_corr(a: DataFrame, b: DataFrame, keys: list[str], cells: int, group: list[str]) -> DataFrame:
     """Pearson correlation of two tensors over all `cells` of a group, absent cells as zeros: from sums over the stored cells."""
     j = a.withColumnRenamed("value", "x").join(b.withColumnRenamed("value", "y"), [*group, *keys], "full").fillna(0.0, ["x", "y"])

@@ -14,7 +14,7 @@ RESOLUTION = 1000
 BASE = {
     "lp": "select l_orderkey as k, l_linenumber as n, l_returnflag as sample, l_linestatus as chrom, l_quantity as q, l_partkey * 40 // (select max(l_partkey) + 1 from lineitem) as b from lineitem",
     "contacts": "select a.sample, a.chrom, least(a.b, c.b) as i, greatest(a.b, c.b) as j, count(*)::double as value from lp a join lp c on a.k = c.k and a.n < c.n group by all",
-    "sparse": "select a.sample, a.chrom, least(a.b, c.b) as i, greatest(a.b, c.b) as j, count(*)::double as value from lp a join lp c on a.k = c.k and a.n < c.n where a.q < 3 group by all",
+    "sparse": "select a.sample, a.chrom, least(a.b, c.b) as i, greatest(a.b, c.b) as j, count(*)::double as value from lp a join lp c on a.k = c.k and a.n + 1 = c.n group by all",
     "sizes": "select distinct l_linestatus as chrom, 40000::bigint as length from lineitem",
     "bins": "select chrom, bin, bin * 1000 as start, (bin + 1) * 1000 as \"end\" from (select chrom, unnest(range(40)) as bin from sizes)",
     "signal": "select (user_id % 6)::varchar as sample, event_type as chrom, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 1000000 as start, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 1000000 + 3600 as \"end\", value from events",
@@ -64,13 +64,13 @@ def _part_bin(items: DataFrame) -> DataFrame:
     return items.withColumn("bin", F.expr(f"l_partkey * 40 div {(last or 0) + 1}"))
 
 
-def _pairs(spark, sf_dir, sparse: bool) -> DataFrame:
+def _pairs(spark, sf_dir, steps: bool) -> DataFrame:
+    """The part bins of two lines of one order; with `steps` of two lines that follow one another, a thinner relation over the same whole table."""
     items = _part_bin(read(spark, sf_dir, "lineitem"))
-    a = items.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("sample"), F.col("l_linestatus").alias("chrom"), F.col("l_quantity").alias("q"), F.col("bin").alias("x"))
+    a = items.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("sample"), F.col("l_linestatus").alias("chrom"), F.col("bin").alias("x"))
     b = items.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("m"), F.col("bin").alias("y"))
-    if sparse:
-        a = a.where("q < 3")
-    return a.join(b, "k").where("n < m").select("sample", "chrom", F.least("x", "y").alias("bin_i"), F.greatest("x", "y").alias("bin_j"))
+    met = a.join(b.withColumn("n", F.col("m") - 1), ["k", "n"]) if steps else a.join(b, "k").where("n < m")
+    return met.select("sample", "chrom", F.least("x", "y").alias("bin_i"), F.greatest("x", "y").alias("bin_j"))
 
 
 def pairs(spark, sf_dir) -> DataFrame:

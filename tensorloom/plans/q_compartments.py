@@ -77,14 +77,14 @@ def differential_ratio(spark, d):
 
 
 STABLE = "st as (select t.cell_type, b.chrom, b.bin, median(coalesce(v.value, 0)) as median from types t cross join bins b left join sv v on v.sample = t.sample and v.chrom = b.chrom and v.bin = b.bin group by all), sb as (select *, (median > 0.3)::bigint as a, (median < -0.3)::bigint as b from st)"
-SV = "sv as (select sample, chrom, bin, value - avg(value) over (partition by sample, chrom) as value from cell_vector where bin % 6 <> 0)"
+SV = "sv as (select sample, chrom, bin, value - avg(value) over (partition by sample, chrom) as value from cell_vector)"
 
 
 def _stable(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("sample", "chrom")
-    v = D.cell_vector(spark, d).where("bin % 6 <> 0").withColumn("value", F.col("value") - F.avg("value").over(w))
+    v = D.cell_vector(spark, d).withColumn("value", F.col("value") - F.avg("value").over(w))
     return C.stable_compartments(v, D.types(spark, d), D.bins(spark, d), 0.3)
 
 

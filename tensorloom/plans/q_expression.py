@@ -4,7 +4,10 @@ from statistics import median
 
 from pyspark.sql import functions as F
 
+from tensorloom.functions.numeric import checkpoint, row_numbers
 from tensorloom.operators import expression as E
+from tensorloom.operators.components import randomised_pca
+from tensorloom.operators.neighbours import knn_index
 from tensorloom.plans import demo_data as D
 from tensorloom.plans.demo_data import sql
 from tensorloom.plans.q_matrix import rounded
@@ -137,9 +140,11 @@ def top_bottom_genes(spark, d):
     return E.top_bottom(p, "value", "gene", 10, ["g"])
 
 
-@query("genes_by_factor", sql("select bin as gene, r, round(avg(value), 6) as value from cells group by all order by value desc", "cells"))
+@query("genes_by_factor", sql("+m as (select bin as gene, r, round(avg(value), 6) as value from cells group by all) select *, row_number() over (partition by r order by value desc, gene) as place from m", "cells"))
 def genes_by_factor(spark, d):
-    return D.cells(spark, d).groupBy(F.col("bin").alias("gene"), "r").agg(F.round(F.avg("value"), 6).alias("value")).orderBy(F.desc("value"))
+    """The genes of each factor by falling value, with their places."""
+    v = checkpoint(D.cells(spark, d).groupBy(F.col("bin").alias("gene"), "r").agg(F.round(F.avg("value"), 6).alias("value")), "loadings")
+    return row_numbers(v, ["r"], [F.desc("value"), F.col("gene")], "place").orderBy("r", "place")
 
 
 def _points(spark, d):
@@ -161,11 +166,25 @@ def knn_batches(spark, d):
     return rounded(E.knn(p, p.drop("batch").where("id % 100 = 0"), 3, "batch"), 6, "distance")
 
 
+@query("knn_all", "with p as (select vec_id as id, embedding as x from embeddings), nn as (select a.id as query, b.id as neighbour, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))) as distance from p a join p b on a.id <> b.id) select query, neighbour, round(distance, 6) as distance, place from (select *, row_number() over (partition by query order by distance, neighbour) as place from nn) where place <= 15")
+def knn_all(spark, d):
+    """The 15 nearest neighbours of every point, through the index."""
+    return rounded(knn_index(_points(spark, d).drop("batch"), 15), 6, "distance")
+
+
 @query("pca")
 def pca(spark, d):
     return E.pca(_points(spark, d).drop("batch"), 10)
 
 
+@query("pca_genes")
+def pca_genes(spark, d):
+    """75 principal components of the cells over all genes, log(1 + count): (cell, r, value)."""
+    c = D.words(spark, d).groupBy(F.col("doc_id").alias("id"), F.col("gene").alias("column")).agg(F.log1p(F.count("*").cast("double")).alias("value"))
+    scores, _ = randomised_pca(c, 75, rounds=3)
+    return scores.withColumnRenamed("id", "cell")
+
+
 @query("kmeans")
 def kmeans(spark, d):
     return E.kmeans(_points(spark, d).drop("batch"), 2)

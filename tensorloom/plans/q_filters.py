@@ -184,9 +184,11 @@ def feature_subset(spark, d):
     return D.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(keep, "l_partkey", "left_semi")
 
 
-@query("stack_modalities", sql("+b as (select sample, chrom, i, j, value from contacts where i = j), a as (select * from sparse where sample <> 'N') select sample, chrom, i, j, value, 'contacts' as modality from a union all select sample, k.chrom, bin, bin, 1.0, 'contacts' from (select distinct sample, chrom from b where (sample, chrom) not in (select distinct (sample, chrom) from a)) k join bins on bins.chrom = k.chrom union all select sample, chrom, i, j, value, 'signal' from b", "contacts", "sparse", "bins"))
+@query("stack_modalities", sql("+b as (select sample, chrom, i, j, value from contacts union all select sample, chrom, bin, bin, round(value, 6) from cell_vector), a as (select * from sparse) select sample, chrom, i, j, value, 'contacts' as modality from a union all select sample, k.chrom, bin, bin, 1.0, 'contacts' from (select distinct sample, chrom from b where (sample, chrom) not in (select distinct (sample, chrom) from a)) k join bins on bins.chrom = k.chrom union all select sample, chrom, i, j, value, 'signal' from b", "contacts", "sparse", "bins", "cell_vector"))
 def stack_modalities(spark, d):
-    return P.stack_modalities(D.sparse(spark, d).where("sample <> 'N'"), D.contacts(spark, d).where("i = j"), D.bins(spark, d))
+    # the samples of the vectors have no contacts and get the identity
+    v = D.cell_vector(spark, d).select("sample", "chrom", F.col("bin").alias("i"), F.col("bin").alias("j"), F.round("value", 6).alias("value"))
+    return P.stack_modalities(D.sparse(spark, d), D.contacts(spark, d).unionByName(v), D.bins(spark, d))
 
 
 @query("reference_order", "select o_orderkey, coalesce(p.p_partkey, -1) as place from orders left join part p on p.p_partkey = o_custkey * 3")
@@ -203,9 +205,10 @@ def order_by_type(spark, d):
     return m.withColumn("place", F.row_number().over(w).cast("long")).orderBy("place")
 
 
-@query("order_by_level", sql("select sample, round(avg(value), 6) as level from cell_vector group by all order by level desc", "cell_vector"))
+@query("order_by_level", sql("+m as (select sample, round(avg(value), 6) as level from cell_vector group by all) select *, row_number() over (order by level desc, sample) as place from m", "cell_vector"))
 def order_by_level(spark, d):
-    return D.cell_vector(spark, d).groupBy("sample").agg(F.round(F.avg("value"), 6).alias("level")).orderBy(F.desc("level"))
+    m = N.checkpoint(D.cell_vector(spark, d).groupBy("sample").agg(F.round(F.avg("value"), 6).alias("level")), "levels")
+    return N.row_numbers(m, [], [F.desc("level"), F.col("sample")], "place").orderBy("place")
 
 
 @query("random_mask", sql("select sample, chrom, i, j, value from contacts where left(md5(concat_ws(':', '7', sample, chrom, i::varchar, j::varchar)), 8) < '19999999'", "contacts"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tensorloom.functions.numeric import checkpoint
 from tensorloom.operators import matrix as M
 from tensorloom.plans import demo_data as D
 from tensorloom.plans.demo_data import sql
@@ -166,13 +167,35 @@ def balance_roots(spark, d):
     return M.balance_roots(_sym(spark, d), 40, tolerance=1e-4)
 
 
+@query("balance_newton")
+def balance_newton(spark, d):
+    """The same scaling by Newton steps, to 1e-9."""
+    from tensorloom.operators.spectral import balance_newton as op
+
+    return op(_sym(spark, d))
+
+
+@query("balance_newton_sums", sql(f"+{SYM} select distinct sample, chrom, i, 1.0::double as row_sum from sym", "contacts"))
+def balance_newton_sums(spark, d):
+    """The row sums of the matrices so scaled: one each."""
+    from tensorloom.operators.spectral import balance_newton as op
+    from tensorloom.operators.spectral import times
+
+    m = checkpoint(_sym(spark, d), "matrix")
+    x = checkpoint(op(m), "scales")
+    return rounded(x.join(times(m, x, F.col("scale")), ["sample", "chrom", "i"]).select("sample", "chrom", "i", (F.col("scale") * F.col("_w")).alias("row_sum")), 7, "row_sum")
+
+
 @query("leading_eigenvector")
 def leading_eigenvector(spark, d):
-    """The first eigenvector of each correlation matrix, with the sign that agrees with the mark."""
+    """The first eigenvector of each correlation matrix, with the sign that agrees with the mark, its eigenvalue and residual."""
     from tensorloom.operators.compartments import orient
+    from tensorloom.operators.spectral import lanczos
 
     cor = M.symmetrize(M.corr_matrix(_sym(spark, d), D.N_BINS).where("value is not null"))
-    return orient(M.leading_eigenvector(M.squared(cor), 30, tolerance=1e-5), D.mark(spark, d), ["sample", "chrom"])
+    v = checkpoint(lanczos(cor), "vectors")
+    facts = v.select("sample", "chrom", "eigenvalue", "residual").distinct()
+    return orient(v.select("sample", "chrom", "bin", "value"), D.mark(spark, d), ["sample", "chrom"]).join(facts, ["sample", "chrom"])
 
 
 NEAR = "near as (select distinct sample, chrom, i + a as i, j + b as j from sparse, (select unnest(range(-2, 3)) as a), (select unnest(range(-2, 3)) as b))"
@@ -200,5 +223,5 @@ def matrix_stats(spark, d):
 
 @query("bin_pairs_triangle", sql("select a.chrom, a.bin as i, b.bin as j from bins a join bins b on a.chrom = b.chrom and a.bin <= b.bin", "bins"))
 def bin_pairs_triangle(spark, d):
-    b = D.bins(spark, d).select("chrom", "bin")
-    return b.withColumnRenamed("bin", "i").join(b.withColumnRenamed("bin", "j"), "chrom").where("i <= j")
+    b = D.bins(spark, d)
+    return M.strip_join(b.select("chrom", F.col("bin").alias("i")), b.select("chrom", F.col("bin").alias("j")), "i", "j", ["chrom"])

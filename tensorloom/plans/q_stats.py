@@ -92,6 +92,13 @@ def density_2d(spark, d):
     return rounded(S.density_2d(p.drop("id"), p.where("id % 100 = 0")), 10, "density")
 
 
+@query("density_all")
+def density_all(spark, d):
+    """The density at every part, by the grid."""
+    p = D.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return S.density_grid(p)
+
+
 RS = """cl as (select doc_id as cell, lang as grp from documents), sz as (select grp, count(*) as n1 from cl group by all), tot as (select count(*) as n from cl),
 ct as (select cell, gene, sum(value) as v from counts group by all), s as (select gene, grp, v, count(*) as k from ct join cl using (cell) group by all),
 p as (select gene, v, sum(k) as t from s group by all), r as (select gene, v, t, sum(t) over (partition by gene order by v) - (t - 1) / 2 as mid from p),
@@ -103,15 +110,20 @@ us as (select *, rs + k * z0 + (n1 - k) * (z0 + 1) / 2 - n1 * (n1 + 1) / 2 as u,
 
 @query("rank_genes", sql(f"+{RS} select gene, grp, n1::bigint as n1, (n - n1)::bigint as n2, u, round((u - n1 * (n - n1) / 2) / nullif(sqrt(greatest(var, 0)), 0), 6) as z, round(log2(own / n1 + 1e-9) - log2((all_sum - own) / (n - n1) + 1e-9), 6) as log_fold_change from us", "counts"))
 def rank_genes(spark, d):
-    return rounded(_ranked(spark, d, D.counts(spark, d)), 6, "z", "log_fold_change")
+    return rounded(_ranked(spark, d, _cell_counts(spark, d)), 6, "z", "log_fold_change")
+
+
+def _cell_counts(spark, d):
+    """(cell, gene, value), counted once by cell and gene."""
+    return D.words(spark, d).groupBy(F.col("doc_id").alias("cell"), "gene").agg(F.count("*").cast("double").alias("value"))
 
 
 def _ranked(spark, d, counts):
     cells = D.read(spark, d, "documents").select(F.col("doc_id").alias("cell"), F.col("lang").alias("grp"))
-    return S.rank_sum(counts.groupBy("cell", "gene").agg(F.sum("value").alias("value")), cells)
+    return S.rank_sum(counts, cells)
 
 
 @query("rank_genes_adjusted")
 def rank_genes_adjusted(spark, d):
-    p = _ranked(spark, d, D.counts(spark, d)).withColumn("p", S.normal_tail(F.col("z"))).where("p is not null")
+    p = _ranked(spark, d, _cell_counts(spark, d)).withColumn("p", S.normal_tail(F.col("z"))).where("p is not null")
     return S.benjamini_hochberg(p, "p", ["grp"], ["gene"]).where("p_adjusted < 0.05").withColumn("up", F.col("log_fold_change") > 0)

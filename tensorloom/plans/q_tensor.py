@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tensorloom.functions.numeric import checkpoint
 from tensorloom.operators import matrix as M
 from tensorloom.operators import tensor as T
 from tensorloom.plans import demo_data as D
@@ -71,10 +72,10 @@ def mask3(spark, d):
     return rounded(T.mask3(full, full.where("abs(value) > 1.2"), 1, G))
 
 
-@query("combine_cumulants", f"{CUM}, {FULL}, a as (select * from fu where i < 11 and j < 11 and k < 11 and abs(value) > 0.8), b as (select chrom, i, j, k, case when value > 0.5 then 0.5 when value < 0 and abs(value) > 0.4 then -1.0 else 0 end as value from fu where i < 11 and j < 11 and k < 11), nr as (select distinct chrom, i + x as i, j + y as j, k + z as k from a, (select unnest([-1, 0, 1]) as x), (select unnest([-1, 0, 1]) as y), (select unnest([-1, 0, 1]) as z)), st as (select *, 'contacts' as modality from a union all select b.*, 'signal' from b semi join nr on nr.chrom = b.chrom and nr.i = b.i and nr.j = b.j and nr.k = b.k where value <> 0), no as (select chrom, i, j, k, modality, value / sqrt(sum(value * value) over (partition by chrom, modality)) as v from st) select chrom, i, j, k, modality, round(v + greatest(-min(v) over (partition by chrom, modality), 0), 6) as value from no")
+@query("combine_cumulants", f"{CUM}, {FULL}, a as (select * from fu where i < 11 and j < 11 and k < 11), b as (select chrom, i, j, k, case when value > 0.5 then 0.5 when value < 0 and abs(value) > 0.4 then -1.0 else 0 end as value from fu where i < 11 and j < 11 and k < 11), nr as (select distinct chrom, i + x as i, j + y as j, k + z as k from a, (select unnest([-1, 0, 1]) as x), (select unnest([-1, 0, 1]) as y), (select unnest([-1, 0, 1]) as z)), st as (select *, 'contacts' as modality from a union all select b.*, 'signal' from b semi join nr on nr.chrom = b.chrom and nr.i = b.i and nr.j = b.j and nr.k = b.k where value <> 0), no as (select chrom, i, j, k, modality, value / sqrt(sum(value * value) over (partition by chrom, modality)) as v from st) select chrom, i, j, k, modality, round(v + greatest(-min(v) over (partition by chrom, modality), 0), 6) as value from no")
 def combine_cumulants(spark, d):
     full = T.expand3(_cum(spark, d), G)
-    return rounded(T.combine_cumulants(full.where("abs(value) > 0.8"), full, NV - 1, 0.5, 0.4, G))
+    return rounded(T.combine_cumulants(full, full, NV - 1, 0.5, 0.4, G))
 
 
 TENSOR = f"""cc as (select sample, chrom, i, j, value from sparse where i < 39 and j < 39), sp as (select sample, chrom, i, j, value from cc union all select sample, chrom, j, i, value from cc where i <> j),
@@ -89,8 +90,9 @@ SV = "sv as (select l_returnflag as sample, l_linestatus as chrom, l_partkey * 4
 
 def _signal_products(spark, d):
     v = D._part_bin(D.read(spark, d, "lineitem")).groupBy(F.col("l_returnflag").alias("sample"), F.col("l_linestatus").alias("chrom"), "bin").agg((F.avg("l_quantity") - 25).alias("v"))
+    v = checkpoint(v, "signal")
     a, b = v.select("sample", "chrom", F.col("bin").alias("i"), F.col("v").alias("a")), v.select("sample", "chrom", F.col("bin").alias("j"), F.col("v").alias("b"))
-    return a.join(b, ["sample", "chrom"]).where("i <= j").select("sample", "chrom", "i", "j", (F.col("a") * F.col("b")).alias("value"))
+    return M.strip_join(a, b, "i", "j", ["sample", "chrom"]).select("sample", "chrom", "i", "j", (F.col("a") * F.col("b")).alias("value"))
 
 
 @query("build_cell_tensor", sql(f"+{SV}, {TENSOR} select sample, chrom, modality, i, j, round(v / sqrt(sum(v * v) over (partition by sample, chrom, modality)), 8) as value from co", "sparse"))
@@ -103,9 +105,16 @@ def downsample_slices(spark, d):
     return T.downsample_slices(D.contacts(spark, d), ["i", "j"], 30, F.lit(D.N_BINS**2), ["sample", "chrom"], 11).select("sample", "chrom", "i", "j", "value", "slice")
 
 
-@query("unfold", sql("select sample, chrom, i, j, value from contacts", "contacts"))
+@query("unfold", sql("select sample, dense_rank() over (order by chrom, i, j) - 1 as col, value from contacts", "contacts"))
 def unfold(spark, d):
-    return T.unfold(D.contacts(spark, d), ["chrom", "i", "j"]).select("sample", "cell.chrom", "cell.i", "cell.j", "value")
+    """The matrix of samples by numbered cells that the tensor unfolds to."""
+    return T.unfold_numbered(D.contacts(spark, d), ["chrom", "i", "j"])
+
+
+@query("unfold_columns", sql("select chrom, i, j, row_number() over (order by chrom, i, j) - 1 as col from (select distinct chrom, i, j from contacts)", "contacts"))
+def unfold_columns(spark, d):
+    """Which cell each column of the unfolded matrix is."""
+    return T.unfold_columns(D.contacts(spark, d), ["chrom", "i", "j"])
 
 
 @query("flat_corr", sql("+f as (select s.sample, b.chrom, b.bin as i, c.bin as j, coalesce(x.value, 0) as x, coalesce(y.value, 0) as y from (select distinct sample from lp) s cross join bins b join bins c on b.chrom = c.chrom left join contacts x on x.sample = s.sample and x.chrom = b.chrom and x.i = b.bin and x.j = c.bin left join sparse y on y.sample = s.sample and y.chrom = b.chrom and y.i = b.bin and y.j = c.bin) select sample, chrom, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) as value from f group by all", "contacts", "sparse", "bins"))
@@ -113,6 +122,6 @@ def flat_corr(spark, d):
     return rounded(T.flat_corr(D.contacts(spark, d), D.sparse(spark, d), ["i", "j"], D.N_BINS**2, ["sample", "chrom"]))
 
 
-@query("concat_sample_factors", sql("select sample, chrom, r, bin, round(value / sqrt(sum(value * value) over (partition by chrom, r, bin)), 8) as value from cells", "cells"))
+@query("concat_sample_factors", sql("select sample, dense_rank() over (order by chrom, r, bin) - 1 as col, round(value / sqrt(sum(value * value) over (partition by chrom, r, bin)), 8) as value from cells", "cells"))
 def concat_sample_factors(spark, d):
-    return rounded(M.normalize(D.cells(spark, d), ["chrom", "r", "bin"]), 8)
+    return rounded(T.concat_sample_factors(D.cells(spark, d), ["chrom", "r", "bin"]), 8)

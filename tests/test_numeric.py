@@ -36,6 +36,21 @@ def test_benjamini_hochberg(spark):
     assert got == pytest.approx({0: 0.04, 2: 0.04 * 4 / 3, 1: 0.04 * 4 / 3, 3: 0.5})
 
 
+def test_ks_distances_of_many_samples_and_ranges(spark, monkeypatch):
+    """All pairs over several ranges of values with ties, a sample without values, and pairs in either order."""
+    rng = np.random.default_rng(9)
+    own = {i: np.round(rng.normal(i / 3, 1 + i / 5, 40 + 30 * i), 1) for i in range(5)}
+    s = spark.createDataFrame([(i, float(v)) for i, x in own.items() for v in x] + [(7, None), (None, 1.0)], "i long, value double")
+    pairs = spark.createDataFrame([(i, j) for i in range(5) for j in range(5)] + [(0, 7), (8, 9)], "i long, j long")
+    monkeypatch.setattr(stats, "GAP_ROWS", 3)
+    got = {(r.i, r.j): (r.n, r.m, r.d) for r in stats.ks_statistic(s, pairs).collect()}
+    assert got.keys() == {(i, j) for i in range(5) for j in range(5)}
+    for (i, j), (n, m, d) in got.items():
+        at = np.unique(np.concatenate([own[i], own[j]]))
+        share = lambda x: np.searchsorted(np.sort(x), at, side="right") / len(x)
+        assert (n, m) == (len(own[i]), len(own[j])) and d == pytest.approx(np.abs(share(own[i]) - share(own[j])).max(), abs=1e-12)
+
+
 def test_planted_nmf_is_recovered(spark):
     rng = np.random.default_rng(2)
     m = rng.random((12, 2)) @ rng.random((2, 10))
