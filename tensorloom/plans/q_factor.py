@@ -174,13 +174,13 @@ def ncp_per_modality_loss(spark, d):
     return _run_loss(t, g, X.PER_MODALITY, 4)
 
 
-#: the surveyed ranks
+#: the surveyed ranks, and the surveyed 200 sweeps at most
 RANKS = [1, 2, 3, 4, 10, 50, 100]
 
 
 @query("ncp_rank_sweep")
 def ncp_rank_sweep(spark, d):
-    return X.rank_sweep(_two(spark, d), SC, PLAIN, RANKS)
+    return X.rank_sweep(_two(spark, d), SC, PLAIN, RANKS, 200)
 
 
 @query("unfolded_nmf_loss")
