@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 import corpus_pipeline as P
 from tensorloom.llm import near_copies as N
@@ -85,3 +86,77 @@ def test_members_that_the_first_misses_are_found_across_groups(spark):
         rows.append((i, " ".join([*base[4 * i :], *(f"new{k}" for k in range(4 * i))]), "en"))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id for r in P.stage_simhash(spark, docs, DATA).collect()} == lowest({i: t for i, t, _ in rows})
+
+
+def family(rng, n, spread):
+    """A set of n hashes and one with the most differing members that a similarity of 0.8 allows, spread to the sides in the given part."""
+    common = next(c for c in range(n, 0, -1) if 5 * (c - 1) < 4 * n)
+    mine = round((n - common) * spread)
+    x = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    return x[: common + mine], np.concatenate((x[:common], x[common + mine :]))
+
+
+def test_fingerprint_is_a_majority_of_each_bit():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 254, 255, 256, 700):
+        hashes = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        mixed = []
+        for step in map(int, N.STEPS):
+            for h in map(int, hashes):
+                x = (h + step) % (1 << 64)
+                x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+                x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+                mixed.append(x ^ (x >> 31))
+        want = [sum((2 * sum(x >> bit & 1 for x in mixed[w * n : w * n + n]) > n) << bit for bit in range(64)) for w in range(N.WORDS)]
+        assert N.fingerprint(hashes).tolist() == want
+
+
+def test_pairs_at_the_limit_share_a_posting_and_pass_the_count_filter():
+    rng = np.random.default_rng(5)
+    for n in (10, 15, 16, 25, 26, 40, 80, 300):
+        for spread in (0, 0.5, 0.7, 1) * 10:
+            sets = family(rng, n, spread)
+            assert 5 * len(np.intersect1d(*sets)) >= 4 * len(np.union1d(*sets))
+            nodes = pd.DataFrame({"node": [1, 2], "fp": [N.fingerprint(x).tobytes() for x in sets], "size": [len(x) for x in sets]})
+            laid = pd.concat(N._postings(iter([nodes]))).sort_values("posting")
+            got = pd.concat(N._link_lists(iter([laid])))
+            assert set(zip(got.kind, got.a, got.b, strict=True)) == {(0, 1, 2)} and N._alike(nodes.fp[:1], nodes.fp[1:]).all()
+    others = pd.Series([N.fingerprint(rng.integers(0, 1 << 64, 100, dtype=np.uint64)).tobytes() for _ in range(2)])
+    assert not N._alike(others[:1], others[1:]).any()
+
+
+def test_lists_give_their_pairs_or_their_members(monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(N, "LIST_LIMIT", 30)
+    rows, want = [], set()
+    for slot in (-5, -2, 0, 3, 9, 10, 11):
+        base = int(rng.integers(0, 1 << 62))
+        size = {-2: 100, 3: 25, 10: 31}.get(slot, 6)
+        near = {3: 20, -2: 100}.get(slot, 2)
+        ids = [1000 * (slot + 6) + i for i in range(size)]
+        for i in ids:
+            more = base ^ (1 << (i % 60)) if i - ids[0] < near else int(rng.integers(0, 1 << 62))
+            rows.append(((slot << N.FILTER_BITS) | (1 if i - ids[0] < near else int(rng.integers(0, 1 << 40))), more, i))
+        if size > 30:
+            want |= {(1, i, slot) for i in ids}
+        elif near > 10:
+            want |= {(1, i, slot) for i in ids[:near]}
+        else:
+            want.add((0, ids[0], ids[1]))
+    laid = pd.DataFrame(sorted(rows), columns=["posting", "more", "node"])
+    for batch_rows in (1, 40, 10**6):
+        monkeypatch.setattr(N, "BATCH_ROWS", batch_rows)
+        got = pd.concat(N._link_lists(iter([laid[i : i + 17] for i in range(0, len(laid), 17)])))
+        assert {x for x in zip(got.kind, got.a, got.b, strict=True) if x[0] or x in want} == want and len(got) < len(want) + 20
+
+
+def test_short_texts_with_one_more_word(spark):
+    """Sets of four and five shingles, whose bits differ most at a similarity of 0.8."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(0, 1200, 2):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 9)]
+        rows += [(i, " ".join(words), "en"), (i + 1, " ".join(words[:8]), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in P.stage_simhash(spark, docs, DATA).collect()} == set(range(0, 1200, 2))
+    assert all(5 * len(shingles(a[1]) & shingles(b[1])) >= 4 * len(shingles(a[1]) | shingles(b[1])) for a, b in zip(rows[::2], rows[1::2], strict=True))
