@@ -260,9 +260,12 @@ def _least_bits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def _across_groups(rows: DataFrame, shared: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs of the lists of shared(slot, node) in different groups of parts(node, component) that the count filters don't rule out: the members outside
-    a list's largest group with all others, each pair once, in the first open list that both are in. Each side is an ordinary join on the list, which Spark can
-    split where a list is hot."""
-    held = shared.join(parts, "node", "left").select("slot", "node", F.coalesce("component", "node").alias("part"))
+    a list's largest group with all others, each pair once, in the first list that both are in. Each side is an ordinary join on the list, which Spark can
+    split where a list is hot. A node meets its group as one row with its lists, of which it has at most SMALL_BLOCKS; they are laid out once."""
+    slots = shared.groupBy("node").agg(F.collect_list(F.col("slot").cast("int")).alias("slots"))
+    placed = slots.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "slots")
+    placed = materialize(placed, "placed")
+    held = materialize(placed.select(F.explode("slots").alias("slot"), "node", "part"), "held")
     sizes = held.groupBy("slot", "part").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("slot").agg(F.max(F.struct("k", "part"))["part"].alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     open_lists = materialize(held.join(largest.drop("parts"), "slot"), "open_lists")
@@ -271,8 +274,9 @@ def _across_groups(rows: DataFrame, shared: DataFrame, parts: DataFrame) -> Data
     laid = sets.select("_node", F.explode("x").alias("shingle"))
     met = laid.groupBy("shingle").agg(F.count("*").alias("k"), F.min("_node").alias("_node")).where("k = 1")
     alone = met.groupBy("_node").agg(F.count("*").alias("alone"))
-    slots = open_lists.groupBy(F.col("node").alias("_node")).agg(F.collect_list(F.col("slot").cast("int")).alias("slots"))
-    facts = sets.select("_node", F.size("x").alias("size"), F.pandas_udf(_least_bits, "array<long>")("x").alias("bits")).join(slots, "_node")
+    # two nodes of different groups have no closed list in common, so all lists of a node can stay
+    facts = sets.select("_node", F.size("x").alias("size"), F.pandas_udf(_least_bits, "array<long>")("x").alias("bits"))
+    facts = facts.join(placed.select(F.col("node").alias("_node"), "slots"), "_node")
     facts = facts.join(alone, "_node", "left").select(F.col("_node").alias("node"), "size", "bits", "slots", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("met"))
     # a text with over a fifth of its shingles for itself is near to none
     known = materialize(open_lists.join(facts.where("5 * met >= 4 * size"), "node"), "members")

@@ -160,3 +160,41 @@ def test_short_texts_with_one_more_word(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id for r in P.stage_simhash(spark, docs, DATA).collect()} == set(range(0, 1200, 2))
     assert all(5 * len(shingles(a[1]) & shingles(b[1])) >= 4 * len(shingles(a[1]) | shingles(b[1])) for a, b in zip(rows[::2], rows[1::2], strict=True))
+
+
+def rows_of_left_joins(plan):
+    """Rows that the left outer joins of an executed plan made."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return rows_of_left_joins(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return rows_of_left_joins(plan.plan())
+    below = plan.children()
+    own = plan.metrics().apply("numOutputRows").value() if kind.endswith("JoinExec") and plan.joinType().toString() == "LeftOuter" else 0
+    return own + sum(rows_of_left_joins(below.apply(i)) for i in range(below.size()))
+
+
+def test_a_member_of_many_lists_meets_its_group_as_one_row(spark, monkeypatch):
+    """Twelve texts in a row of near ones, in two groups cut in the middle and the last one alone; all share 30 lists, four of a group 50 more."""
+    base = [f"w{x}" for x in range(100)]
+    texts = [" ".join([*base[2 * i :], *(f"new{k}" for k in range(2 * i))]) for i in range(12)]
+    group = {i: 0 if i < 6 else 6 for i in range(11)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "_node long, text string")
+    lists = [(s, i) for s in range(-10, 20) for i in range(12)] + [(s, i) for s in range(100, 150) for i in range(4)]
+    shared = spark.createDataFrame(lists, "slot long, node long")
+    parts = spark.createDataFrame(list(group.items()), "node long, component long")
+    made, write = [], N.materialize
+
+    def counted(df, name):
+        df.collect()
+        made.append(rows_of_left_joins(df._jdf.queryExecution().executedPlan()))
+        return write(df, name)
+
+    monkeypatch.setattr(N, "materialize", counted)
+    got = [tuple(r) for r in N._across_groups(rows, shared, parts).collect()]
+    sets = [shingles(t) for t in texts]
+    near = {(i, k) for i in range(12) for k in range(i + 1, 12) if 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k])}
+    want = {(i, k) for i, k in near if group.get(i, i) != group.get(k, k)}
+    assert len(want) > 2 and want <= set(got) and len(got) == len(set(got))
+    assert all(group.get(i, i) != group.get(k, k) for i, k in got)
+    assert 12 <= sum(made) <= 2 * 12
