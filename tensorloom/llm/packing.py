@@ -27,7 +27,8 @@ from tensorloom.llm.word_ids import WordTokenizer
 WINDOW = 2048
 ITEM = 256
 CHUNK_WINDOWS = 256
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+TRIM_BYTES = 8_000_000
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -132,7 +133,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sequence = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         items: list[tuple] = []
-        held = 0
+        held = passed = 0
         end = np.array([END_ID], dtype="<u4")
 
         def close() -> None:
@@ -168,6 +169,11 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         close()
                 if len(rows) >= 20_000:
                     yield take()
+            # what slices have freed goes back while the task runs, not only at its end
+            passed += batch.nbytes
+            if passed >= TRIM_BYTES:
+                give_back()
+                passed = 0
         close()
         if rows:
             yield take()

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_RUNS = 1_000_000
+KEPT_RUNS = 600_000
 #: fixed values: the steps of a tokenizer file under which a text's ids are those of its runs between spaces, lower-cased, one after the other
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -54,6 +54,12 @@ class KnownRuns:
         found[hit[same]] = entry[same]
         return found
 
+    def ids(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these entries one after the other, how many each has)."""
+        sizes = self.begin[entry + 1] - self.begin[entry]
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(self.begin[entry] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)], sizes
+
     def add(self, runs: list[str], ids: list[bytes]) -> None:
         """Adds runs that are not there; of those with one hash the first."""
         if len(self.keys) > KEPT_RUNS:
@@ -163,16 +169,15 @@ class WordTokenizer:
         words = numbered.dictionary.to_pylist()
         entry = self.known.find(words)
         old, new = entry >= 0, np.flatnonzero(entry < 0)
-        # what is known lies in the pool, what is learned now behind it
+        # the ids of the runs that are known and behind them those of the runs learned now: a pool of these texts alone, not a copy of all that is known
         begins, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        begins[old] = self.known.begin[entry[old]]
-        sizes[old] = self.known.begin[entry[old] + 1] - begins[old]
-        pool = self.known.pool
+        pool, sizes[old] = self.known.ids(entry[old])
         if len(new):
             learned = self._learn([words[i] for i in new.tolist()])
             sizes[new] = np.fromiter(map(len, learned), np.int64, len(learned)) // 4
-            begins[new] = len(pool) + np.cumsum(sizes[new]) - sizes[new]
             pool = np.concatenate((pool, np.frombuffer(b"".join(learned), dtype="<u4")))
+        order = np.concatenate((np.flatnonzero(old), new))
+        begins[order] = np.cumsum(sizes[order]) - sizes[order]
         codes = numbered.indices.to_numpy()
         own = sizes[codes]
         ends = np.cumsum(own)

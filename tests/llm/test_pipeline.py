@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as P
 from tensorloom.llm import mixing, packing, toxicity
@@ -77,3 +78,14 @@ def test_no_rows(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    """1,500 texts of 10 kB in one partition reach Python workers in several batches, in every stage."""
+    long = spark.range(0, 1500, 1, 1).selectExpr("id as doc_id", "repeat(cast(id % 10 as string), 10000) as text", "'en' as lang", "'web' as source", "10000L as n_chars")
+    for _, stage in P.STAGES:
+        for key in (P.BATCH_ROWS, P.BATCH_BYTES):
+            spark.conf.unset(key)
+        stage(spark, long.limit(0), DATA)
+        most = long.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()
+        assert len(most) >= 7 and max(n for (n,) in most) < 2 * P.MOST_BYTES
