@@ -103,3 +103,19 @@ def test_density_grid_is_within_its_bound(spark):
     assert np.median([abs(got[i] / exact[i] - 1) for i in exact]) < 1e-3
     assert stats.density_grid(p.limit(0)).count() == 0
     assert {r.density for r in stats.density_grid(p.where("id < 1")).collect()} == {None}
+
+
+def test_points_without_clusters_meet_in_tiles(spark, monkeypatch):
+    """Open cells hold most pairs there: strips of queries meet streams of points, and a task holds a strip and a tile."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(0, 1, (500, 12)), np.ones((40, 12)), 1e6 + rng.normal(0, 1e-3, (60, 12))])
+    ids = [int(i) for i in rng.permutation(600) * 7]
+    p = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "id long, x array<double>")
+    for name, least in (("TILE", 700), ("MEASURED", 50), ("OPEN", 0.0)):
+        monkeypatch.setattr(neighbours, name, least)
+    monkeypatch.setattr(neighbours, "_strip_rows", lambda width: 90)
+    held = []
+    laid = neighbours._tiles
+    monkeypatch.setattr(neighbours, "_tiles", lambda asked, met, k, batch=None: held.append(met.count()) or laid(asked, met, k, batch))
+    assert rows(neighbours.knn_index(p, 5)) == brute(x, ids, 5, range(600))
+    assert held == [566]  # of forty equal points the six smallest ids
