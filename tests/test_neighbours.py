@@ -119,3 +119,21 @@ def test_points_without_clusters_meet_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_tiles", lambda asked, met, k, batch=None: held.append(met.count()) or laid(asked, met, k, batch))
     assert rows(neighbours.knn_index(p, 5)) == brute(x, ids, 5, range(600))
     assert held == [566]  # of forty equal points the six smallest ids
+
+
+def test_stated_queries_by_batch(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x, batch = rng.normal(0, 1, (400, 4)), rng.integers(0, 3, 400)
+    x[:100] = x[0]
+    p = spark.createDataFrame([(i, [float(v) for v in row], None if b == 2 else f"b{b}") for i, (row, b) in enumerate(zip(x, batch, strict=True))], "id long, x array<double>, batch string")
+    monkeypatch.setattr(neighbours, "TILE", 300)
+    got = {}
+    for r in neighbours.knn_tiles(p, p.drop("batch").where("id % 40 = 0"), 3, "batch").collect():
+        got.setdefault((r.query, r.batch), []).append((r.place, r.neighbour, r.distance))
+    assert len(got) == 10 * 3
+    for (q, name), found in got.items():
+        of = [i for i in range(400) if batch[i] == {"b0": 0, "b1": 1, None: 2}[name] and i != q]
+        want = sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in of)[:3]
+        assert [(k + 1, i) for k, (_, i) in enumerate(want)] == [f[:2] for f in sorted(found)]
+        assert np.allclose([d for d, _ in want], [f[2] for f in sorted(found)])
+    assert neighbours.knn_tiles(p.limit(0), p, 3).count() == 0 and neighbours.knn_tiles(p, p.limit(0), 3).count() == 0
