@@ -137,3 +137,25 @@ def test_stated_queries_by_batch(spark, monkeypatch):
         assert [(k + 1, i) for k, (_, i) in enumerate(want)] == [f[:2] for f in sorted(found)]
         assert np.allclose([d for d, _ in want], [f[2] for f in sorted(found)])
     assert neighbours.knn_tiles(p.limit(0), p, 3).count() == 0 and neighbours.knn_tiles(p, p.limit(0), 3).count() == 0
+
+
+def test_density_counts_equal_places_once(spark, monkeypatch):
+    """Copies of a place are one row with a count; strips of queries meet streams of points."""
+    rng = np.random.default_rng(13)
+    xy = np.repeat(rng.normal(0, [3, 400], (60, 2)) @ [[1, 20], [0, 1]], 50, axis=0)
+    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)] + [(9000, None, 1.0)], "id long, x double, y double")
+    monkeypatch.setattr(neighbours, "TILE", 5)
+    written, real = {}, stats.checkpoint
+    monkeypatch.setattr(stats, "checkpoint", lambda df, name: written.setdefault(name, real(df, name)))
+    got = {r.id: r.density for r in stats.density_2d(p.drop("id"), p.where("id % 7 = 0 or x is null")).collect()}
+    assert written["points"].count() == 60 and got.pop(9000) is None and len(got) == 429
+    spread = np.cov(xy.T)
+    spread[1, 1] = np.var([*xy[:, 1], 1.0], ddof=1)  # as in SQL
+    inverse = np.linalg.inv(spread * 3001 ** (-1 / 3))
+    for i, density in got.items():
+        d = xy - xy[i]
+        want = np.exp(-0.5 * np.einsum("ij,jk,ik->i", d, inverse, d)).sum() * np.sqrt(np.linalg.det(inverse)) / (2 * np.pi * 3001)
+        assert density == pytest.approx(want, rel=1e-10)
+    flat = p.withColumn("y", F.lit(1.0)).where("x is not null")
+    assert [r.density for r in stats.density_2d(flat.drop("id"), flat.limit(3)).collect()] == [None] * 3
+    assert stats.density_2d(p.drop("id").limit(0), p).count() == 0
