@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.functions.numeric import ranged, running_total
+from tensorloom.functions.numeric import checkpoint, ranged, running_total
 
 
 def _levelled(t: DataFrame) -> DataFrame:
@@ -41,12 +41,56 @@ def overlap_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.withColumn("lap", F.least("a_end", "b_end") - F.greatest("a_start", "b_start")).drop("_bin", "_level", "_kind")
 
 
+def _spots(t: DataFrame) -> DataFrame:
+    """The distinct non-empty intervals and how often each is there."""
+    return checkpoint(t.where("end > start and chrom is not null").groupBy("chrom", "start", "end").agg(F.count("*").alias("_k")), "spots")
+
+
+def _passed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(chrom, pos, starts, ends, starts_b, ends_b, started, ended, started_b, ended_b) of two tables of _spots: those that start or end at a position, and those that
+    started before it or ended up to it."""
+    names = ["starts", "ends", "starts_b", "ends_b"]
+
+    def steps(t: DataFrame, k: int) -> DataFrame:
+        n = lambda at: [F.when(F.lit(at == c), F.col("_k")).otherwise(F.lit(0)).cast("long").alias(x) for c, x in enumerate(names)]
+        both = F.explode(F.array(F.struct(F.col("start").cast("long").alias("pos"), *n(2 * k)), F.struct(F.col("end").cast("long").alias("pos"), *n(2 * k + 1))))
+        return t.select("chrom", both.alias("_s")).select("chrom", "_s.*")
+
+    at = steps(a, 0).unionByName(steps(b, 1)).groupBy("chrom", "pos").agg(*(F.sum(x).alias(x) for x in names))
+    parts = ranged(at, ["chrom"], [F.col("pos")])
+    before = Window.partitionBy("chrom").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = parts.groupBy("chrom", "_k").agg(*(F.sum(x).alias(x) for x in names)).select("chrom", "_k", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"_{x}") for x in names))
+    inside = Window.partitionBy("chrom", "_k").orderBy("pos")
+    upto = {x: F.sum(x).over(inside).alias(f"_in_{x}") for x in names}
+    laid = parts.select("*", *upto.values()).join(ahead, ["chrom", "_k"])
+    total = {x: F.col(f"_in_{x}") + F.col(f"_{x}") for x in names}
+    return checkpoint(laid.select(
+        "chrom", "pos", *names, (total["starts"] - F.col("starts")).alias("started"), total["ends"].alias("ended"), (total["starts_b"] - F.col("starts_b")).alias("started_b"), total["ends_b"].alias("ended_b"),
+    ), "passed")
+
+
+def _with_partners(t: DataFrame, spots: DataFrame, passed: DataFrame, mark: str) -> DataFrame:
+    """One row (_n, _met): the ids of a table, and those that overlap an interval of the other table, whose starts and ends `passed` names with `mark`."""
+    last = passed.select("chrom", F.col("pos").alias("end"), F.col(f"started{mark}").alias("_started"))
+    first = passed.select("chrom", F.col("pos").alias("start"), F.col(f"ended{mark}").alias("_ended"))
+    lone = spots.join(last, ["chrom", "end"]).join(first, ["chrom", "start"]).where("_started = _ended").select("chrom", "start", "end", F.lit(False).alias("_hit"))
+    lone = checkpoint(lone, "lone")
+    met = F.coalesce(F.col("end") > F.col("start"), F.lit(False)) & F.col("chrom").isNotNull() & F.coalesce("_hit", F.lit(True))
+    flagged = t.where("id is not null").select("chrom", "start", "end", "id").join(lone, ["chrom", "start", "end"], "left").select("id", met.alias("_met"))
+    return flagged.groupBy("id").agg(F.max("_met").alias("_met")).agg(F.count("*").alias("_n"), F.count_if("_met").alias("_met"))
+
+
 def overlap_counts(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(only_a, only_b, pairs): intervals of one table without the other, and overlapping pairs."""
-    pairs = overlap_pairs(a, b).select("a_id", "b_id")
-    both = pairs.agg(F.count("*").alias("pairs"), F.count_distinct("a_id").alias("_a"), F.count_distinct("b_id").alias("_b"))
-    n, m = a.agg(F.count_distinct("id").alias("_n")), b.agg(F.count_distinct("id").alias("_m"))
-    return both.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(m)).select((F.col("_n") - F.col("_a")).alias("only_a"), (F.col("_m") - F.col("_b")).alias("only_b"), "pairs")
+    """(only_a, only_b, pairs): intervals of one table without the other, and overlapping pairs.
+
+    No pair is laid out: the intervals that overlap one from start to end are those that start before its end without those that end up to its start, and both are
+    running totals over the positions of a chromosome, in ranges. Equal intervals are counted once before."""
+    spots_a, spots_b = _spots(a), _spots(b)
+    passed = _passed(spots_a, spots_b)
+    pairs = passed.agg(F.coalesce(F.sum(F.col("ends") * F.col("started_b") - F.col("starts") * F.col("ended_b")), F.lit(0)).alias("pairs"))
+    n, m = _with_partners(a, spots_a, passed, "_b"), _with_partners(b, spots_b, passed, "")
+    both = pairs.crossJoin(F.broadcast(n.select((F.col("_n") - F.col("_met")).alias("only_a")))).crossJoin(F.broadcast(m.select((F.col("_n") - F.col("_met")).alias("only_b"))))
+    return both.select("only_a", "only_b", "pairs")
 
 
 def slop(t: DataFrame, by: int, sizes: DataFrame | None = None) -> DataFrame:

@@ -159,3 +159,25 @@ def test_density_counts_equal_places_once(spark, monkeypatch):
     flat = p.withColumn("y", F.lit(1.0)).where("x is not null")
     assert [r.density for r in stats.density_2d(flat.drop("id"), flat.limit(3)).collect()] == [None] * 3
     assert stats.density_2d(p.drop("id").limit(0), p).count() == 0
+
+
+def test_overlaps_are_counted_without_laying_out_pairs(spark, monkeypatch):
+    """Ids with several intervals, equal, empty and null ones, against brute force; two crowded places have 4 * 10**10 pairs."""
+    rng = np.random.default_rng(14)
+    schema = "chrom string, start long, end long, id long"
+
+    def table(n, top):
+        start = rng.integers(0, 200, n)
+        kept = [(f"c{i % 3}", int(s), int(s + rng.integers(0, top)), int(rng.integers(0, n // 2))) for i, s in enumerate(start)]
+        return kept + kept[:5] + [(None, 0, 300, 9000), ("c0", None, 9, 9001), ("c1", 5, 9, None), ("lone", 1, 2, 9002), ("c0", 7, 7, 9003)]
+
+    for n, top in ((60, 4), (90, 40)):
+        a, b = table(n, top), table(n, 6)[:-2] + [("other", 1, 2, 9002)]
+        full = lambda t: [x for x in t if None not in x[:3] and x[1] < x[2]]
+        pairs = [(x[3], y[3]) for x in full(a) for y in full(b) if x[0] == y[0] and x[1] < y[2] and y[1] < x[2]]
+        want = (*(len({x[3] for x in t} - {None}) - len({p[k] for p in pairs} - {None}) for k, t in enumerate((a, b))), len(pairs))
+        assert tuple(intervals.overlap_counts(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).first()) == want
+    none = spark.createDataFrame([], schema)
+    assert tuple(intervals.overlap_counts(none, spark.createDataFrame([("c", 1, 2, 5)], schema)).first()) == (0, 1, 0)
+    crowd = spark.range(200_000).select(F.lit("c").alias("chrom"), (F.col("id") % 2).alias("start"), F.lit(9).cast("long").alias("end"), "id")
+    assert tuple(intervals.overlap_counts(crowd, crowd).first()) == (0, 0, 200_000**2)
