@@ -98,3 +98,29 @@ def test_row_products_over_tiles(spark, monkeypatch, centre):
                 if (x[i].any() and x[j].any()) if centre else ((x[i] != 0) & (x[j] != 0)).any():
                     want[g, i, j] = c[i] @ c[j]
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+
+
+def test_wide_components_are_never_written_by_columns(spark, monkeypatch):
+    """More columns than can be sent: no table of columns by components is laid out, only ones as tall as the rows."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(12, 2)) * [30, 15] @ rng.normal(size=(2, 150)) + rng.normal(size=(12, 150))
+    monkeypatch.setattr(components, "MOST_NUMBERS", 24)
+    written, real = [], components.checkpoint
+
+    def spy(df, name):
+        out = real(df, name)
+        if "x" in out.columns:
+            written.append(out.select(F.sum(F.size("x"))).first()[0])
+        return out
+
+    monkeypatch.setattr(components, "checkpoint", spy)
+    rows = [(i, f"c{j:03d}", float(v)) for i, row in enumerate(x) for j, v in enumerate(row)]
+    scores, _ = components.randomised_pca(spark.createDataFrame(rows, "id long, column string, value double"), 2, more=4, rounds=2)
+    assert written and max(written) <= 12 * 6
+    c = x - x.mean(0)
+    u, s, _ = np.linalg.svd(c, full_matrices=False)
+    told = np.zeros((12, 2))
+    for r in scores.collect():
+        told[r.id, r.r] = r.value
+    assert np.allclose(np.linalg.norm(told, axis=0), s[:2], rtol=1e-3)
+    assert np.abs(np.linalg.svd(u[:, :2].T @ (told / np.linalg.norm(told, axis=0)), compute_uv=False)).min() > 0.99
